@@ -159,10 +159,10 @@ def region_triangles(regions: DataFrame, name: str, wkt: str) -> DataFrame:
 
 
 def _tree(t: pd.DataFrame) -> tuple[TriangleTree, np.ndarray]:
-    part = t["region"].astype(str) + "\x00" + t["part"].astype(str)
-    codes, names = pd.factorize(part)
-    tree = TriangleTree(t[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy(), codes, t["hole"].to_numpy(bool), t["edges"].to_numpy())
-    return tree, np.array([n.split("\x00")[0] for n in names], dtype=object)
+    part = t.groupby(["region", "part"], sort=False).ngroup().to_numpy()
+    first = np.unique(part, return_index=True)[1]
+    tree = TriangleTree(t[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy(), part, t["hole"].to_numpy(bool), t["edges"].to_numpy())
+    return tree, t["region"].to_numpy(object)[first]
 
 
 def _hits(tree: TriangleTree, names: np.ndarray, p: pd.DataFrame) -> pd.DataFrame:
