@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 _DEFINED = re.compile(r"\\(?:(?:re)?newcommand|providecommand|DeclareRobustCommand)\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?\s*(?:\[(\d)\])?(?:\[[^\]]*\])?\s*(?=\{)|\\[gex]?def\s*\\([A-Za-z]+)\s*((?:#\d)*)\s*(?=\{)")
-_BREAK = re.compile(r"-[ \t]*%?[ \t]*\r?\n[ \t%]*(?=\w)|\\-|(?<=\w)-(?=\w)")
+_BREAK = re.compile(r"-(?:[ \t]*%?[ \t]*\r?\n[ \t%]*(?=\w)|(?<=\w-)(?=\w))")
 _DROPPED = re.compile(
     r"\\(?:[a-z]*cite[a-z]*|ref|eqref|autoref|cref|pageref|label|bibitem|bibliography|bibliographystyle|input|include|includegraphics|usepackage|documentclass|begin|end|vspace|hspace)\*?\s*(?:\[[^\[\]]*\]\s*)*(?:\{[^{}]*\})?|\\[a-z@]+\*?",
 )
@@ -84,7 +84,7 @@ def words(text: str | None) -> list[str]:
     plain = text.isascii()
     text = text.lower() if plain else _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
     if "-" in text:
-        text = _BREAK.sub("", text)
+        text = _BREAK.sub("", text.replace("\\-", ""))
     if "\\" in text:
         text = _DROPPED.sub(" ", text)
     return (_ASCII_WORD if plain else _WORD).findall(text)

@@ -36,60 +36,76 @@ class ItemIndex:
             if len(w) >= run:
                 self.ids.append(i), seqs.append(np.array(w, np.int32))
         self.seqs, self.base = seqs, len(self.vocabulary) + 1
-        pairs, item, pos = [], [], []
-        for k, s in enumerate(seqs):
-            pairs.append(s[:-1].astype(np.int64) * self.base + s[1:]), item.append(np.full(len(s) - 1, k)), pos.append(np.arange(len(s) - 1))
-        cat = lambda a: np.concatenate(a) if a else np.zeros(0, np.int64)
-        self.item, self.pos = cat(item), cat(pos)
-        self.terms, self.term = np.unique(cat(pairs), return_inverse=True)
+        # all items in one array, a zero between them and several at either end
+        pad = run + 2
+        self.first = np.cumsum([pad] + [len(x) + 1 for x in seqs])[:-1] if seqs else np.zeros(0, np.int64)
+        self.all = np.zeros(int(sum(len(x) + 1 for x in seqs)) + 2 * pad, np.int32)
+        for at, x in zip(self.first, seqs):
+            self.all[at:at + len(x)] = x
+        pair = self.all[:-1].astype(np.int64) * self.base + self.all[1:]
+        real = (self.all[:-1] > 0) & (self.all[1:] > 0)
+        self.terms, inverse = np.unique(pair[real], return_inverse=True)
+        self.term = np.full(len(pair), -1)
+        self.term[real] = inverse
+        # starts of all windows of run words, that is run - 1 pairs
+        ok = np.cumsum(np.r_[0, real])
+        starts = np.arange(len(real) - (run - 1) + 1)
+        self.windows = starts[ok[starts + run - 1] - ok[starts] == run - 1]
 
     def search(self, w: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(item, alignment, covered positions of the item) for all runs in the words w (0: a word of no item, or a border)."""
+        """(item, start, covered positions of the item) for all runs in the words w (0: a word of no item, or a border)."""
+        pad = self.run + 2
+        w = np.pad(w, pad)
         code = w[:-1].astype(np.int64) * self.base + w[1:]
         at = np.flatnonzero((w[:-1] > 0) & (w[1:] > 0))
+        if not len(self.windows) or not len(at):
+            return []
         slot = np.searchsorted(self.terms, code[at])
         slot[slot == len(self.terms)] = 0
-        known = self.terms[slot] == code[at] if len(self.terms) else np.zeros(len(at), bool)
+        known = self.terms[slot] == code[at]
         at, slot = at[known], slot[known]
-        order = np.argsort(slot, kind="stable")  # postings: positions by term
-        at = at[order]
-        start = np.searchsorted(slot[order], np.arange(len(self.terms) + 1))
-        count = np.diff(start)
-        hits: dict[tuple[int, int], None] = {}
-        span = self.run - 1
-        for k, s in enumerate(self.seqs):
-            own = self.term[self.item == k] if not hasattr(self, "_own") else self._own[k]
-            rare = count[own]
-            if len(rare) < span:
-                continue
-            view = np.lib.stride_tricks.sliding_window_view(rare, span)
-            lead = np.unique(view.argmin(1) + np.arange(len(view)))  # the rarest pair of each window
-            lead = lead[rare[lead] > 0]
-            for o in lead:
-                p = at[start[own[o]]:start[own[o] + 1]]
-                d = p - o  # alignments: item word 0 stands at d
-                # the lists of the pairs beside, adjusted by their offsets: one of both neighbours must agree
-                right = w[np.minimum(p + 2, len(w) - 1)] == s[o + 2] if o + 2 < len(s) else np.zeros(len(p), bool)
-                left = w[np.maximum(p - 1, 0)] == s[o - 1] if o else np.zeros(len(p), bool)
-                for x in d[left | right]:
-                    hits[(k, int(x))] = None
+        at = at[np.argsort(slot, kind="stable")]  # postings: positions by term
+        count = np.bincount(slot, minlength=len(self.terms))
+        start = np.cumsum(count) - count
+        # the rarest pair of each window; a window with a pair that never occurs has no run
+        rare = np.where(self.term >= 0, count[self.term], 0)
+        view = np.lib.stride_tricks.sliding_window_view(rare, self.run - 1)[self.windows]
+        lead = np.unique((self.windows + view.argmin(1))[view.min(1) > 0])
+        own = self.term[lead]
+        n = count[own]
+        g = np.repeat(lead, n)
+        p = at[np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        # lists of the pairs beside, adjusted by their offsets, are intersected: two of the next pairs on either side must agree
+        same = lambda k: w[p + k] == self.all[g + k]
+        r1, l1 = same(2), same(-1)
+        go = r1 | l1
+        p, g, r1, l1 = p[go], g[go], r1[go], l1[go]
+        go = (r1 & l1) | (r1 & same(3)) | (l1 & same(-2))
+        p, g = p[go], g[go]
+        reach = np.zeros((2, len(p)), np.int64)  # words that agree on either side of the pair, as far as a run needs
+        for side, step in ((0, 1), (1, -1)):
+            alive = np.arange(len(p))
+            for k in range(1, self.run - 1):
+                off = 1 + k if step > 0 else -k
+                alive = alive[(w[p[alive] + off] == self.all[g[alive] + off]) & (self.all[g[alive] + off] > 0)]
+                reach[side, alive] += 1
+        go = reach.sum(0) + 2 >= self.run
+        p, g = p[go], g[go]
+        item = np.searchsorted(self.first, g, "right") - 1
+        shift = p - (g - self.first[item])
+        found = np.unique(np.stack([item, shift], 1), axis=0)
         out = []
-        for k, d in hits:
+        for k, d in found.tolist():
             s = self.seqs[k]
             lo, hi = max(0, -d), min(len(s), len(w) - d)
-            same = np.zeros(len(s) + 2, np.int8)
-            same[lo + 1:hi + 1] = w[d + lo:d + hi] == s[lo:hi]
-            edge = np.diff(same)
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            for i, j in zip(a, b):
+            equal = np.zeros(len(s) + 2, np.int8)
+            equal[lo + 1:hi + 1] = w[d + lo:d + hi] == s[lo:hi]
+            edge = np.diff(equal)
+            for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
                 if j - i >= self.run:
-                    out.append((k, d + int(i), np.arange(i, j)))
+                    out.append((k, d + int(i) - pad, np.arange(i, j)))
         return out
 
-    def prepare(self) -> "ItemIndex":
-        self._own = [self.term[self.item == k] for k in range(len(self.seqs))]
-        return self
-
 
 def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = 12, share: float = 0.5, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(key, item, covered, words): documents in which at least ``share`` of an item's words stand in runs of ``run`` or more.
@@ -109,7 +125,7 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value, run).prepare()
+            index = ItemIndex(shared.value, run)
             number = index.vocabulary.get
             held, keys, rows = [], [], 0
 

@@ -101,7 +101,7 @@ class Dictionary:
 
     def _near(self, word: str) -> dict[str, float]:
         """Known words at most one slip away (alike characters allow two)."""
-        if len(word) < 4:
+        if len(word) < 3:
             return {word: 0.0} if word in self.tokens.get(word, ()) else {}
         found = set().union(*(self.tokens.get(d, ()) for d in _deletes(word, 1)))
         return {w: d for w in found if (d := weighted_distance(word, w, 1.0)) <= 1.0}
@@ -159,7 +159,7 @@ class Dictionary:
         epithets = ["".join(words[1:3]), words[1]] if len(words) > 2 else [words[1]]
         if len(words[0]) == 1:
             return max((self._initial(words[0], e) for e in epithets), default=0)
-        return self._binomial(words[0], epithets) or (self._glued(words[0]) if len(words[0]) >= 10 else 0)
+        return self._binomial(words[0], epithets) or self._glued("".join(words[:2])) or (self._glued(words[0]) if len(words[0]) >= 10 else 0)
 
 
 def map_names(records: DataFrame, reference: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:

@@ -50,11 +50,11 @@ def landmarks(text: str, every: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     h = h * _MULT
     h ^= h >> np.uint64(29)
-    width, mult = 1, _MULT
+    width, mult = 1, int(_MULT)
     while width < _WINDOW:  # hashes of windows of twice the width
         g = h.copy()
-        g[width:] += h[:-width] * mult
-        h, mult, width = g, mult * mult, width * 2
+        g[width:] += h[:-width] * np.uint64(mult)
+        h, mult, width = g, mult * mult % (1 << 64), width * 2
     h = h[_WINDOW - 1:]
     return np.flatnonzero(((h >> np.uint64(20)) * np.uint64(every)) >> np.uint64(44) < 1) + _WINDOW if every > 1 else np.arange(_WINDOW, _WINDOW + len(h))
 
