@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phytoscape.operators.geometry import TriangleTree, triangulate
+from phytoscape.session import materialise
 
 EARTH_RADIUS_M = 6_371_000.0
 #: Bytes of triangles up to which the hierarchy is sent to every task; beyond it, triangles and points are distributed by tiles.
 BROADCAST_BYTES = 32 << 20
+#: Boxes (key and cell, some 60 bytes each) up to which the open ones are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 _TRIANGLE_BYTES = 6 * 8 + 8 + 2 + 40
 
 
@@ -91,16 +94,17 @@ def near_keys(points: DataFrame, radius_m: float) -> DataFrame:
     # the width in longitude of a cell is set by the band of one degree it lies in
     cos = F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.floor("y") + 0.5))))
     cell = lambda size: (F.floor(F.col("y") / (size * step)), F.floor(F.col("x") * cos / (size * step)))
-    cells = points
-    for name, size in (("1", fine), ("2", finer)):
-        cy, cx = cell(size)
-        cells = cells.withColumn(f"cy{name}", cy).withColumn(f"cx{name}", cx)
-    cells = cells.select("*", F.floor("y").alias("band"), F.col("y").alias("y0"), F.col("y").alias("y1"), F.col("x").alias("x0"), F.col("x").alias("x1"))
-    one, two = ["k", "band", "cy1", "cx1"], ["k", "band", "cy1", "cx1", "cy2", "cx2"]
+    # a box is known by a hash of its cell: were two cells to share one, their box would only be larger
+    cells = points.select(
+        "*", *[F.xxhash64(F.floor("y"), *cell(size)).alias(name) for name, size in (("c1", fine), ("c2", finer))],
+        F.col("y").alias("y0"), F.col("y").alias("y1"), F.col("x").alias("x0"), F.col("x").alias("x1"),
+    )
+    one, two = ["k", "c1"], ["k", "c1", "c2"]
     boxes1 = _boxes(cells, one)
 
     # a box lives in the coarse cell of its lower corner and is looked for in all cells where a near box's corner can be
-    high = radius_m * step * 1.000001
+    high = 4 * radius_m * step  # wide enough that few boxes are looked for in several cells
+    near = radius_m * step * 1.000001
     row = lambda y: F.floor(y / high)
 
     def width(r: Column) -> Column:
@@ -108,9 +112,9 @@ def near_keys(points: DataFrame, radius_m: float) -> DataFrame:
         return high / F.cos(F.radians(top))
 
     home = boxes1.withColumn("r", row(F.col("y0"))).withColumn("c", F.pmod(F.floor((F.col("x0") + 180) / width(F.col("r"))), F.ceil(360.0 / width(F.col("r")))))
-    pad = high + fine * step * 2
+    pad = near + fine * step * 2
     probe = (
-        boxes1.withColumn("r", F.explode(F.sequence(row(F.col("y0") - pad), row(F.col("y1") + high))))
+        boxes1.withColumn("r", F.explode(F.sequence(row(F.col("y0") - pad), row(F.col("y1") + near))))
         .withColumn("w", width(F.col("r")))
         .withColumn("reach", (radius_m * 1.000001 + 2 * fine) * step / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y0"), F.abs("y1")) + high * 2))))
         .withColumn("c", F.explode(F.sequence(F.floor((F.col("x0") - F.col("reach") + 180) / F.col("w")), F.floor((F.col("x1") + F.col("reach") + 180) / F.col("w")))))
@@ -124,9 +128,14 @@ def near_keys(points: DataFrame, radius_m: float) -> DataFrame:
         .where(maybe)
         .withColumn("sure", sure)
     )
-    known = pairs.where("sure").select("a_k", "b_k").distinct()
-    open1 = pairs.where("not sure").select(*[f"{s}_{c}" for s in "ab" for c in one]).distinct().join(known, ["a_k", "b_k"], "left_anti")
-
+    settled = materialise(pairs.groupBy("a_k", "b_k").agg(F.max("sure").alias("sure"), F.collect_set(F.struct("a_c1", "b_c1")).alias("boxes")).withColumn("boxes", F.when(~F.col("sure"), F.col("boxes"))))
+    known = settled.where("sure").select("a_k", "b_k")
+    open1 = settled.where("not sure").select("a_k", "b_k", F.explode("boxes").alias("x")).select("a_k", "b_k", "x.*")
+
+    # what is open is settled on the boxes of its own positions alone
+    need = open1.select(F.col("a_k").alias("k"), F.col("a_c1").alias("c1")).union(open1.select("b_k", "b_c1")).distinct()
+    few = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    cells = cells.join(F.broadcast(need) if few else need, one, "left_semi")
     boxes2 = _boxes(cells, two)
     on = lambda s, cols: [f"{s}_{c}" for c in cols]
     pairs2 = (
