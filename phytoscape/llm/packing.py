@@ -50,17 +50,18 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(sizes: DataFrame, capacity: int, group_rows: int = 20_000, seed: int = 5) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, group_rows: int = 20_000, seed: int = 5, rows: int | None = None) -> DataFrame:
     """(key, piece, tokens, sequence_id, start): the place of each article, or of its pieces if it is longer than a sequence.
 
     Longer articles fill whole sequences and their rest is packed with the
     others; no other article is cut. Articles of size 0 take no room but have a
     sequence. Repeated keys are articles of their own; rows without key are
     left out; an empty table gives no rows. Sequence ids are unique over all
-    groups, not consecutive.
+    groups, not consecutive. ``rows`` tells the number of articles where it is
+    known, as counting would measure every text once more.
     """
     sizes = sizes.where("key is not null")
-    groups = max(1, -(-sizes.count() // group_rows)) if group_rows else 1
+    groups = max(1, -(-(sizes.count() if rows is None else rows) // group_rows))
     return pack_groups(sizes.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(groups))), capacity)
 
 

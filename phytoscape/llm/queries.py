@@ -76,7 +76,8 @@ def p6_misses(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     """The training sequence of every article."""
-    return pack(token_sizes(read_table(spark, d, "documents"), "doc_id", "text"), SEQUENCE_TOKENS).withColumnRenamed("key", "doc_id")
+    docs = read_table(spark, d, "documents")
+    return pack(token_sizes(docs, "doc_id", "text"), SEQUENCE_TOKENS, rows=docs.count()).withColumnRenamed("key", "doc_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
