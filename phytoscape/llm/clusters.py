@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phytoscape.operators.graph import components
 from phytoscape.session import materialise, parallelism
 
-SMALL = 48  # rows up to which a node is compared directly
+SMALL = 256  # rows up to which a node is compared directly
+_FILTERS = 6  # signed sums that no pair of alike records may differ in by more than the limit
 
 
 def _two_means(x: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, float] | None:
@@ -106,6 +108,8 @@ class _Sets:
 def link_leaf(x: np.ndarray, limit: float) -> np.ndarray:
     """Set label (smallest row index) of each row, linking all rows at most ``limit`` apart; bisects on until nodes are compact or small."""
     sets, todo, half = _Sets(len(x)), [np.arange(len(x))], limit / 2
+    sums = x @ np.random.default_rng(3).choice(np.array([-1.0, 1.0], np.float32), (x.shape[1], _FILTERS))
+    label = np.arange(len(x))
     while todo:
         own = todo.pop()
         if len(own) < 2:
@@ -123,31 +127,29 @@ def link_leaf(x: np.ndarray, limit: float) -> np.ndarray:
             if len(left) < len(own) and len(right) < len(own):
                 todo += [left, right]
                 continue
-        roots = np.array([sets.top(int(i)) for i in own])
-        for i in range(len(own) - 1):
-            near = np.flatnonzero(np.abs(v[i + 1:] - v[i]).sum(1) <= limit) + i + 1
-            for j in near[roots[near] != roots[i]]:
-                sets.join(int(own[i]), int(own[j]))
+        for at in range(0, len(own), SMALL):  # one block unless the node could not be cut
+            for to in range(at, len(own), SMALL):
+                a, b = own[at:at + SMALL], own[to:to + SMALL]
+                near = np.abs(sums[a, 0][:, None] - sums[b, 0][None]) <= limit
+                for k in range(1, _FILTERS):
+                    near &= np.abs(sums[a, k][:, None] - sums[b, k][None]) <= limit
+                i, j = np.nonzero(near)
+                i, j = a[i], b[j]
+                i, j = i[i < j], j[i < j]
+                ok = np.concatenate([np.abs(x[i[c:c + 4_096]] - x[j[c:c + 4_096]]).sum(1) <= limit for c in range(0, len(i), 4_096)]) if len(i) else np.zeros(0, bool)
+                i, j = i[ok], j[ok]
+                while len(i):  # smallest label of all neighbours, until none changes
+                    low = np.minimum(label[i], label[j])
+                    if (low == label[i]).all() and (low == label[j]).all():
+                        break
+                    np.minimum.at(label, i, low)
+                    np.minimum.at(label, j, low)
+                for r in np.unique(np.r_[i, j]):
+                    sets.join(int(r), int(label[r]))
+                    label[r] = r
     return np.array([sets.top(i) for i in range(len(x))])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the connected components of (a, b) edges: root is the smallest node. Alternates large-star and small-star steps until nothing changes."""
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = materialise(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())
-        seen = now
-
-
 def similarity_clusters(vectors: DataFrame, limit: float, least: int = 3, leaf_rows: int = 4_000, sample_rows: int = 40_000, task_rows: int = 60_000) -> DataFrame:
     """(id, cluster_id): records (id, vec of numbers) of all sets of ``least`` or more records connected by Manhattan distances of at most ``limit``.
 
