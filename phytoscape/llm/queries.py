@@ -27,7 +27,7 @@ def count_vectors(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest records of every probe record, as unordered pairs."""
     probes = read_table(spark, d, "probe_records").select(F.col("obs_id").alias("id"))
-    near = nearest_vectors(count_vectors(spark, d), probes, 5, Index(tables=16, probes=28))
+    near = nearest_vectors(count_vectors(spark, d), probes, 5, Index(tables=16, probes=72))
     return near.select(F.least("id", "near").alias("obs_a"), F.greatest("id", "near").alias("obs_b")).distinct()
 
 

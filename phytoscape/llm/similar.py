@@ -26,13 +26,17 @@ from pyspark.sql import functions as F
 from phytoscape.session import materialise, parallelism
 
 
+#: Crowded buckets up to which their list (16 bytes each) is broadcast; a longer one is joined by shuffle.
+BROADCAST_BUCKETS = 100_000
+
+
 @dataclass(frozen=True)
 class Index:
     """tables · probes buckets are searched per query. polytopes 2 suits up to some millions of vectors, 3 some hundred millions."""
 
     tables: int = 12
     polytopes: int = 2
-    probes: int = 24
+    probes: int = 48
     chunk_rows: int = 4_096
     seed: int = 11
 
@@ -54,13 +58,17 @@ def _axis_scores(v: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return np.concatenate([v, -v], 1)
 
 
-def _prepared(values: pd.Series, mean: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors, centred unit vectors padded to dim)."""
-    u = np.array(values.tolist(), np.float32).reshape(len(values), -1)
-    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-30)
-    c = u - mean
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+
+
+def _prepared(values: pd.Series, mean: np.ndarray, dim: int) -> tuple[list[bytes], np.ndarray]:
+    """(the vectors as they are, as bytes, and centred unit vectors padded to dim)."""
+    v = np.array(values.tolist(), np.float32).reshape(len(values), -1)
+    v = v / np.maximum(np.abs(v).max(1, keepdims=True), 1e-30) if np.abs(v).max(initial=0) > 1e15 else v
+    c = _unit(v) - mean
     c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return u, np.pad(c, ((0, 0), (0, dim - c.shape[1])))
+    return [r.tobytes() for r in v], np.pad(c, ((0, 0), (0, dim - c.shape[1])))
 
 
 def _signs(index: Index, table: int, dim: int) -> np.ndarray:
@@ -77,7 +85,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, index: Index
     """(id, near, similarity, rank): for each id of ``queries`` the k records of most similar cosine among (id, vec) ``vectors``, itself left out.
 
     Ties go to the smaller id. Queries without a usable vector, and an empty
-    collection, give no rows; with fewer than k others all of them come out.
+    collection, give no rows; with fewer than k others at most those come out.
     Repeated ids count once per different vector. Results are approximate:
     a neighbour is missed if none of the searched buckets holds it.
     """
@@ -96,20 +104,28 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, index: Index
     wanted = asked.select("cls", "vec").distinct()
     base, polytopes = 2 * dim, index.polytopes
 
+    def buckets(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for t in range(index.tables):
+            code = np.zeros(len(c), np.int64)
+            for s in _signs(index, t, dim):
+                code = code * base + _axis_scores(c, s).argmax(1)
+            yield t, code
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t, code in buckets(_prepared(b["vec"], mean, dim)[1]):
+                code, n = np.unique(code, return_counts=True)
+                yield pd.DataFrame({"tab": np.int32(t), "code": code, "n": n})
+
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            u, c = _prepared(b["vec"], mean, dim)
-            raw = [r.tobytes() for r in u]
-            for t in range(index.tables):
-                code = np.zeros(len(b), np.int64)
-                for s in _signs(index, t, dim):
-                    code = code * base + _axis_scores(c, s).argmax(1)
+            raw, c = _prepared(b["vec"], mean, dim)
+            for t, code in buckets(c):
                 yield pd.DataFrame({"tab": np.int32(t), "code": code, "cls": b["cls"], "raw": raw})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            u, c = _prepared(b["vec"], mean, dim)
-            raw = [r.tobytes() for r in u]
+            raw, c = _prepared(b["vec"], mean, dim)
             take = min(index.probes, base)
             for t in range(index.tables):
                 cost, code = np.zeros((len(b), 1)), np.zeros((len(b), 1), np.int64)
@@ -125,12 +141,16 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, index: Index
                 yield pd.DataFrame({"tab": np.int32(t), "code": code.ravel(), "cls": np.repeat(b["cls"].to_numpy(), m), "raw": np.repeat(np.array(raw, object), m)})
 
     shape = "tab int, code long, cls long, raw binary"
-    stored = classes.repartition(parallelism(spark)).mapInPandas(put, shape)
-    probes = wanted.mapInPandas(ask, shape)
-    chunks = stored.groupBy("tab", "code").agg(F.ceil(F.count("*") / index.chunk_rows).cast("int").alias("chunks"))
-    big = chunks.where("chunks > 1")
-    stored = stored.join(big, ["tab", "code"], "left").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.coalesce("chunks", F.lit(1))).cast("int")).drop("chunks")
-    probes = probes.join(big, ["tab", "code"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
+    spread = classes.repartition(parallelism(spark))
+    stored, probes = spread.mapInPandas(put, shape), wanted.mapInPandas(ask, shape)
+    full = materialise(spread.mapInPandas(fill, "tab int, code long, n long").groupBy("tab", "code").agg(F.ceil(F.sum("n") / index.chunk_rows).cast("int").alias("chunks")).where("chunks > 1"))
+    few = full.count()
+    if few:  # crowded buckets; their list is broadcast only while it is short
+        full = F.broadcast(full) if few <= BROADCAST_BUCKETS else full
+        stored = stored.join(full, ["tab", "code"], "left").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.coalesce("chunks", F.lit(1))).cast("int")).drop("chunks")
+        probes = probes.join(full, ["tab", "code"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
+    else:
+        stored, probes = stored.withColumn("chunk", F.lit(0)), probes.withColumn("chunk", F.lit(0))
     keep = k + 1
     both = stored.withColumn("asks", F.lit(False)).unionByName(probes.withColumn("asks", F.lit(True))).repartition(parallelism(spark) * 2, "tab", "code", "chunk").sortWithinPartitions("tab", "code", "chunk")
 
@@ -139,7 +159,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, index: Index
             asks = b["asks"].to_numpy(bool)
             edges = np.flatnonzero(np.r_[True, (b["tab"].to_numpy()[1:] != b["tab"].to_numpy()[:-1]) | (b["code"].to_numpy()[1:] != b["code"].to_numpy()[:-1]) | (b["chunk"].to_numpy()[1:] != b["chunk"].to_numpy()[:-1]), True])
             cls = b["cls"].to_numpy(np.int64)
-            vec = np.frombuffer(b"".join(b["raw"]), np.float32).reshape(len(b), -1)
+            vec = _unit(np.frombuffer(b"".join(b["raw"]), np.float32).reshape(len(b), -1))
             q_ids, n_ids, sims = [], [], []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 a = asks[lo:hi]
