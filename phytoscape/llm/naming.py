@@ -74,7 +74,7 @@ class Dictionary:
         self.short: dict[tuple[str, str], list[int]] = defaultdict(list)
         self.tokens: dict[str, set[str]] = defaultdict(set)
         self.glued: dict[str, set[tuple[str, str]]] = defaultdict(set)
-        self.by_genus: dict[str, set[str]] = defaultdict(set)
+        self.longest = 0
         for ref, name, code, synonym, vernacular in sorted(entries, key=lambda e: e[0]):
             for form in (name, synonym):
                 t = fold(form or "").split(" ")
@@ -85,7 +85,7 @@ class Dictionary:
                 self.whole.setdefault(genus + epithet, ref)
                 if form == name:
                     self.short[genus[0], epithet].append(ref)
-                self.by_genus[genus].add(epithet)
+                self.longest = max(self.longest, len(genus) + len(epithet))
                 for w in (genus, epithet):
                     for d in _deletes(w, 1):
                         self.tokens[d].add(w)
@@ -101,6 +101,8 @@ class Dictionary:
 
     def _near(self, word: str) -> dict[str, float]:
         """Known words at most one slip away (alike characters allow two)."""
+        if len(word) > self.longest + 2:  # farther from every form than any slip allows
+            return {}
         if len(word) < 3:
             return {word: 0.0} if word in self.tokens.get(word, ()) else {}
         found = set().union(*(self.tokens.get(d, ()) for d in _deletes(word, 1)))
@@ -124,6 +126,8 @@ class Dictionary:
 
     def _glued(self, word: str) -> int:
         """A name without blank: candidates two characters away, at most one slip in either part."""
+        if len(word) > self.longest + 2:
+            return 0
         found = []
         for genus, epithet in set().union(*(self.glued.get(d, ()) for d in _deletes(word, 2))):
             best = min((weighted_distance(word[:n], genus, 1.0) + weighted_distance(word[n:], epithet, 1.0) + 9 * (weighted_distance(word[:n], genus, 1.0) > 1 or weighted_distance(word[n:], epithet, 1.0) > 1) for n in range(max(1, len(genus) - 1), min(len(word), len(genus) + 2))), default=9.0)

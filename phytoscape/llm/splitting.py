@@ -65,7 +65,7 @@ def split_text(text: str, counter: TokenCounter, p: Split) -> list[tuple[int, in
     if toks[-1] <= p.limit:
         return []
     kinds = [np.array([m.end() for m in b.finditer(text)], np.int64) for b in _BOUNDARIES]
-    at = lambda chars: np.searchsorted(ends, chars)  # noqa: E731  # the first tokenizer piece boundary at or after
+    at = lambda chars: np.searchsorted(ends, chars, "right") - 1  # noqa: E731  # the last tokenizer piece boundary at or before: a blank belongs to the word after it
     kinds = [np.unique(at(k)) for k in kinds]
     natural = np.unique(np.concatenate(kinds[:3]))
     marks = at(landmarks(text, p.landmark_chars))
