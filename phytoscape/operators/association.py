@@ -155,8 +155,8 @@ def _tests(p: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     t = p.groupBy(*by).agg(F.sum(C("d") * C("d")).alias("sq"), F.count("*").alias("m"), F.avg(F.when(C("gi") == C("gj"), C("rk"))).alias("mw"), F.avg(F.when(C("gi") != C("gj"), C("rk"))).alias("mb"))
     out = (t.join(w, by) if by else t.join(w)).join(n)
     sst = C("sq") / C("n")
-    f = ((sst - C("ssw")) / (C("k") - 1)) / (C("ssw") / (C("n") - C("k")))
-    return out.select(*by, F.when((C("n") > C("k")) & (C("ssw") > 0), f).otherwise(0.0).alias("pseudo_f"), ((C("mb") - C("mw")) / (C("m") + 1 - C("mw") - C("mb"))).alias("anosim_r"), C("delta").alias("mrpp_delta"))
+    f = F.try_divide(F.try_divide(sst - C("ssw"), C("k") - 1), F.try_divide(C("ssw"), C("n") - C("k")))
+    return out.select(*by, F.when((C("n") > C("k")) & (C("ssw") > 0), f).otherwise(0.0).alias("pseudo_f"), F.coalesce(F.try_divide(C("mb") - C("mw"), C("m") + 1 - C("mw") - C("mb")), F.lit(0.0)).alias("anosim_r"), C("delta").alias("mrpp_delta"))
 
 
 def ranked(d: DataFrame, value: str = "d", to: str = "rk") -> DataFrame:

@@ -35,9 +35,9 @@ def index_columns() -> dict[str, Column]:
     n, s, q, m, f1, f2 = C("n"), C("s"), C("q"), C("m"), C("f1"), C("f2")
     h = F.greatest(F.log(n) - C("l") / n, F.lit(0.0))
     u = F.sqrt(q)
-    cover = 1 - f1 / C("n_rare")
-    gamma = F.when(C("n_rare") > 1, F.greatest(F.lit(0.0), C("s_rare") / cover * C("n_rare") / (C("n_rare") * (C("n_rare") - 1)) - 1)).otherwise(0.0)
-    ace = F.when(C("s_rare") == 0, s - C("s_rare")).when(C("n_rare") == f1, s).otherwise(s - C("s_rare") + C("s_rare") / cover + f1 / cover * gamma)
+    cover = 1 - F.try_divide(f1, C("n_rare"))
+    gamma = F.when(C("n_rare") > 1, F.greatest(F.lit(0.0), F.try_divide(F.try_divide(C("s_rare"), cover), C("n_rare") - 1) - 1)).otherwise(0.0)
+    ace = F.when(C("s_rare") == 0, s - C("s_rare")).when(C("n_rare") == f1, s).otherwise(s - C("s_rare") + F.try_divide(C("s_rare"), cover) + F.try_divide(f1, cover) * gamma)
     kf = F.when(C("k") > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(C("k"), F.lit(2)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i))).otherwise(0.0)
     return {
         "shannon": h, "simpson": q / (n * n), "simpson_inverse": n * n / q, "richness": s, "evenness": F.when(s > 1, h / F.log(s)).otherwise(0.0),

@@ -10,7 +10,7 @@ from phytoscape.operators.diversity import indices
 
 def windowed_counts(stream: DataFrame, time: str, site: str, species: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts per window, site and species; rows later than the watermark are dropped. For streams and tables alike."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), F.col(site).alias("site"), F.col(species).alias("species")).agg(F.count("*").alias("abundance"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), F.col(site).alias("site"), F.col(species).alias("species")).agg(F.count("*").alias("abundance"))
 
 
 def window_indices(counts: DataFrame, names: list[str]) -> DataFrame:
