@@ -64,3 +64,50 @@ _add("null_model_test", lambda s, d: N.null_model_test(survey(s, d), "c_score",
 _add("habitat_model", lambda s, d: M.classify(read_table(s, d, "environmental_variables").withColumn("habitat", F.lower(F.trim("habitat_type"))).where("habitat in ('broadleaf','needleleaf','mixedwood','fen','heath')"), "env_id", "habitat", ["elevation", "soil_ph", "soil_moisture", "temperature"], "rf")[1])
 _add("event_window_diversity", lambda s, d: window_indices(windowed_counts(read_table(s, d, "events"), "ts", "user_id", "event_type"), ["shannon", "richness"]).select(F.col("start").cast("string").alias("start"), "site", "shannon", "richness"), """
 select strftime(day, '%Y-%m-%d %H:%M:%S') as start, site, round(greatest(-sum(p * ln(p)), 0), 9) + 0.0 shannon, count(*) richness from (select day, site, k / sum(k) over (partition by day, site) p from (select date_trunc('day', ts) as day, user_id site, event_type, count(*) k from events group by 1, 2, 3)) group by 1, 2""")
+
+
+def _points(s, d):
+    from phytoscape.plans.series import _points as p
+
+    return p(s, d)
+
+
+def _kriged(s, d):
+    from phytoscape.operators.spatial import grid
+    from phytoscape.operators.smoothing import simple_kriging
+
+    # means of quarter-degree blocks of all sites: the system has a row per block, 2,400 of them at most
+    blocks = _points(s, d).groupBy(F.floor(F.col("x") * 4), F.floor(F.col("y") * 4)).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
+    return simple_kriging(blocks, grid(s, -80.0, 40.0, -65.0, 50.0, 0.5))
+
+
+def _polynomial(s, d):
+    from phytoscape.operators.smoothing import polynomial_fit
+    from phytoscape.plans.series import _days
+
+    return polynomial_fit(_days(s, d), "x", "y", 2).round(6)
+
+
+def _additive(s, d):
+    from phytoscape.operators.smoothing import additive_model
+
+    return additive_model(_env(s, d), "soil_ph", ["elevation", "temperature"])
+
+
+def _twinspan(s, d):
+    from phytoscape.operators.twinspan import twinspan
+
+    return twinspan(survey(s, d))[0]
+
+
+def _pseudo(s, d):
+    from phytoscape.operators.twinspan import pseudospecies
+
+    return pseudospecies(survey(s, d)).groupBy("pseudo").agg(F.count("*").alias("sites"))
+
+
+_add("kriging", _kriged)
+_add("polynomial_trend", _table(_polynomial))
+_add("additive_model", _table(_additive))
+_add("twinspan", _table(_twinspan))
+_add("pseudospecies", _pseudo, "with obs as (select * exclude (obs_id, observed_on, ingested_at) from species_abundance where site_id is not null qualify row_number() over (partition by obs_id order by ingested_at) = 1), raw as (unpivot obs on columns(* exclude (site_id)) into name species value x), com as (select site_id, species, sum(x) a from raw where x > 0 group by 1, 2) select species || '_' || k pseudo, count(*) sites from com, (values (1, 2), (2, 5), (3, 10), (4, 20)) c(k, cut) where a >= cut group by 1")
