@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phytoscape.community import dense
+from phytoscape.operators.distances import pair_sums
 
 C = F.col
 
@@ -28,7 +29,8 @@ def species_pairs(com: DataFrame) -> DataFrame:
 
 
 def site_pairs(com: DataFrame) -> DataFrame:
-    return _pairs(presence(com), "site", "species")
+    one = presence(com).withColumn("abundance", F.lit(1.0))
+    return pair_sums(one, ("a",)).select("i", "j", C("si").alias("ni"), C("sj").alias("nj"), C("a").cast("bigint").alias("a"))
 
 
 def nodf(com: DataFrame) -> DataFrame:

@@ -2,29 +2,93 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
 
 
-def pair_sums(com: DataFrame) -> DataFrame:
-    """Every pair i < j of sites with the sums all metrics need.
+MOST_SPECIES = 2_000
+BLOCK = 512
 
-    Shared sums come from an equi-join on species that is aggregated before
-    it meets the list of pairs; the list of all pairs is the result's own size.
+
+def pair_sums(com: DataFrame, sums: tuple[str, ...] = ("mn", "xy", "a", "cb", "hp")) -> DataFrame:
+    """Every pair i < j of sites with the totals and shared sums the metrics need.
+
+    Up to ``MOST_SPECIES`` species, sites are cut into blocks and each pair of
+    blocks is one task of numpy sums, so shared cells never become rows; with
+    more species the shared sums come from an equi-join on species. Either way
+    the list of all pairs is the result's own size.
     """
+    names = [r[0] for r in com.select("species").distinct().limit(MOST_SPECIES + 1).collect()]
+    if len(names) > MOST_SPECIES:
+        return _joined_sums(com, sums)
+    names = sorted(names)
+    kind = com.schema["site"].dataType.simpleString()
+    n = com.select("site").distinct().count()
+    blocks = max(1, -(-n // BLOCK))
+    rows = com.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("species", "abundance"))).alias("m")).withColumn("blk", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int"))
+    # a block meets itself and, as first or second partner, every other one
+    left = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("site", "m", "blk", F.least("blk", "p").alias("b1"), F.greatest("blk", "p").alias("b2"))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("site")
+        at = {s: k for k, s in enumerate(names)}
+        x = np.zeros((len(part), len(names)))
+        for r, m in enumerate(part["m"]):
+            for s, v in (m.items() if isinstance(m, dict) else m):
+                x[r, at[s]] = v
+        blk, same = part["blk"].to_numpy(), part["b1"].iloc[0] == part["b2"].iloc[0]
+        first = np.ones(len(part), bool) if same else blk == part["b1"].iloc[0]
+        second = np.ones(len(part), bool) if same else ~first
+        site, a, b = part["site"].to_numpy(), x[first], x[second]
+        na, nb = a.sum(1), b.sum(1)
+        out = {k: np.zeros((len(a), len(b))) for k in sums}
+        for j in range(len(names)):
+            u, v = a[:, j][:, None], b[:, j][None]
+            both = (u > 0) & (v > 0)
+            if not both.any():
+                continue
+            for k in sums:
+                if k == "mn":
+                    out[k] += np.minimum(u, v)
+                elif k == "xy":
+                    out[k] += u * v
+                elif k == "a":
+                    out[k] += both
+                elif k == "cb":
+                    out[k] += np.where(both, np.abs(u - v) / np.maximum(u + v, 1e-300), 0)
+                else:
+                    out[k] += np.sqrt(u / na[:, None] * (v / nb[None]))
+        i, j = np.triu_indices(len(a), 1) if same else (g.ravel() for g in np.indices((len(a), len(b))))
+        sa, sb = site[first], site[second]
+        swap = sa[i] > sb[j]
+        d = {"i": np.where(swap, sb[j], sa[i]), "j": np.where(swap, sa[i], sb[j])}
+        for c, f in (("n", lambda v: v.sum(1)), ("s", lambda v: (v > 0).sum(1)), ("q", lambda v: (v * v).sum(1))):
+            p, q = f(a)[i], f(b)[j]
+            d[f"{c}i"], d[f"{c}j"] = np.where(swap, q, p), np.where(swap, p, q)
+        return pd.DataFrame({**d, **{k: out[k][i, j] for k in sums}})
+
+    schema = f"i {kind}, j {kind}, ni double, nj double, si long, sj long, qi double, qj double, " + ", ".join(f"{k} double" for k in sums)
+    return left.groupBy("b1", "b2").applyInPandas(solve, schema)
+
+
+def _joined_sums(com: DataFrame, sums: tuple[str, ...]) -> DataFrame:
     site = Window.partitionBy("site")
     d = com.withColumn("p", C("abundance") / F.sum("abundance").over(site))
     a, b = (d.select(C("site").alias(k), "species", C("abundance").alias(f"x{k}"), C("p").alias(f"p{k}")) for k in "ij")
     x, y = C("xi"), C("xj")
-    shared = a.join(b, "species").where("i < j").groupBy("i", "j").agg(
-        F.sum(F.least(x, y)).alias("mn"), F.sum(x * y).alias("xy"), F.count("*").alias("a"), F.sum(F.abs(x - y) / (x + y)).alias("cb"), F.sum(F.sqrt(C("pi") * C("pj"))).alias("hp"),
-    )
+    every = {"mn": F.sum(F.least(x, y)), "xy": F.sum(x * y), "a": F.count("*").cast("double"), "cb": F.sum(F.abs(x - y) / (x + y)), "hp": F.sum(F.sqrt(C("pi") * C("pj")))}
+    shared = a.join(b, "species").where("i < j").groupBy("i", "j").agg(*[every[k].alias(k) for k in sums])
     t = com.groupBy("site").agg(F.sum("abundance").alias("n"), F.count("*").alias("s"), F.sum(C("abundance") * C("abundance")).alias("q"))
     ti, tj = (t.select(C("site").alias(k), *[C(c).alias(f"{c}{k}") for c in "nsq"]) for k in "ij")
-    pairs = ti.join(tj, C("i") < C("j"))
-    return pairs.join(shared, ["i", "j"], "left").na.fill(0, ["mn", "xy", "a", "cb", "hp"])
+    return ti.join(tj, C("i") < C("j")).join(shared, ["i", "j"], "left").na.fill(0, list(sums))
+
+
+#: Shared sums of each metric.
+NEEDED = {"bray_curtis": ("mn",), "jaccard": ("a",), "sorensen": ("a",), "euclidean": ("xy",), "manhattan": ("mn",), "canberra": ("cb", "a"), "chord": ("xy",), "hellinger": ("hp",)}
 
 
 def metric_columns() -> dict:
@@ -41,7 +105,7 @@ def distances(com: DataFrame, metric: str = "bray_curtis") -> DataFrame:
     every = metric_columns()
     if metric not in every:
         raise ValueError(f"Unknown metric: {metric}")
-    return pair_sums(com).select("i", "j", every[metric].alias("d"))
+    return pair_sums(com, NEEDED[metric]).select("i", "j", every[metric].alias("d"))
 
 
 def all_distances(com: DataFrame) -> DataFrame:

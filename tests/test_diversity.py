@@ -96,3 +96,11 @@ def test_permutations(com, spark):
     r = A.permutation_tests(D.distances(com), groups, 19).first()
     o = A.group_tests(D.distances(com), groups).first()
     assert r["pseudo_f"] == pytest.approx(o["pseudo_f"]) and 0 < r["permanova_p"] <= 1 and 0 < r["mrpp_p"] <= 1
+
+
+def test_block_sums_equal_joined_sums(com, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 2)
+    cols = sorted(D.pair_sums(com).columns)
+    a = sorted(tuple(round(float(v), 9) if not isinstance(v, str) else v for v in r) for r in D.pair_sums(com).select(*cols).collect())
+    b = sorted(tuple(round(float(v), 9) if not isinstance(v, str) else v for v in r) for r in D._joined_sums(com, ("mn", "xy", "a", "cb", "hp")).select(*cols).collect())
+    assert a == b and len(a) == 10
