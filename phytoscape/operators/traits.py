@@ -54,7 +54,7 @@ def functional_diversity(com: DataFrame, traits: DataFrame, names: list[str]) ->
     d = w.join(centre, "site").withColumn("d", F.sqrt(sum(((C(n) - C(f"c_{n}")) ** 2 for n in names), F.lit(0.0))))
     d = d.withColumn("mean", F.avg("d").over(Window.partitionBy("site")))
     base = d.groupBy("site").agg(F.sum(C("w") * C("d")).alias("fdis"), F.coalesce(F.try_divide(F.sum(C("w") * F.abs(C("d") - C("mean"))), F.max("mean")), F.lit(0.0)).alias("fdiv"))
-    pd_ = trait_distances(z, names)
+    pd_ = trait_distances(z.join(com.select("species").distinct(), "species", "left_semi"), names)
     x = w.select("site", C("species").alias("i"), C("w").alias("wi"))
     y = w.select("site", C("species").alias("j"), C("w").alias("wj"))
     pairs = x.join(pd_, "i").join(y, ["site", "j"])
@@ -72,6 +72,8 @@ def phylo_pairs(wide: DataFrame, species: str = "species", names: list[str] | No
 def mean_pair_distances(com: DataFrame, phylo: DataFrame) -> DataFrame:
     """(site, mpd, mntd): abundance-weighted mean distance of pairs, and unweighted mean distance to the nearest species."""
     x, y = (com.select("site", C("species").alias(k), C("abundance").alias(f"x{k}")) for k in "ij")
+    here = com.select("species").distinct()
+    phylo = phylo.join(here.toDF("i"), "i", "left_semi").join(here.toDF("j"), "j", "left_semi")
     p = x.join(phylo, "i").join(y, ["site", "j"])
     mpd = p.groupBy("site").agg((F.sum(C("xi") * C("xj") * C("dist")) / F.sum(C("xi") * C("xj"))).alias("mpd"))
     near = p.select("site", C("i").alias("s"), "dist").union(p.select("site", "j", "dist")).groupBy("site", "s").agg(F.min("dist").alias("m"))
