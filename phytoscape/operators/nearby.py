@@ -176,7 +176,8 @@ def _tree(t: pd.DataFrame) -> tuple[TriangleTree, np.ndarray]:
 
 def _hits(tree: TriangleTree, names: np.ndarray, p: pd.DataFrame) -> pd.DataFrame:
     at, owner = tree.hits(p["x"].to_numpy(float), p["y"].to_numpy(float))
-    return pd.DataFrame({"region": names[owner] if len(owner) else [], "k": p["k"].to_numpy(object)[at]}, columns=["region", "k"]).drop_duplicates()
+    pairs = dict.fromkeys(zip(names[owner].tolist(), p["k"].to_numpy(object)[at].tolist())) if len(owner) else {}
+    return pd.DataFrame({"region": pd.Series([r for r, _ in pairs], dtype=object), "k": pd.Series([k for _, k in pairs], dtype=object)})
 
 
 def keys_in_regions(points: DataFrame, regions: DataFrame, name: str, wkt: str, broadcast_bytes: int = BROADCAST_BYTES, tile_triangles: int = 20_000, chunk_rows: int = 200_000) -> DataFrame:
@@ -262,8 +263,9 @@ def keys_in_regions(points: DataFrame, regions: DataFrame, name: str, wkt: str,
 
     placed = points.mapInPandas(point_tiles, "k string, y double, x double, tile long")
     chunks = placed.groupBy("tile").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    left = placed.join(chunks, "tile").withColumn("chunk", F.pmod(F.xxhash64("k", "y", "x"), F.col("chunks")).cast("int"))
-    right = triangles.mapInPandas(tri_tiles, _TRIANGLES + ", tile long").join(chunks, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    left = placed.join(chunks, "tile").select("k", "y", "x", (F.col("tile") + 0).alias("tile"), F.pmod(F.xxhash64("k", "y", "x"), F.col("chunks")).cast("int").alias("chunk"))
+    parts = chunks.select((F.col("tile") + 0).alias("tile"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = triangles.mapInPandas(tri_tiles, _TRIANGLES + ", tile long").join(parts, "tile")
 
     def local(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(t):
