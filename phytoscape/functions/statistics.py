@@ -49,14 +49,20 @@ def kendall(x, y) -> float:
     return float((a * b).sum() / den) if den else 0.0
 
 
-def fit_curve(f, x, y, start, low=None, high=None, rounds: int = 200):
-    """Bounded Levenberg-Marquardt least squares: (parameters, standard errors, r squared, rmse); numeric derivatives."""
+def fit_curve(f, x, y, start, low=None, high=None, rounds: int = 200, counts=None, within: float = 0.0):
+    """Bounded Levenberg-Marquardt least squares: (parameters, standard errors, r squared, rmse); numeric derivatives.
+
+    With ``counts``, each y is the mean of so many rows and ``within`` the sum
+    of squares of all rows around these means; the result is that of the rows.
+    """
     x, y, p = np.asarray(x, float), np.asarray(y, float), np.asarray(start, float)
+    w = np.ones(len(x)) if counts is None else np.asarray(counts, float)
+    n, root = w.sum(), np.sqrt(w)
     low = np.full(len(p), -np.inf) if low is None else np.asarray(low, float)
     high = np.full(len(p), np.inf) if high is None else np.asarray(high, float)
     p, damp = np.clip(p, low, high), 1e-3
     with np.errstate(all="ignore"):
-        r = np.nan_to_num(y - f(x, *p), nan=1e9, posinf=1e9, neginf=-1e9)
+        r = root * np.nan_to_num(y - f(x, *p), nan=1e9, posinf=1e9, neginf=-1e9)
 
         def slopes(p):
             out = np.empty((len(x), len(p)))
@@ -65,14 +71,14 @@ def fit_curve(f, x, y, start, low=None, high=None, rounds: int = 200):
                 q = p.copy()
                 q[k] = q[k] + h if q[k] + h <= high[k] else q[k] - h
                 out[:, k] = (f(x, *q) - f(x, *p)) / (q[k] - p[k])
-            return np.nan_to_num(out)
+            return root[:, None] * np.nan_to_num(out)
 
         for _ in range(rounds):
             j = slopes(p)
             a, g = j.T @ j, j.T @ r
             step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
             q = np.clip(p + step, low, high)
-            rq = np.nan_to_num(y - f(x, *q), nan=1e9, posinf=1e9, neginf=-1e9)
+            rq = root * np.nan_to_num(y - f(x, *q), nan=1e9, posinf=1e9, neginf=-1e9)
             if rq @ rq < r @ r:
                 done = r @ r - rq @ rq < 1e-14 * (1 + r @ r)
                 p, r, damp = q, rq, max(damp / 5, 1e-12)
@@ -83,7 +89,7 @@ def fit_curve(f, x, y, start, low=None, high=None, rounds: int = 200):
                 if damp > 1e12:
                     break
         j = slopes(p)
-    dof = max(1, len(x) - len(p))
-    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(j.T @ j)) * (r @ r) / dof, 0))
-    total = ((y - y.mean()) ** 2).sum()
-    return p, errors, float(1 - r @ r / total) if total > 0 else 0.0, float(np.sqrt((r @ r) / len(x)))
+    dof, left = max(1, n - len(p)), r @ r + within
+    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(j.T @ j)) * left / dof, 0))
+    total = (w * (y - (w @ y) / n) ** 2).sum() + within
+    return p, errors, float(1 - left / total) if total > 0 else 0.0, float(np.sqrt(left / n))

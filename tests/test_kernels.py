@@ -153,3 +153,15 @@ def test_stream(spark, tmp_path, data):
     got = {(str(r["start"]), r["site"]): r["richness"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(str(r["start"]), r["site"]): r["richness"] for r in window_indices(windowed_counts(src, "ts", "user_id", "event_type"), ["richness"]).collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_growth_fit_is_that_of_the_rows(spark):
+    from phytoscape.operators.temporal import CURVES, fit_curves
+
+    rng = np.random.default_rng(7)
+    x = np.r_[np.full(400, 3.0), rng.integers(0, 20, 600)].astype(float)  # one x holds 40 % of the rows
+    y = 2 * np.exp(0.1 * x) + 0.5 * np.cos(x) + rng.normal(0, 1, len(x))
+    r = fit_curves(spark.createDataFrame(pd.DataFrame({"g": "a", "x": x, "y": y})), "g", "x", "y", "exponential").first()
+    p, e, r2, rmse = S.fit_curve(CURVES["exponential"][0], x, y, [1.0, 0.01])
+    assert r["n"] == 1000 and r["params"] == pytest.approx(p, rel=1e-5) and r["errors"] == pytest.approx(e, rel=1e-4)
+    assert (r["r2"], r["rmse"]) == pytest.approx((r2, rmse), rel=1e-9)
