@@ -50,7 +50,7 @@ _add("cca", _table(lambda s, d: O.constrained(survey(s, d), _env(s, d), ["elevat
 _add("pcoa", _table(lambda s, d: O.pcoa(D.distances(trade(s, d)))))
 _add("nmds", _table(lambda s, d: O.nmds(D.distances(trade(s, d)))[0]))
 _add("kmeans", lambda s, d: K.kmeans(K.as_vectors(transform(survey(s, d))), 5)[0])
-_add("gaussian_mixture", lambda s, d: K.gaussian_mixture(_vectors(s, d).select("site", F.slice("vec", 1, 4).alias("vec")), 3)[0])
+_add("gaussian_mixture", lambda s, d: K.gaussian_mixture(_vectors(s, d), 3)[0])
 _add("fuzzy_cmeans", lambda s, d: K.fuzzy_cmeans(K.as_vectors(transform(survey(s, d))), 3, rounds=10))
 _add("dbscan", lambda s, d: (lambda c: K.dbscan(D.distances(c), c.select("site").distinct(), 0.25, 4))(trade(s, d)))
 _add("hierarchical", _table(lambda s, d: K.hierarchical(D.distances(trade(s, d)), "average", 4)[1]))

@@ -165,3 +165,15 @@ def test_growth_fit_is_that_of_the_rows(spark):
     p, e, r2, rmse = S.fit_curve(CURVES["exponential"][0], x, y, [1.0, 0.01])
     assert r["n"] == 1000 and r["params"] == pytest.approx(p, rel=1e-5) and r["errors"] == pytest.approx(e, rel=1e-4)
     assert (r["r2"], r["rmse"]) == pytest.approx((r2, rmse), rel=1e-9)
+
+
+def test_mixture_sees_every_dimension(spark, monkeypatch):
+    from phytoscape.plans import kernels
+
+    x = np.zeros((240, 8))  # the records differ beyond the first four dimensions only
+    x[:, 4:] = np.random.default_rng(3).normal(size=(240, 4))
+    x[120:, 6] += 40
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "site long, vec array<double>")
+    monkeypatch.setattr(kernels, "_vectors", lambda s, d: v)
+    got = kernels.QUERIES["gaussian_mixture"](spark, "").toPandas()
+    assert len(got) == 240 and got["cluster"].nunique() > 1
