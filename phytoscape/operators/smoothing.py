@@ -18,29 +18,83 @@ _SHAPES = {
 }
 
 
+def _pivots(cov, xy, top: float, stop: float, most: int) -> np.ndarray:
+    """Columns L of a pivoted partial Cholesky factor, so that the covariances are nearly L L'."""
+    rest, cols = np.full(len(xy), top), []
+    while len(cols) < most and rest.max() > stop:
+        i = int(rest.argmax())
+        c = cov(np.sqrt(((xy - xy[i]) ** 2).sum(1)))
+        for k in cols:
+            c -= k * k[i]
+        cols.append(c / np.sqrt(rest[i]))
+        rest = np.maximum(rest - cols[-1] ** 2, 0)
+    return np.array(cols).T
+
+
+def _by_rows(spark, xy, of, width: int = 2_000_000) -> np.ndarray:
+    """``of(distances of some points to all points)`` for all points in blocks, spread over the tasks."""
+    step = max(1, width // len(xy))
+    shared, blocks = spark.sparkContext.broadcast(xy), -(-len(xy) // step)
+
+    def part(batches):
+        at = shared.value
+        for b in batches:
+            for i in b["id"]:
+                q = at[i * step : (i + 1) * step]
+                h = np.sqrt((q[:, :1] - at[:, 0]) ** 2 + (q[:, 1:] - at[:, 1]) ** 2)
+                yield pd.DataFrame({"id": [i], "v": [of(h)]})
+
+    t = spark.range(0, blocks, 1, min(blocks, spark.sparkContext.defaultParallelism)).mapInPandas(part, "id long, v array<double>").toPandas()
+    shared.unpersist()
+    return np.concatenate(t.sort_values("id")["v"].to_list())
+
+
+def _solve(spark, xy, z, cov, sill: float, nugget: float, tol: float = 1e-10) -> np.ndarray:
+    """Weights of the same system as the direct solve by conjugate gradients: products with all covariances are taken in the tasks, a partial Cholesky factor conditions them."""
+    n = len(xy)
+    low = _pivots(cov, xy, sill, 1e-3 * nugget / n, max(1, min(n, 500, 20_000_000 // n)))
+    basis = np.linalg.qr(np.r_[low, np.sqrt(nugget) * np.eye(low.shape[1])])[0][:n]
+    w, r, least = np.zeros(n), z.astype(float), tol * np.linalg.norm(z)
+    p, old = None, 0.0
+    for _ in range(10 * n):
+        if np.linalg.norm(r) <= least:
+            return w
+        y = (r - basis @ (basis.T @ r)) / nugget
+        new = r @ y
+        p = y if p is None else y + new / old * p
+        old = new
+        a = _by_rows(spark, xy, lambda h, p=p: cov(h) @ p) + nugget * p
+        step = new / (p @ a)
+        w, r = w + step * p, r - step * a
+    raise ValueError("the kriging system could not be solved")
+
+
 def simple_kriging(points: DataFrame, cells: DataFrame, model: str = "gaussian", nugget: float = 0.1) -> DataFrame:
     """(grid_id, z): weights from the covariance sill − γ, without a mean term. Sill is the variance, range a third of the greatest distance.
 
-    The system has a row per point, so at most 3,000 points are taken (more is
-    an error); cells are spread over the tasks.
+    The system has a row per point. Up to 3,000 points it is solved directly,
+    beyond that by conjugate gradients over blocks of rows in the tasks, at a
+    cost by the square of the points; cells are spread over the tasks.
     """
-    p = points.where("x is not null and y is not null and z is not null").select("x", "y", "z").limit(MOST_POINTS + 1).toPandas()
-    if len(p) > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} points")
+    spark = points.sparkSession
+    p = points.where("x is not null and y is not null and z is not null").select("x", "y", "z").toPandas().sort_values(["x", "y", "z"])
     if len(p) < 3:
         raise ValueError("at least 3 points are needed")
-    xy, z = p[["x", "y"]].to_numpy(), p["z"].to_numpy()
-    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
-    sill, reach = float(z.var()) or 1.0, (d.max() or 1.0) / 3
-    cov = lambda h: sill * (1 - _SHAPES[model](h / reach))
-    weights = np.linalg.solve(cov(d) + nugget * np.eye(len(p)), z)
-    shared = points.sparkSession.sparkContext.broadcast((xy, weights))
+    xy, z = p[["x", "y"]].to_numpy(float), p["z"].to_numpy(float)
+    small = len(p) <= MOST_POINTS
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)) if small else None
+    sill, reach = float(z.var()) or 1.0, (float(d.max() if small else _by_rows(spark, xy, lambda h: [h.max()]).max()) or 1.0) / 3
+    shape = _SHAPES[model]
+    cov = lambda h: sill * (1 - shape(h / reach))
+    weights = np.linalg.solve(cov(d) + nugget * np.eye(len(p)), z) if small else _solve(spark, xy, z, cov, sill, nugget)
+    shared = spark.sparkContext.broadcast((xy, weights))
 
     def predict(batches):
         at, w = shared.value
+        step = max(1, 2_000_000 // len(at))
         for b in batches:
             q = b[["x", "y"]].to_numpy()
-            yield pd.DataFrame({"grid_id": b["grid_id"], "z": cov(np.sqrt(((q[:, None] - at[None]) ** 2).sum(-1))) @ w})
+            yield pd.DataFrame({"grid_id": b["grid_id"], "z": np.concatenate([cov(np.sqrt(((q[i : i + step, None] - at[None]) ** 2).sum(-1))) @ w for i in range(0, len(q), step)])})
 
     return cells.select("grid_id", "x", "y").mapInPandas(predict, "grid_id long, z double")
 

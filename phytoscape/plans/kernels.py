@@ -76,9 +76,7 @@ def _kriged(s, d):
     from phytoscape.operators.spatial import grid
     from phytoscape.operators.smoothing import simple_kriging
 
-    # means of quarter-degree blocks of all sites: the system has a row per block, 2,400 of them at most
-    blocks = _points(s, d).groupBy(F.floor(F.col("x") * 4), F.floor(F.col("y") * 4)).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
-    return simple_kriging(blocks, grid(s, -80.0, 40.0, -65.0, 50.0, 0.5))
+    return simple_kriging(_points(s, d), grid(s, -80.0, 40.0, -65.0, 50.0, 0.5))
 
 
 def _polynomial(s, d):

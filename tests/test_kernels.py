@@ -177,3 +177,25 @@ def test_mixture_sees_every_dimension(spark, monkeypatch):
     monkeypatch.setattr(kernels, "_vectors", lambda s, d: v)
     got = kernels.QUERIES["gaussian_mixture"](spark, "").toPandas()
     assert len(got) == 240 and got["cluster"].nunique() > 1
+
+
+@pytest.mark.parametrize("model", ["gaussian", "exponential"])
+def test_kriging_beyond_the_direct_solve(spark, monkeypatch, model):
+    from phytoscape.operators import smoothing
+
+    rng = np.random.default_rng(8)
+    xy = rng.uniform(0, 10, (300, 2))
+    pts = spark.createDataFrame(pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1], "z": 50 + 9 * np.sin(xy[:, 0]) + rng.normal(size=300)}))
+    run = lambda: smoothing.simple_kriging(pts, spatial.grid(spark, 0, 0, 10, 10, 1), model).toPandas().sort_values("grid_id")["z"].to_numpy()
+    want = run()
+    monkeypatch.setattr(smoothing, "MOST_POINTS", 100)
+    assert run() == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
+def test_kriging_of_all_sites(spark, data):
+    from phytoscape.operators.smoothing import simple_kriging
+    from phytoscape.plans import kernels, series
+
+    got = kernels.QUERIES["kriging"](spark, data).toPandas().set_index("grid_id")["z"]
+    want = simple_kriging(series._points(spark, data), spatial.grid(spark, -80.0, 40.0, -65.0, 50.0, 0.5)).toPandas().set_index("grid_id")["z"]
+    assert got.sort_index().to_numpy() == pytest.approx(want.sort_index().to_numpy(), abs=1e-4)
