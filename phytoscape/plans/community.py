@@ -142,7 +142,7 @@ _add("group_tests_observed", _trade(lambda c: A.group_tests(D.distances(c).withC
   w as (select sum(ng * ss / ng / n) ssw, sum(ng / n * md) delta from (select gi grp, sum(d * d) ss, avg(d) md from l where gi = gj group by 1) join sz using (grp), t),
   a as (select sum(d * d) sq, count(*) m, avg(rk) filter (where gi = gj) mw, avg(rk) filter (where gi <> gj) mb from l)
   select ((sq / n - ssw) / (k - 1)) / (ssw / (n - k)) pseudo_f, (mb - mw) / (m + 1 - mw - mb) anosim_r, delta mrpp_delta from a, w, t""", "pseudo_f, anosim_r, mrpp_delta")
-_add("permutation_tests", _trade(lambda c: A.permutation_tests(D.distances(c), _trio(c), 199)))
+_add("permutation_tests", _trade(lambda c: A.permutation_tests(D.distances(c), _trio(c), 999)))
 _GAP = "(select a.site i, b.site j, abs(a.site - b.site)::double d from (select distinct site from trade) a join (select distinct site from trade) b on a.site < b.site)"
 
 

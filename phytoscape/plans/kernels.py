@@ -60,7 +60,7 @@ select site, cluster::bigint as cluster, round(coalesce((o - w) / nullif(greates
 _add("calinski_harabasz", lambda s, d: K.dispersion(_vectors(s, d), _labels(s, d)).select(F.round("calinski_harabasz", 5).alias("calinski_harabasz")), """
 with v as (select label g, unnest(embedding)::double x, generate_subscripts(embedding, 1) p from embeddings), w as (select sum(n * v) w, count(distinct g) k from (select g, p, count(*) n, var_pop(x) v from v group by 1, 2)), t as (select sum(n * v) t, max(n) n from (select p, count(*) n, var_pop(x) v from v group by 1))
 select round((t - w) / (k - 1) / (w / (n - k)), 5) calinski_harabasz from w, t""")
-_add("null_model_test", lambda s, d: N.null_model_test(survey(s, d), "c_score", "columns", 19))
+_add("null_model_test", lambda s, d: N.null_model_test(survey(s, d), "c_score", "columns", 999))
 _add("habitat_model", lambda s, d: M.classify(read_table(s, d, "environmental_variables").withColumn("habitat", F.lower(F.trim("habitat_type"))).where("habitat in ('broadleaf','needleleaf','mixedwood','fen','heath')"), "env_id", "habitat", ["elevation", "soil_ph", "soil_moisture", "temperature"], "rf")[1])
 _add("event_window_diversity", lambda s, d: window_indices(windowed_counts(read_table(s, d, "events"), "ts", "user_id", "event_type"), ["shannon", "richness"]).select(F.col("start").cast("string").alias("start"), "site", "shannon", "richness"), """
 select strftime(day, '%Y-%m-%d %H:%M:%S') as start, site, round(greatest(-sum(p * ln(p)), 0), 9) + 0.0 shannon, count(*) richness from (select day, site, k / sum(k) over (partition by day, site) p from (select date_trunc('day', ts) as day, user_id site, event_type, count(*) k from events group by 1, 2, 3)) group by 1, 2""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from phytoscape import community as K
 from phytoscape.functions import statistics as S
+from phytoscape.operators import association as A
 from phytoscape.operators import clustering as C
 from phytoscape.operators import distances as D
 from phytoscape.operators import nullmodels as N
@@ -199,3 +200,15 @@ def test_kriging_of_all_sites(spark, data):
     got = kernels.QUERIES["kriging"](spark, data).toPandas().set_index("grid_id")["z"]
     want = simple_kriging(series._points(spark, data), spatial.grid(spark, -80.0, 40.0, -65.0, 50.0, 0.5)).toPandas().set_index("grid_id")["z"]
     assert got.sort_index().to_numpy() == pytest.approx(want.sort_index().to_numpy(), abs=1e-4)
+
+
+@pytest.mark.parametrize("module, name, of", [(N, "null_model_test", "draws"), (A, "permutation_tests", "permutations")])
+def test_queries_take_999_draws(spark, data, monkeypatch, module, name, of):
+    import inspect
+
+    import __spark_entry__
+
+    f, seen = getattr(module, name), {}
+    monkeypatch.setattr(module, name, lambda *a, **k: seen.update(inspect.signature(f).bind(*a, **k).arguments) or spark.range(1))
+    __spark_entry__.queries()[name](spark, data)
+    assert seen[of] == 999
