@@ -13,10 +13,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """Use the folder named by ``spark.checkpoint.dir``; a temporary one only on a local master where none is set (tests). A cluster without it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="phytoscape-"))
 
 
@@ -29,3 +31,8 @@ def materialise(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for stages of Python kernels: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def tasks_for(spark: SparkSession, size: int, least: int = 0, each: int = 32 << 20) -> int:
+    """Partitions for ``size`` bytes of about ``each`` bytes, no fewer than the session's shuffle partitions (or ``least``)."""
+    return max(least or parallelism(spark), -(-int(size) // each))
