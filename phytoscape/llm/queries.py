@@ -9,7 +9,7 @@ from phytoscape.llm.clusters import describe_clusters, similarity_clusters
 from phytoscape.llm.leakage import leaked
 from phytoscape.llm.naming import map_names
 from phytoscape.llm.packing import pack, token_sizes
-from phytoscape.llm.similar import Index, nearest_vectors
+from phytoscape.llm.similar import nearest_vectors
 from phytoscape.llm.splitting import Split, split_documents
 from phytoscape.session import read_table
 
@@ -27,7 +27,7 @@ def count_vectors(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest records of every probe record, as unordered pairs."""
     probes = read_table(spark, d, "probe_records").select(F.col("obs_id").alias("id"))
-    near = nearest_vectors(count_vectors(spark, d), probes, 5, Index(tables=16, probes=72))
+    near = nearest_vectors(count_vectors(spark, d), probes, 5)
     return near.select(F.least("id", "near").alias("obs_a"), F.greatest("id", "near").alias("obs_b")).distinct()
 
 
