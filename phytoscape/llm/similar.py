@@ -231,6 +231,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, index: Index
     depth = next((d for d in range(len(axes)) if n / (2 * dim) ** d <= chunk_rows), len(axes) - 1)  # leading axes by which vectors and queries meet
     inner = int(np.prod([2 * a for a in axes[depth:]]))
     groups = (2 * dim) ** depth
+    small = np.dtype(np.uint16 if inner <= 1 << 16 else np.uint32 if inner <= 1 << 32 else np.int64)
 
     def grouped(codes: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         return table * groups + codes // inner, codes % inner
@@ -263,7 +264,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, index: Index
                 for lo, hi in zip(edges[:-1], edges[1:]):
                     own, name = order[lo:hi], int(key[order[lo]])
                     part = (ids[own] * 0x9E3779B1 >> 7) % chunks[name] if name in chunks else np.zeros(len(own), int)
-                    out += [(name, int(p), False, ids[x].tobytes(), raw[x].tobytes(), b"", fine[x].astype(np.int64).tobytes()) for p in np.unique(part) for x in [own[part == p]]]
+                    out += [(name, int(p), False, ids[x].tobytes(), raw[x].tobytes(), b"", fine[x].astype(small).tobytes()) for p in np.unique(part) for x in [own[part == p]]]
             yield rows_of(out)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,7 +283,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, index: Index
                     for lo, hi in zip(edges[:-1], edges[1:]):
                         own, name = order[lo:hi], int(key[order[lo]])
                         q, m = np.unique(who[own], return_counts=True)
-                        row = (ids[q].tobytes(), raw[q].tobytes(), m.astype(np.int32).tobytes(), fine[own].astype(np.int64).tobytes())
+                        row = (ids[q].tobytes(), raw[q].tobytes(), m.astype(np.int32).tobytes(), fine[own].astype(small).tobytes())
                         out += [(name, p, True, *row) for p in range(chunks.get(name, 1))]
                 yield rows_of(out)
 
@@ -305,8 +306,8 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, index: Index
                 if not asks:
                     own.append((ids, codes, raw))
                 elif own:
-                    ready = ready or tuple(view(b"".join(x[i] for x in own), of) for i, of in ((0, np.int64), (1, np.int64), (2, kind)))
-                    _match((ready[0], ready[1], ready[2].reshape(-1, width)), (view(ids), view(raw, kind).reshape(-1, width), view(counts, np.int32), view(codes)), keep, best)
+                    ready = ready or tuple(view(b"".join(x[i] for x in own), of) for i, of in ((0, np.int64), (1, small), (2, kind)))
+                    _match((ready[0], ready[1], ready[2].reshape(-1, width)), (view(ids), view(raw, kind).reshape(-1, width), view(counts, np.int32), view(codes, small)), keep, best)
         yield best.rest().astype({"cls": np.int64, "other": np.int64, "s": np.float64})
 
     found = both.mapInPandas(match, "cls long, other long, s double").groupBy("cls", "other").agg(F.max("s").alias("s"))
