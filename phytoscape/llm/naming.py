@@ -6,8 +6,9 @@ point back to the form, so a typed name finds its candidates by leaving out
 characters itself, without a comparison to the whole list. Candidates are
 ranked by a weighted Damerau-Levenshtein distance (characters that look or
 sound alike cost half) and then by how often the entry is named without doubt.
-Typed values are made different before they are matched; the list is checked to
-be small before it goes to all tasks.
+Typed values are made different before they are matched. A list too long for
+one task is cut into several dictionaries, each of which ranks its own
+candidates; the best of all is kept.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the reference list up to which its dictionary is sent to every task.
+from phytoscape.session import materialise
+
+#: Entries of the reference list that one dictionary holds; longer lists are looked up in several.
 MOST_ENTRIES = 200_000
+#: Different names up to which their entries are broadcast to the records; more are joined by shuffle.
+BROADCAST_NAMES = 500_000
 
 # fixed values: what is disregarded in names, placeholders, and characters that look or sound alike
 _QUALIFIERS = {"cf", "aff", "x", "×", "ex", "hybrid"}
@@ -65,105 +70,106 @@ def _deletes(s: str, n: int) -> set[str]:
 
 
 class Dictionary:
-    """Forms of the reference entries: (id, name, code, synonym, vernacular), any but id and name may be missing."""
+    """Forms of the reference entries: (id, name, code, synonym, vernacular), any but id and name may be missing.
+
+    Candidates are tuples (rule, distance, reading, kind of form, −records that
+    name the entry, entry); the smallest is meant.
+    """
 
     def __init__(self, entries: list[tuple], named: dict[int, int] | None = None):
         self.named = named or {}
-        self.whole: dict[str, int] = {}
-        self.pairs: dict[tuple[str, str], int] = {}
-        self.short: dict[tuple[str, str], list[int]] = defaultdict(list)
+        self.whole: dict[str, set[tuple[int, int]]] = defaultdict(set)
+        self.pairs: dict[tuple[str, str], set[tuple[int, int]]] = defaultdict(set)
+        self.short: dict[tuple[str, str], set[tuple[int, int]]] = defaultdict(set)
         self.tokens: dict[str, set[str]] = defaultdict(set)
         self.glued: dict[str, set[tuple[str, str]]] = defaultdict(set)
         self.longest = 0
-        for ref, name, code, synonym, vernacular in sorted(entries, key=lambda e: e[0]):
-            for form in (name, synonym):
+        for ref, name, code, synonym, vernacular in entries:
+            for kind, form in enumerate((name, synonym)):
                 t = fold(form or "").split(" ")
                 if len(t) < 2:
                     continue
                 genus, epithet = t[0], "".join(t[1:])
-                self.pairs.setdefault((genus, epithet), ref)
-                self.whole.setdefault(genus + epithet, ref)
-                if form == name:
-                    self.short[genus[0], epithet].append(ref)
+                self.pairs[genus, epithet].add((kind, ref))
+                self.whole[genus + epithet].add((kind, ref))
+                if not kind:
+                    for n in range(1, min(len(genus), 4)):
+                        self.short[genus[:n], epithet].add((kind, ref))
                 self.longest = max(self.longest, len(genus) + len(epithet))
                 for w in (genus, epithet):
                     for d in _deletes(w, 1):
                         self.tokens[d].add(w)
                 for d in _deletes(genus + epithet, 2):
                     self.glued[d].add((genus, epithet))
-            for form in (code, vernacular):
+            for kind, form in ((2, code), (3, vernacular)):
                 if form and fold(form):
-                    self.whole.setdefault(fold(form).replace(" ", ""), ref)
+                    self.whole[fold(form).replace(" ", "")].add((kind, ref))
 
-    def _rank(self, found: list[tuple[float, int]]) -> int:
-        """The nearest entry; among equally near ones the one named most often, then the smallest id."""
-        return min(found, key=lambda f: (f[0], -self.named.get(f[1], 0), f[1]))[1] if found else 0
+    def _ranked(self, rule: int, distance: float, reading: int, forms) -> list[tuple]:
+        return [(rule, distance, reading, kind, -self.named.get(ref, 0), ref) for kind, ref in forms]
 
     def _near(self, word: str) -> dict[str, float]:
-        """Known words at most one slip away (alike characters allow two)."""
-        if len(word) > self.longest + 2:  # farther from every form than any slip allows
+        """Known words at most one slip away (alike characters allow two); a single character is no word."""
+        if not 1 < len(word) <= self.longest + 2:  # farther from every form than any slip allows
             return {}
-        if len(word) < 3:
-            return {word: 0.0} if word in self.tokens.get(word, ()) else {}
         found = set().union(*(self.tokens.get(d, ()) for d in _deletes(word, 1)))
         return {w: d for w in found if (d := weighted_distance(word, w, 1.0)) <= 1.0}
 
-    def _binomial(self, genus: str, epithets: list[str]) -> int:
-        exact = [self.pairs[genus, e] for e in epithets if (genus, e) in self.pairs]
+    def _binomial(self, rule: int, genus: str, epithets: list[str]) -> list[tuple]:
+        exact = [c for k, e in enumerate(epithets) for c in self._ranked(rule, 0.0, k, self.pairs.get((genus, e), ()))]
         if exact:
-            return exact[0]
-        near, found = self._near(genus), []
-        for e in epithets:
-            for w, d in self._near(e).items():
-                found += [(d + g, self.pairs[n, w]) for n, g in near.items() if (n, w) in self.pairs]
-        return self._rank(found)
-
-    def _initial(self, letter: str, epithet: str) -> int:
-        found = [(0.0, r) for r in self.short.get((letter, epithet), ())]
-        if not found:
-            found = [(d, r) for w, d in self._near(epithet).items() for r in self.short.get((letter, w), ())]
-        return self._rank(found)
-
-    def _glued(self, word: str) -> int:
+            return exact
+        near = self._near(genus)
+        return [c for k, e in enumerate(epithets) for w, d in self._near(e).items() for n, g in near.items() for c in self._ranked(rule, d + g, k, self.pairs.get((n, w), ()))]
+
+    def _initial(self, rule: int, letters: str, epithets: list[str]) -> list[tuple]:
+        exact = [c for k, e in enumerate(epithets) for c in self._ranked(rule, 0.0, k, self.short.get((letters, e), ()))]
+        return exact or [c for k, e in enumerate(epithets) for w, d in self._near(e).items() for c in self._ranked(rule, d, k, self.short.get((letters, w), ()))]
+
+    def _glued(self, rule: int, word: str, reading: int = 0) -> list[tuple]:
         """A name without blank: candidates two characters away, at most one slip in either part."""
-        if len(word) > self.longest + 2:
-            return 0
+        if not 1 < len(word) <= self.longest + 2:
+            return []
         found = []
         for genus, epithet in set().union(*(self.glued.get(d, ()) for d in _deletes(word, 2))):
-            best = min((weighted_distance(word[:n], genus, 1.0) + weighted_distance(word[n:], epithet, 1.0) + 9 * (weighted_distance(word[:n], genus, 1.0) > 1 or weighted_distance(word[n:], epithet, 1.0) > 1) for n in range(max(1, len(genus) - 1), min(len(word), len(genus) + 2))), default=9.0)
-            if best <= 2:
-                found.append((best, self.pairs[genus, epithet]))
-        return self._rank(found)
-
-    def lookup(self, typed: str) -> int:
-        """The entry meant, 0 if none is."""
+            parts = [(weighted_distance(word[:n], genus, 1.0), weighted_distance(word[n:], epithet, 1.0)) for n in range(max(1, len(genus) - 1), min(len(word), len(genus) + 2))]
+            best = min((a + b for a, b in parts if a <= 1 and b <= 1), default=None)
+            if best is not None:
+                found += self._ranked(rule, best, reading, self.pairs[genus, epithet])
+        return found
+
+    def match(self, typed: str) -> tuple | None:
+        """The best candidate for a typed name, None if it fits no entry. Rules are tried in order, the first that finds any decides."""
         text = fold(typed)
         if not text:
-            return 0
-        if (ref := self.whole.get(text.replace(" ", ""))) is not None:
-            return ref
+            return None
+        found = self._ranked(0, 0.0, 0, self.whole.get(text.replace(" ", ""), ()))
         turned = re.match(r"^([a-z ]+?)\s*\(\s*([a-z]+)\s*\)$", text) or re.match(r"^([a-z0-9 ]+?)\s*,\s*([a-z0-9]+)$", text)
-        if turned:
-            ref = self._binomial(turned[2], [turned[1].replace(" ", ""), turned[1].split(" ")[0]])
-            if ref:
-                return ref
+        if turned and not found:
+            found = self._binomial(1, turned[2], [turned[1].replace(" ", ""), turned[1].split(" ")[0]])
+        if found:
+            return min(found)
         raw = [t for t in re.split(r"[\s,;()]+", text) if t]
-        tokens = [t.lstrip("×").strip(".") for t in raw]
-        dotted = [t.endswith(".") for t in raw]
-        kept = [(t, d) for t, d in zip(tokens, dotted) if t and t not in _QUALIFIERS]
-        for i, (t, _) in enumerate(kept):
-            if i and t in _RANKS and i >= 2:
-                kept = kept[:i]
-                break
-        words = [t for t, _ in kept]
+        kept = [(t.lstrip("×").strip("."), t.endswith(".")) for t in raw]
+        kept = [(t, dot) for t, dot in kept if t and t not in _QUALIFIERS]
+        rank = next((i for i, (t, _) in enumerate(kept) if i >= 2 and t in _RANKS), len(kept))
+        words = [t for t, _ in kept[:rank]]
         if len(words) < 2:
-            return self._glued(words[0]) if words and len(words[0]) >= 8 else 0
+            return min(self._glued(2, words[0]), default=None) if words else None
         if words[1] in _NO_EPITHET or not re.match(r"^[a-z0-9]+$", words[1]):
-            return 0
+            return None
         epithets = ["".join(words[1:3]), words[1]] if len(words) > 2 else [words[1]]
         if len(words[0]) == 1:
-            return max((self._initial(words[0], e) for e in epithets), default=0)
-        return self._binomial(words[0], epithets) or self._glued("".join(words[:2])) or (self._glued(words[0]) if len(words[0]) >= 10 else 0)
+            return min(self._initial(2, words[0], epithets), default=None)
+        found = self._binomial(2, words[0], epithets)
+        if not found and kept[0][1] and len(words[0]) < 4:
+            found = self._initial(3, words[0], epithets)
+        return min(found or self._glued(4, "".join(words[:2])) or self._glued(5, words[0]), default=None)
+
+    def lookup(self, typed: str) -> int:
+        """The entry meant, 0 if none is."""
+        best = self.match(typed)
+        return best[-1] if best else 0
 
 
 def map_names(records: DataFrame, reference: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
@@ -172,26 +178,46 @@ def map_names(records: DataFrame, reference: DataFrame, most_entries: int = MOST
     reference: (ref_id, species, short_code, synonym, vernacular). Records with
     NULL or blank names, and names that are exactly an entry, need none;
     repeated records count once; ref_id 0 reports a name that fits no entry.
-    Ties go to the entry named most often, then to the smallest id. A list of
-    more than ``most_entries`` entries is refused, as it would have to be cut
-    into several dictionaries.
+    Ties go to names before synonyms, codes and vernaculars, then to the entry
+    named most often, then to the smallest id. Lists of more than
+    ``most_entries`` entries are looked up in several dictionaries, each by all
+    different names, and the best candidate of all is kept. An empty list maps
+    everything to 0.
     """
-    size = reference.count()
-    if size > most_entries:
-        raise ValueError(f"the reference list has {size} entries, more than {most_entries}")
-    entries = [tuple(r) for r in reference.where("ref_id is not null and species is not null").select("ref_id", "species", "short_code", "synonym", "vernacular").collect()]
+    usable = reference.where("ref_id is not null and species is not null").select(F.col("ref_id").cast("int").alias("ref_id"), "species", "short_code", "synonym", "vernacular")
+    size = usable.count()
     spark = records.sparkSession
     used = records.where("species is not null").groupBy("species").agg(F.count("*").alias("n"))
-    exact = reference.select("ref_id", "species").where("species is not null").dropDuplicates(["species"])
-    named = {r["ref_id"]: r["n"] for r in used.join(F.broadcast(exact), "species").groupBy("ref_id").agg(F.sum("n").alias("n")).collect()}  # one row per entry at most
-    shared = spark.sparkContext.broadcast((entries, named))
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = None
-        for b in batches:
-            known = known or Dictionary(*shared.value)
-            yield pd.DataFrame({"species": b["species"], "ref_id": [known.lookup(s) for s in b["species"]]})
-
-    open_ = used.select("species").where(r"not species rlike '^\\s*$'").join(F.broadcast(exact.select("species")), "species", "left_anti")
-    mapped = open_.mapInPandas(go, "species string, ref_id int")
+    exact = usable.groupBy("species").agg(F.min("ref_id").alias("ref_id"))
+    few = lambda df: F.broadcast(df) if size <= most_entries else df
+    named = used.join(few(exact), "species").groupBy("ref_id").agg(F.sum("n").alias("n"))
+    open_ = used.select("species").where(r"not species rlike '^\\s*$'").join(few(exact.select("species")), "species", "left_anti")
+    shards = max(1, -(-size // most_entries))
+    if shards > 1:
+        open_, named = materialise(open_), materialise(named)
+    parts = []
+    for shard in range(shards):
+        own = usable.where(F.pmod(F.xxhash64("ref_id"), F.lit(shards)) == shard)
+        entries = [tuple(r) for r in own.collect()]  # about most_entries
+        counts = {r["ref_id"]: r["n"] for r in named.join(own.select("ref_id").distinct(), "ref_id", "left_semi").collect()}  # a row per entry
+        shared = spark.sparkContext.broadcast((entries, counts))
+
+        def go(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            known = None
+            for b in batches:
+                known = known or Dictionary(*shared.value)
+                found = [known.match(s) or (99, 0.0, 0, 0, 0, 0) for s in b["species"]]
+                yield pd.DataFrame({"species": b["species"], "rule": [f[0] for f in found], "distance": [float(f[1]) for f in found], "reading": [f[2] for f in found], "kind": [f[3] for f in found], "fewer": [f[4] for f in found], "ref_id": [f[5] for f in found]})
+
+        parts.append(open_.mapInPandas(go, "species string, rule int, distance double, reading int, kind int, fewer long, ref_id int"))
+    if shards > 1:
+        best = parts[0]
+        for p in parts[1:]:
+            best = best.union(p)
+        mapped = best.groupBy("species").agg(F.min(F.struct("rule", "distance", "reading", "kind", "fewer", "ref_id")).alias("b")).select("species", F.col("b.ref_id").alias("ref_id"))
+    else:
+        mapped = parts[0].select("species", "ref_id")
+    mapped = materialise(mapped)
+    if mapped.count() <= BROADCAST_NAMES:  # names are skewed in the records: no shuffle by name while they fit
+        mapped = F.broadcast(mapped)
     return records.select("table_name", "record_id", "species").distinct().join(mapped, "species").select("table_name", "record_id", "species", "ref_id")
