@@ -85,10 +85,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text").select(F.col("key").alias("doc_id"), F.col("item").cast("int").alias("item_id"))
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of a test item in runs of five words or more which follow each other within ten words."""
+    found = leaked(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text", run=5, slop=10)
+    return found.select(F.col("key").alias("doc_id"), F.col("item").cast("int").alias("item_id"), "covered", "words")
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Articles of more than 512 tokens in pieces of at most 512, 32 of them shared with the piece before."""
     return split_documents(read_table(spark, d, "documents"), "doc_id", "text", Split(512, 128, 32)).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_described, p6_found, p6_mapped, p6_misses, p7_sequences, p8_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_described, p6_found, p6_mapped, p6_misses, p7_sequences, p8_found, p8_near, p9_pieces)}
 SQL: dict[str, str] = {}
