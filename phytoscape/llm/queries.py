@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phytoscape.llm.clusters import describe_clusters, similarity_clusters
+from phytoscape.llm.clusters import bisecting_leaves, describe_clusters, similarity_clusters
 from phytoscape.llm.leakage import leaked
 from phytoscape.llm.naming import map_names
 from phytoscape.llm.packing import pack, token_sizes
@@ -51,6 +51,11 @@ def p5_described(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(v, similarity_clusters(v, 36.0))
 
 
+def p5_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The compact leaves of the tree with three records or more: pivot, size, radius and the records nearest to the pivot."""
+    return bisecting_leaves(count_vectors(spark, d), 36.0, 3)
+
+
 def _names(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for table, key, time in (("species_traits", "trait_id", "submitted_at"), ("phylogenetic_distances", "phylo_id", None)):
@@ -96,5 +101,5 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(read_table(spark, d, "documents"), "doc_id", "text", Split(512, 128, 32)).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_described, p6_found, p6_mapped, p6_misses, p7_sequences, p8_found, p8_near, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_described, p5_leaves, p6_found, p6_mapped, p6_misses, p7_sequences, p8_found, p8_near, p9_pieces)}
 SQL: dict[str, str] = {}

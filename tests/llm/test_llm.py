@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phytoscape.llm import clusters as C
 from phytoscape.llm.latex import words
-from phytoscape.llm.leakage import leaked
+from phytoscape.llm.leakage import leaked, overgrown
 from phytoscape.llm.naming import Dictionary, map_names, weighted_distance
 from phytoscape.llm.packing import first_fit_decreasing, pack, pack_groups
 from phytoscape.llm.similar import Index, _hadamard, nearest_vectors
@@ -41,7 +41,7 @@ def test_recall_against_brute_force(spark):
 def test_copies_ties_and_unusable_vectors(spark):
     m = [[1, 2, 3]] * 50 + [[3, 2, 1], [0, 0, 0]]
     df = vectors(spark, m).union(spark.createDataFrame([(60, None), (None, [1.0, 2.0, 3.0]), (61, [1.0, None, 2.0]), (62, [float("nan"), 1.0, 1.0])], "id long, vec array<double>"))
-    got = nearest_vectors(df, spark.createDataFrame([(7,), (50,), (51,), (60,)], "id long"), 3, Index(chunk_rows=2, probes=64))
+    got = nearest_vectors(df, spark.createDataFrame([(7,), (50,), (51,), (60,)], "id long"), 3, Index(chunk_rows=2))
     rows = sorted((r["id"], r["rank"], r["near"]) for r in got.collect())
     assert rows == [(7, 1, 0), (7, 2, 1), (7, 3, 2), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
     assert nearest_vectors(df.limit(0), df.select("id"), 3).count() == 0
@@ -77,9 +77,35 @@ def test_clusters_are_exact(spark, seed):
 def test_leaf_links_without_a_tree():
     rng = np.random.default_rng(4)
     m = rng.integers(0, 12, (900, 6)).astype(np.float32)
-    label = C.link_leaf(m, 4.0)
+    label, unsure = C.link_leaf(m, 4.0)
     want = {i: r for i, r in by_hand(m, 4, 1)}
-    assert [want[i] for i in range(len(m))] == label.tolist()
+    assert [want[i] for i in range(len(m))] == label.tolist() and not unsure.any()
+
+
+def test_leaves_are_compact_and_cuts_do_not_double():
+    rng = np.random.default_rng(5)
+    dense = np.unique(rng.poisson(2, (4000, 29)), axis=0).astype(np.float32)
+    assert C.fit_top(dense, 500, 0.0, 18.0) == []  # a cut would hand most rows to both sides
+    m = np.concatenate([rng.integers(0, 40, (3000, 29)), np.repeat(rng.integers(0, 40, (50, 29)), 40, 0) + rng.integers(0, 2, (2000, 29))]).astype(np.float32)
+    pivot = C.compact_leaves(m, 18.0)
+    assert np.abs(m - m[pivot]).sum(1).max() <= 18 and (pivot[pivot] == pivot).all() and len(set(pivot)) < 3300
+    rows, leaf = C.route(C.fit_top(m, 500), m, 0.0)
+    assert sorted(rows) == list(range(len(m))) and len(set(leaf)) > 4
+
+
+def test_dense_tables_are_compared_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    m = rng.poisson(3, (400, 12))
+    df = vectors(spark, m)
+    for limit in (4, 9):
+        got = {(r["id"], r["cluster_id"]) for r in C.similarity_clusters(df, limit, 3, leaf_rows=30, sample_rows=100, task_rows=80).collect()}
+        assert got == by_hand(m, limit, 3)
+
+
+def test_bisecting_leaves(spark):
+    df = vectors(spark, [[1, 1], [1, 2], [1, 1], [90, 90]])
+    assert [tuple(r) for r in C.bisecting_leaves(df, 4).collect()] == [(0, 3, 1.0, "0,1")]
+    assert C.bisecting_leaves(df.limit(0), 4).count() == 0
 
 
 def test_descriptions_and_empty(spark):
@@ -111,8 +137,17 @@ def test_map_names(spark):
     ref = spark.createDataFrame(ENTRIES, "ref_id int, species string, short_code string, synonym string, vernacular string")
     assert {(r["record_id"], r["ref_id"]) for r in map_names(rec, ref).collect()} == {(2, 1), (5, 0)}
     assert map_names(rec.limit(0), ref).count() == 0
-    with pytest.raises(ValueError):
-        map_names(rec, ref, most_entries=2)
+    assert {(r["record_id"], r["ref_id"]) for r in map_names(rec, ref, most_entries=2).collect()} == {(2, 1), (5, 0)}
+    assert {r["ref_id"] for r in map_names(rec, ref.limit(0)).collect()} == {0}
+    many = [("t", i, t) for i, t in enumerate(["Qurcus albba", "Q. alba", "tall saxweed", "QUAL", "Solwenanthus hirsutum", "nothing at all", "quercusalba"])]
+    rec = spark.createDataFrame(many, rec.schema)
+    assert sorted(map_names(rec, ref, most_entries=1).collect()) == sorted(map_names(rec, ref).collect())
+
+
+def test_names_come_before_synonyms_and_short_names_are_looked_up():
+    known = Dictionary([(1, "Alnus_rubra", None, "Quercus_alba", None), (2, "Quercus_alba", None, None, "1"), (3, "Poa_annua", "POAN", None, "Alnus rubra")])
+    assert known.lookup("QUERCUS ALBA") == 2 and known.lookup("Poannua") == 3 and known.lookup("Alnus rubra") == 1 and known.lookup("Qu. alba") == 2 and known.lookup("poan") == 3
+    assert known.lookup("Po annua") == 3 and known.lookup("Poa anua") == 3 and known.lookup("P. annuva") == 3
 
 
 # --- packing -----------------------------------------------------------------------
@@ -202,6 +237,8 @@ def test_landmarks_follow_the_text():
     ("Vari-\nance ~of  \\emph{soil}~moisture\\cite{a1,b2}.", "variance of soil moisture"), ("% a comment\n%% more-\n% over", "a comment moreover"), ("B\\\"aume {\\'e}t\\'{e} Stra\\ss e Größe \\c{c}a", "baume ete strasse grosse ca"),
     ("\\newcommand{\\ra}{relative abundance\\xspace}\\ra{} and \\ra\\ x", "relative abundance and relative abundance x"), ("\\def\\cc{canopy cover}the \\cc of", "the canopy cover of"), ("\\newcommand\\two[2]{#2 then #1}\\two{a}{b c}", "b c then a"), ("\\iffalse gone but counted\\fi", "gone but counted"),
     ("\\newcommand{\\x}{a", "a"), ("", ""), (None, ""),
+    ("".join(f"\\newcommand{{\\m{a}}}{{\\m{b}}}" for a, b in zip("abcdef", "bcdefg")) + "\\newcommand{\\mg}{deep words}start \\ma end", "start deep words end"),
+    ("\\newcommand{\\x}{one \\x two}a \\x b", "a one two b"), ("\\newcommand{\\w}[1]{<#1>}\\w{a \\w{b}} c", "a b c"), ("\\newcommand{\\x}{" + "word " * 2500 + "}\\x", " ".join(["word"] * 2500)),
 ])
 def test_words(text, want):
     assert " ".join(words(text)) == want
@@ -237,12 +274,28 @@ def test_leaks_against_brute_force(spark):
                     want.add((d, i))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id int, text string")
-    for size in (16 << 20, 600):  # all items at once, and in several rounds
-        got = {(x["key"], x["item"]) for x in leaked(df, "doc_id", "text", it, "item_id", "text", item_bytes=size).collect()}
+    for size, words_ in ((16 << 20, 1_500_000), (600, 500)):  # all items at once in one segment, and in several rounds over several segments
+        got = {(x["key"], x["item"]) for x in leaked(df, "doc_id", "text", it, "item_id", "text", item_bytes=size, segment_words=words_).collect()}
         assert got == want and (103, 1) in got or not len(items[1][1].split()) >= 12
     assert leaked(df.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
 
 
+def test_proximity(spark):
+    w = [f"w{i}" for i in range(40)]
+    changed = w[:12] + ["new", "words"] + w[13:25] + w[27:]
+    docs = [(1, " ".join(w)), (2, "before " + " ".join(changed)), (3, " ".join(w[:9] + ["x"] * 50 + w[9:18] + ["y"] * 50 + w[18:27])), (4, " ".join(reversed(w)))]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w)), (None, "x"), (8, "too short")], "item_id int, text string")
+    got = {(r["key"], r["covered"]) for r in leaked(df, "doc_id", "text", it, "item_id", "text", run=5, slop=10).collect()}
+    assert got == {(1, 40), (2, 37)}
+    assert {r["key"] for r in leaked(df, "doc_id", "text", it, "item_id", "text", run=5).collect()} == {1, 2, 3}
+
+
+def test_overgrown_macros_are_reported(spark):
+    bomb = "".join(f"\\newcommand{{\\m{a}}}{{" + f"\\m{b}" * 9 + "}" for a, b in zip("abcdefghijkl", "bcdefghijklm")) + "\\newcommand{\\mm}{soil} start \\ma end"
+    df = spark.createDataFrame([(1, bomb), (2, "\\newcommand{\\x}{y}\\x"), (3, None)], "doc_id long, text string")
+    assert [r["key"] for r in overgrown(df, "doc_id", "text").collect()] == [1] and words(bomb)[-2:] == ["start", "end"]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as E
 
