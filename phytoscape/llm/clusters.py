@@ -311,9 +311,10 @@ def leaves(packed: DataFrame, n: int, limit: float, leaf_rows: int = 4_000, samp
 
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Usable (id, vec), its different vectors (cls is the smallest id), and how many."""
-    usable = materialise(vectors.where("id is not null and vec is not null").select("id", F.col("vec").cast("array<float>").alias("vec")))
-    classes = materialise(usable.groupBy("vec").agg(F.min("id").alias("cls")))
+    """Usable (id, vec, hash h), its different vectors (cls is the smallest id), and how many."""
+    usable = vectors.where("id is not null and vec is not null").select("id", F.col("vec").cast("array<float>").alias("vec"))
+    usable = materialise(usable.select("id", "vec", F.xxhash64("vec").alias("h")))  # sorted by the hash, vectors are compared only where it is equal
+    classes = materialise(usable.groupBy("h", "vec").agg(F.min("id").alias("cls")))
     return usable, classes, classes.count()
 
 
@@ -335,16 +336,18 @@ def similarity_clusters(vectors: DataFrame, limit: float, least: int = 3, leaf_r
     spans = placed.groupBy("pivot").agg(F.max("gap").alias("radius"))
     pivots = placed.where("cls = pivot").join(spans, "pivot").select("cls", "raw", "radius")
     links = _links(pivots, limit, 2 * leaf_rows, sample_rows, task_rows)
-    edges = placed.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).union(links.where("not unsure").select("a", "b"))
+    edges = links.where("not unsure").select("a", "b")
     unsure = links.where("unsure").select(F.col("a").alias("pivot")).distinct()
+    of = placed.select("cls", "pivot")
     members = materialise(placed.join(unsure, "pivot", "left_semi").select("cls", "raw", F.lit(0.0).cast("float").alias("radius")))
     if not members.isEmpty():  # classes that their radii leave open: member by member
-        edges = edges.union(_links(members, limit, 2 * leaf_rows, sample_rows, task_rows).where("not unsure").select("a", "b"))
-    joined = components(edges)
+        more = _links(members, limit, 2 * leaf_rows, sample_rows, task_rows).where("not unsure").select("a", "b")
+        edges = edges.union(more.join(of.toDF("a", "pa"), "a").join(of.toDF("b", "pb"), "b").select("pa", "pb"))
+    joined = components(edges).toDF("pivot", "root")
     # members of each class, then whole clusters
-    member = usable.join(classes, "vec").select("id", "cls").distinct()
-    member = member.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    sizes = member.groupBy("root").agg(F.countDistinct("id").alias("size"), F.min("id").alias("cluster_id")).where(F.col("size") >= least)
+    rooted = of.join(joined, "pivot", "left").select("cls", F.coalesce("root", "pivot").alias("root"))
+    member = usable.join(classes, ["h", "vec"]).select("id", "cls").join(rooted, "cls").select("id", "root").distinct()
+    sizes = member.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("cluster_id")).where(F.col("size") >= least)
     return member.join(sizes, "root").select("id", "cluster_id").distinct()
 
 
@@ -358,7 +361,7 @@ def bisecting_leaves(vectors: DataFrame, limit: float, least: int = 2, leaf_rows
     if n == 0:
         return vectors.sparkSession.createDataFrame([], "leaf_id long, size long, radius double, typical string")
     placed = materialise(leaves(_packed(classes.repartition(tasks_for(vectors.sparkSession, n * 400))), n, limit, leaf_rows, sample_rows))
-    copies = usable.join(classes, "vec").groupBy("cls").agg(F.countDistinct("id").alias("copies"))
+    copies = usable.join(classes, ["h", "vec"]).groupBy("cls").agg(F.countDistinct("id").alias("copies"))
     rows = placed.drop("raw").join(copies, "cls")
     sizes = rows.groupBy("pivot").agg(F.sum("copies").alias("size"), F.max("gap").cast("double").alias("radius")).where(F.col("size") >= least)
     top = rows.withColumn("r", F.row_number().over(Window.partitionBy("pivot").orderBy("gap", "cls"))).where("r <= 3")

@@ -20,8 +20,9 @@ def count_vectors(spark: SparkSession, d: str) -> DataFrame:
     """(id, vec) of the records with individuals: missing and negative counts are 0, re-delivered records count once."""
     df = read_table(spark, d, "species_abundance")
     names = [c for c in df.columns if c not in ("obs_id", "site_id", "observed_on", "ingested_at")]
+    rows = df.where("obs_id is not null").select(F.col("obs_id").alias("id"), *names).dropDuplicates(["id"])
     counts = F.array(*[F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("float") for c in names])
-    return df.where("obs_id is not null").select(F.col("obs_id").alias("id"), counts.alias("vec")).dropDuplicates(["id"]).where(F.exists("vec", lambda x: x > 0))
+    return rows.select("id", counts.alias("vec")).where(F.exists("vec", lambda x: x > 0))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
