@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from phytoscape.session import materialise
 
+_SALTS = 16  # tasks over which rows of one block and order are spread while chunks are numbered
+
 
 @dataclass(frozen=True)
 class Field:
@@ -64,61 +66,77 @@ class HotDeck:
     donors: int = 3
     chunk_rows: int = 5_000
 
+    def columns(self) -> tuple[str, ...]:
+        """The columns that the operator reads beside key and arrival."""
+        return tuple(dict.fromkeys([self.group, self.time, *[f.name for f in self.fields], *[n for n, _ in self.numeric], *self.categorical]))
+
 
-def latest(df: DataFrame, key: str, arrived: str) -> DataFrame:
-    """One row per key: the last to arrive (ties: the greatest row). Rows without key are left out."""
-    rest = [arrived, *[c for c in df.columns if c not in (key, arrived)]]
+def latest(df: DataFrame, key: str, arrived: str, first: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: the last to arrive (ties: the greatest row, compared by the columns ``first``, then by the others). Rows without key are left out."""
+    rest = list(dict.fromkeys([arrived, *first, *[c for c in df.columns if c != key]]))
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def _nearest(cells: DataFrame, block: list[str], k: int, chunk_rows: int) -> DataFrame:
-    """Adds ``near``: up to k donors before and k after each cell along ``ord`` within its block, and as many from the chunks beside.
+def _nearest(rows: DataFrame, block: list[str], count: int, k: int, chunk_rows: int) -> DataFrame:
+    """(key, f, field number, near) of every cell that needs a value: up to k donors before and k after its row along ``ord`` within its block, and as many from the chunks beside.
 
-    cells: block columns, ord (double, never NULL), key, donor (struct, NULL
-    for cells that cannot give). Donors of equal order count on the side of
-    their key; a cell is never its own donor.
+    rows: block columns, ord (double, never NULL), key, f, and for each of the
+    ``count`` fields v{i} (value, NULL for cells that cannot give) and n{i}
+    (needs one). Donors of equal order count on the side of their key; a row is
+    never its own donor. Whole rows travel, once per rung; the donors' structs
+    are made after the shuffle. Blocks without a needing cell are left out.
     """
-    big = cells.groupBy(*block).agg(F.count("*").alias("_all")).where(F.col("_all") > chunk_rows).select(*block)
-    run = Window.partitionBy(*block).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    steps = (
-        cells.join(big, block, "left_semi").groupBy(*block, "ord").agg(F.count("*").alias("_n"))
-        .withColumn("_chunk", F.floor(F.coalesce(F.sum("_n").over(run), F.lit(0)) / chunk_rows))
-        .withColumn("_parts", F.ceil(F.col("_n") / chunk_rows)).drop("_n")
-    )
-    cells = (
-        cells.join(steps, [*block, "ord"], "left")
-        .withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("key"), F.col("_parts"))).otherwise(F.lit(0)))
-        .withColumn("_chunk", F.coalesce(F.col("_chunk"), F.lit(-1))).drop("_parts")
-    )
+    some = F.lit(False)
+    for i in range(count):
+        some = some | F.col(f"n{i}")
+    blocks = materialise(rows.groupBy(*block).agg(F.count("*").alias("_all"), F.count_if(some).alias("_open")).where((F.col("_all") > chunk_rows) & (F.col("_open") > 0)).select(*block))
+    has_big = not blocks.isEmpty()
+    if has_big:
+        run = Window.partitionBy(*block).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        steps = (
+            rows.join(blocks, block, "left_semi").groupBy(*block, "ord").agg(F.count("*").alias("_n"))
+            .withColumn("_chunk", F.floor(F.coalesce(F.sum("_n").over(run), F.lit(0)) / chunk_rows))
+            .withColumn("_parts", F.ceil(F.col("_n") / chunk_rows)).drop("_n")
+        )
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)))  # many rows may share one order: the join is spread over salts
+        steps = steps.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))))
+        rows = (
+            salted.join(steps, [*block, "ord", "_salt"], "left").drop("_salt")
+            .withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("key"), F.col("_parts"))).otherwise(F.lit(0)))
+            .withColumn("_chunk", F.coalesce(F.col("_chunk"), F.lit(-1))).drop("_parts")
+        )
+    else:
+        rows = rows.withColumn("_part", F.lit(0)).withColumn("_chunk", F.lit(-1))
     own = [*block, "_chunk", "_part"]
-
-    def shifted(name: str, what: str, by: list[str], order: str) -> list[Column]:
-        return [F.expr(f"{name}({what}, {i}) IGNORE NULLS OVER (PARTITION BY {', '.join(by)} ORDER BY {order})") for i in range(1, k + 1)]
-
-    beside = cells.withColumn("_near", F.array(*shifted("lag", "donor", own, "ord, key"), *shifted("lead", "donor", own, "ord, key")))
-    chunked = cells.where("_chunk >= 0")
-    up = F.row_number().over(Window.partitionBy(*own).orderBy("ord", "key"))
-    down = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("ord"), F.desc("key")))
-    edges = (
-        chunked.where("donor is not null").withColumn("_up", up).withColumn("_down", down)
-        .where((F.col("_up") <= k) | (F.col("_down") <= k)).groupBy(*own)
-        .agg(F.collect_list(F.when(F.col("_up") <= k, F.col("donor"))).alias("_first"), F.collect_list(F.when(F.col("_down") <= k, F.col("donor"))).alias("_last"))
-    )
-    carried = (
-        chunked.select(*own).distinct().join(edges, own, "left")
-        .select(*own, F.array(*shifted("lag", "_last", block, "_chunk, _part"), *shifted("lead", "_first", block, "_chunk, _part")).alias("_lists"))
-        .select(*own, F.flatten(F.filter("_lists", lambda a: a.isNotNull())).alias("_carried"))
-    )
-    return (
-        beside.join(carried, own, "left")
-        .withColumn("near", F.filter(F.concat(F.filter("_near", lambda d: d.isNotNull()), F.coalesce(F.col("_carried"), F.filter("_near", lambda d: F.lit(False)))), lambda d: d["key"] != F.col("key")))
-        .drop("_near", "_carried", "_chunk", "_part")
-    )
+    rows = rows.repartition(*own)
+
+    def around(i: int) -> Column:
+        text = f"case when v{i} is not null then struct(key, v{i}.num as num, v{i}.cat as cat, f) end"
+        over = f"IGNORE NULLS OVER (PARTITION BY {', '.join(own)} ORDER BY ord, key)"
+        return F.array(*[F.expr(f"{name}({text}, {n}) {over}") for name in ("lag", "lead") for n in range(1, k + 1)])
+
+    cells = F.filter(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"n{i}").alias("need"), F.col(f"_near{i}").alias("near")) for i in range(count)]), lambda c: c["need"])
+    asks = rows.select("*", *[around(i).alias(f"_near{i}") for i in range(count)]).where(some)
+    near = asks.select("key", "f", *own, F.explode(cells).alias("c")).select("key", "f", *own, "c.field", "c.near")
+    if has_big:
+        ends = []
+        for i in range(count):
+            all_ = F.array_sort(F.collect_list(F.when(F.col(f"v{i}").isNotNull(), F.struct("ord", "key", F.struct("key", f"v{i}.num", f"v{i}.cat", "f").alias("d")))))  # chunk_rows at most
+            some_ = lambda a: F.when(F.size(a) > 0, F.transform(F.slice(a, 1, k), lambda x: x["d"]))
+            ends.append(F.struct(F.lit(i).alias("field"), some_(all_).alias("_first"), some_(F.reverse(all_)).alias("_last")))
+        edges = rows.where("_chunk >= 0").groupBy(*own).agg(F.array(*ends).alias("e")).select(*own, F.explode("e").alias("e")).select(*own, "e.*")
+        by = ", ".join([*block, "field"])
+        lists = [F.expr(f"{name}({what}, {n}) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY _chunk, _part)") for name, what in (("lag", "_last"), ("lead", "_first")) for n in range(1, k + 1)]
+        carried = edges.select(*own, "field", F.flatten(F.filter(F.array(*lists), lambda a: a.isNotNull())).alias("_carried"))
+        near = near.join(carried, [*own, "field"], "left").withColumn("near", F.concat("near", F.coalesce("_carried", F.filter("near", lambda d: F.lit(False))))).drop("_carried")
+    return near.select("key", "f", "field", F.filter("near", lambda d: d.isNotNull() & (d["key"] != F.col("key"))).alias("near"))
 
 
 def _filled(near: DataFrame, deck: HotDeck) -> DataFrame:
     """Weighs the donors of each cell by Gower distance, keeps the closest and takes weighted median or majority."""
-    rows = near.where("need").select("key", "field", "nominal", "f", F.explode("near").alias("d"))
+    names = F.array(*[F.lit(f.name) for f in deck.fields])
+    nominal = F.array(*[F.lit(bool(f.values)) for f in deck.fields])
+    rows = near.select("key", F.get(names, F.col("field")).alias("field"), F.get(nominal, F.col("field")).alias("nominal"), "f", F.explode("near").alias("d"))
     parts = [F.least(F.lit(1.0), F.abs(F.col(f"f.{n}") - F.col(f"d.f.{n}")) / scale) for n, scale in (("_t", 365.0), *deck.numeric)]
     parts += [F.when(F.col(f"f.{n}") == F.col(f"d.f.{n}"), 0.0).when(F.col(f"f.{n}").isNotNull() & F.col(f"d.f.{n}").isNotNull(), 1.0) for n in deck.categorical]
     gaps = F.filter(F.array(*parts), lambda x: x.isNotNull())
@@ -146,34 +164,42 @@ def hot_deck(df: DataFrame, deck: HotDeck, only: str | None = None) -> DataFrame
     a value stay unfilled and are not reported. Numbers are copied from a donor
     (lower weighted median), categories by weighted majority.
     """
-    rows = latest(df, deck.key, deck.arrived)
+    needed = deck.columns()
+    rows = latest(df.select(deck.key, deck.arrived, *needed), deck.key, deck.arrived, needed)
     day = F.coalesce(F.datediff(F.col(deck.time), F.lit("1970-01-01")), F.lit(0)).cast("double")
     features = [day.alias("_t"), *[F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")).alias(n) for n, _ in deck.numeric], *[F.lower(F.trim(F.col(n).cast("string"))).alias(n) for n in deck.categorical]]
-    cells = []
-    for f in deck.fields:
+    values, count = [], len(deck.fields)
+    for i, f in enumerate(deck.fields):
         num, cat = f.usable()
-        cells.append(F.struct(F.lit(f.name).alias("field"), F.lit(bool(f.values)).alias("nominal"), num.alias("num"), cat.alias("cat")))
+        values.append(F.when(num.isNotNull() | cat.isNotNull(), F.struct(num.alias("num"), cat.alias("cat"))).alias(f"v{i}"))
     band = F.floor(F.col(f"f.{deck.band[0]}") / deck.band[1]) if deck.band else F.lit(None).cast("bigint")
-    long = (
-        rows.select(F.col(deck.key).alias("key"), F.col(deck.group).alias("grp"), F.quarter(F.col(deck.time)).alias("season"), F.struct(*features).alias("f"), F.explode(F.array(*cells)).alias("c"))
-        .select("key", "grp", "season", "f", "c.*").withColumn("need", F.col("num").isNull() & F.col("cat").isNull())
-        .withColumn("donor", F.when(~F.col("need"), F.struct("key", "num", "cat", "f")))
-        .withColumn("traits", F.xxhash64(F.coalesce(F.col("season"), F.lit(0)), band, *[F.coalesce(F.col(f"f.{n}"), F.lit("?")) for n in deck.categorical]))
-        .withColumn("season", F.coalesce(F.col("season"), F.lit(0)))
+    whole = (
+        rows.select(F.col(deck.key).alias("key"), F.col(deck.group).alias("grp"), F.coalesce(F.quarter(F.col(deck.time)), F.lit(0)).alias("season"), F.struct(*features).alias("f"), *values)
+        .withColumns({f"n{i}": F.col(f"v{i}").isNull() for i in range(count)})
+        .withColumn("traits", F.xxhash64("season", band, *[F.coalesce(F.col(f"f.{n}"), F.lit("?")) for n in deck.categorical]))
     )
+    if only != "group":
+        whole = materialise(whole)
     height = F.coalesce(F.col(f"f.{deck.band[0]}"), F.lit(0.0)) if deck.band else F.col("f._t")
-    rungs = [("group", "grp", F.col("f._t")), ("season_features", "traits", height), ("season", "season", height), ("all", None, height)]
-    out, open_ = None, long.where("need").select("key", "field")
+    rungs = [("group", "grp", F.col("f._t")), ("season_features", "traits", height), ("season", "season", height), ("all", "one", height)]
+    whole = whole.withColumn("one", F.lit(1))
+    out, open_ = None, None
     for name, block, order in rungs:
-        by = [*([block] if block else []), "field"]
-        own = long.where(F.col(block).isNotNull()) if block else long
-        if out is not None:  # only the cells that are still open ask
-            own = own.join(open_.withColumn("_open", F.lit(True)), ["key", "field"], "left").withColumn("need", F.col("need") & F.col("_open").isNotNull()).drop("_open")
-        found = _filled(_nearest(own.withColumn("ord", order), by, deck.donors, deck.chunk_rows), deck).withColumn("block", F.lit(name))
+        own = whole.where(F.col(block).isNotNull())
+        if open_ is not None:  # only the cells that are still open ask
+            flags = open_.groupBy("key").agg(F.collect_set("field").alias("_open"))  # one element per field
+            own = own.join(flags, "key", "left").withColumns({f"n{i}": F.coalesce(F.array_contains("_open", f.name), F.lit(False)) for i, f in enumerate(deck.fields)}).drop("_open")
+        own = own.select("key", block, "f", order.alias("ord"), *[f"{c}{i}" for i in range(count) for c in "vn"])
+        if open_ is not None:  # and only blocks that hold such a cell give
+            asked = own.where(" or ".join(f"n{i}" for i in range(count))).select(block).distinct()
+            own = own.join(asked, block, "left_semi")
+        found = _filled(_nearest(own, [block], count, deck.donors, deck.chunk_rows), deck).withColumn("block", F.lit(name))
         if only == name:
             return found
         found = materialise(found)  # else each rung's plan would hold those before several times
         out = found if out is None else out.unionByName(found)
+        if open_ is None:
+            open_ = whole.select("key", F.explode(F.filter(F.array(*[F.when(F.col(f"n{i}"), F.lit(f.name)) for i, f in enumerate(deck.fields)]), lambda x: x.isNotNull())).alias("field"))
         open_ = materialise(open_.join(found.select("key", "field"), ["key", "field"], "left_anti"))
         if open_.isEmpty():
             break
@@ -185,7 +211,7 @@ def filled_table(df: DataFrame, deck: HotDeck) -> DataFrame:
     cells = hot_deck(df, deck)
     names = {f.name: f for f in deck.fields}
     picked = cells.groupBy("key").agg(*[F.max(F.when(F.col("field") == n, F.struct("num", "cat"))).alias(f"_{n}") for n in names])
-    rows = latest(df, deck.key, deck.arrived).join(picked.withColumnRenamed("key", deck.key), deck.key, "left")
+    rows = latest(df, deck.key, deck.arrived, deck.columns()).join(picked.withColumnRenamed("key", deck.key), deck.key, "left")
     for n, f in names.items():
         num, cat = f.usable()
         own, new = (cat, F.col(f"_{n}")["cat"]) if f.values else (num, F.col(f"_{n}")["num"])
