@@ -178,8 +178,7 @@ def hot_deck(df: DataFrame, deck: HotDeck, only: str | None = None) -> DataFrame
         .withColumns({f"n{i}": F.col(f"v{i}").isNull() for i in range(count)})
         .withColumn("traits", F.xxhash64("season", band, *[F.coalesce(F.col(f"f.{n}"), F.lit("?")) for n in deck.categorical]))
     )
-    if only != "group":
-        whole = materialise(whole)
+    whole = materialise(whole)  # every rung reads it several times
     height = F.coalesce(F.col(f"f.{deck.band[0]}"), F.lit(0.0)) if deck.band else F.col("f._t")
     rungs = [("group", "grp", F.col("f._t")), ("season_features", "traits", height), ("season", "season", height), ("all", "one", height)]
     whole = whole.withColumn("one", F.lit(1))

@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phytoscape.operators.geometry import TriangleTree, triangulate
-from phytoscape.session import materialise
+from phytoscape.session import materialise, parallelism
 
 EARTH_RADIUS_M = 6_371_000.0
 #: Bytes of triangles up to which the hierarchy is sent to every task; beyond it, triangles and points are distributed by tiles.
 BROADCAST_BYTES = 32 << 20
 #: Boxes (key and cell, some 60 bytes each) up to which the open ones are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Pairs of positions that may be compared in the end; while there are more, boxes are cut finer, down to a millimetre.
+MOST_PAIRS = 20_000_000
 _TRIANGLE_BYTES = 6 * 8 + 8 + 2 + 40
 
 
@@ -88,18 +90,21 @@ def near_keys(points: DataFrame, radius_m: float) -> DataFrame:
 
     points: (k, y, x) of ``positions``. An empty table gives no pair; equal
     positions of one key are one position; a key is never paired with itself.
+    The radius must be below a quarter of the way around the earth.
     """
-    fine, finer = radius_m / 8, radius_m / 128
+    if not 0 < radius_m < 9_000_000:
+        raise ValueError("the radius must lie between 0 and 9,000 km")
+    fine = radius_m / 8
     step = 180.0 / np.pi / EARTH_RADIUS_M
     # the width in longitude of a cell is set by the band of one degree it lies in
-    cos = F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.floor("y") + 0.5))))
+    cos = F.cos(F.radians(F.least(F.lit(89.5), F.abs(F.floor("y") + 0.5))))
     cell = lambda size: (F.floor(F.col("y") / (size * step)), F.floor(F.col("x") * cos / (size * step)))
     # a box is known by a hash of its cell: were two cells to share one, their box would only be larger
     cells = points.select(
-        "*", *[F.xxhash64(F.floor("y"), *cell(size)).alias(name) for name, size in (("c1", fine), ("c2", finer))],
+        "*", F.xxhash64(F.floor("y"), *cell(fine)).alias("c1"),
         F.col("y").alias("y0"), F.col("y").alias("y1"), F.col("x").alias("x0"), F.col("x").alias("x1"),
     )
-    one, two = ["k", "c1"], ["k", "c1", "c2"]
+    one = ["k", "c1"]
     boxes1 = _boxes(cells, one)
 
     # a box lives in the coarse cell of its lower corner and is looked for in all cells where a near box's corner can be
@@ -108,18 +113,20 @@ def near_keys(points: DataFrame, radius_m: float) -> DataFrame:
     row = lambda y: F.floor(y / high)
 
     def width(r: Column) -> Column:
-        top = F.least(F.lit(89.0), F.greatest(F.abs(r), F.abs(r + 1)) * high)
-        return high / F.cos(F.radians(top))
+        """Width of the columns of a row of cells; a row that reaches beyond 89 degrees is one column."""
+        top = F.greatest(F.abs(r), F.abs(r + 1)) * high
+        return F.when(top >= 89, F.lit(360.0)).otherwise(F.least(F.lit(360.0), high / F.cos(F.radians(top))))
 
     home = boxes1.withColumn("r", row(F.col("y0"))).withColumn("c", F.pmod(F.floor((F.col("x0") + 180) / width(F.col("r"))), F.ceil(360.0 / width(F.col("r")))))
     pad = near + fine * step * 2
     probe = (
         boxes1.withColumn("r", F.explode(F.sequence(row(F.col("y0") - pad), row(F.col("y1") + near))))
         .withColumn("w", width(F.col("r")))
-        .withColumn("reach", (radius_m * 1.000001 + 2 * fine) * step / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y0"), F.abs("y1")) + high * 2))))
+        .withColumn("top", F.greatest(F.abs("y0"), F.abs("y1")) + high * 2)
+        .withColumn("reach", F.when(F.col("top") >= 89, F.lit(180.0)).otherwise(F.least(F.lit(180.0), (radius_m * 1.000001 + 2 * fine) * step / F.cos(F.radians("top")))))
         .withColumn("c", F.explode(F.sequence(F.floor((F.col("x0") - F.col("reach") + 180) / F.col("w")), F.floor((F.col("x1") + F.col("reach") + 180) / F.col("w")))))
         .withColumn("c", F.pmod(F.col("c"), F.ceil(360.0 / F.col("w"))))
-        .drop("w", "reach")
+        .drop("w", "reach", "top")
     )
     sure, maybe = _box_bounds(radius_m)
     pairs = (
@@ -128,29 +135,39 @@ def near_keys(points: DataFrame, radius_m: float) -> DataFrame:
         .where(maybe)
         .withColumn("sure", sure)
     )
-    settled = materialise(pairs.groupBy("a_k", "b_k").agg(F.max("sure").alias("sure"), F.collect_set(F.struct("a_c1", "b_c1")).alias("boxes")).withColumn("boxes", F.when(~F.col("sure"), F.col("boxes"))))
-    known = settled.where("sure").select("a_k", "b_k")
-    open1 = settled.where("not sure").select("a_k", "b_k", F.explode("boxes").alias("x")).select("a_k", "b_k", "x.*")
-
-    # what is open is settled on the boxes of its own positions alone
-    need = open1.select(F.col("a_k").alias("k"), F.col("a_c1").alias("c1")).union(open1.select("b_k", "b_c1")).distinct()
-    few = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    cells = cells.join(F.broadcast(need) if few else need, one, "left_semi")
-    boxes2 = _boxes(cells, two)
     on = lambda s, cols: [f"{s}_{c}" for c in cols]
-    pairs2 = (
-        open1.join(_side(boxes2, "a", two), on("a", one)).join(_side(boxes2, "b", two), on("b", one))
-        .where(maybe).withColumn("sure", sure)
-    )
-    known2 = pairs2.where("sure").select("a_k", "b_k").distinct()
-    open2 = pairs2.where("not sure").select(*on("a", two), *on("b", two)).join(known2, ["a_k", "b_k"], "left_anti")
-    spots = cells.select(*two, "y", "x").distinct()
-    named = lambda s: spots.select(*[F.col(c).alias(f"{s}_{c}") for c in [*two, "y", "x"]])
+    pairs = materialise(pairs.select("a_k", "a_c1", "b_k", "b_c1", "sure"))
+    known = pairs.where("sure").select("a_k", "b_k").distinct()
+    open_ = pairs.where("not sure").select("a_k", "a_c1", "b_k", "b_c1").distinct().join(known, ["a_k", "b_k"], "left_anti")
+    # what is open is settled on ever finer boxes of its own positions alone, and at last on the positions
+    spots, size = cells.select(*one, "y", "x", "y0", "y1", "x0", "x1"), radius_m
+    while True:
+        open_ = materialise(open_)
+        need = materialise(open_.select(F.col("a_k").alias("k"), F.col("a_c1").alias("c1")).union(open_.select("b_k", "b_c1")).distinct())
+        few = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        spots = spots.join(F.broadcast(need) if few else need, one, "left_semi").distinct()
+        held = spots.groupBy(*one).agg(F.count("*").alias("n"))
+        named = lambda df, s, cols: df.select(*[F.col(c).alias(f"{s}_{c}") for c in cols])
+        work = open_.join(named(held, "a", [*one, "n"]), on("a", one)).join(named(held, "b", [*one, "n"]), on("b", one)).agg(F.sum(F.col("a_n").cast("double") * F.col("b_n"))).first()[0] or 0
+        if size < radius_m and (work <= MOST_PAIRS or size < 0.001):
+            break
+        size /= 128 if size == radius_m else 16
+        spots = materialise(spots.withColumn("c2", F.xxhash64("c1", F.floor("y"), *cell(size))))
+        boxes2 = _boxes(spots, [*one, "c2"])
+        finer = (
+            open_.join(_side(boxes2, "a", [*one, "c2"]), on("a", one)).join(_side(boxes2, "b", [*one, "c2"]), on("b", one))
+            .where(maybe).withColumn("sure", sure)
+        )
+        finer = materialise(finer.select("a_k", F.col("a_c2").alias("a_c1"), "b_k", F.col("b_c2").alias("b_c1"), "sure"))
+        found = finer.where("sure").select("a_k", "b_k").distinct()
+        known = known.union(found)
+        open_ = finer.where("not sure").select("a_k", "a_c1", "b_k", "b_c1").distinct().join(found, ["a_k", "b_k"], "left_anti")
+        spots = spots.select("k", F.col("c2").alias("c1"), "y", "x", "y0", "y1", "x0", "x1")
     exact = (
-        open2.join(named("a"), on("a", two)).join(named("b"), on("b", two))
+        open_.join(named(spots, "a", [*one, "y", "x"]), on("a", one)).join(named(spots, "b", [*one, "y", "x"]), on("b", one))
         .where(haversine_m("a_y", "a_x", "b_y", "b_x") <= radius_m).select("a_k", "b_k")
     )
-    return known.union(known2).union(exact).distinct().select(F.col("a_k").alias("key_a"), F.col("b_k").alias("key_b"))
+    return known.union(exact).distinct().select(F.col("a_k").alias("key_a"), F.col("b_k").alias("key_b"))
 
 
 _TRIANGLES = "region string, part int, hole boolean, ax double, ay double, bx double, by double, cx double, cy double, edges int"
@@ -190,7 +207,7 @@ def keys_in_regions(points: DataFrame, regions: DataFrame, name: str, wkt: str,
     its own hierarchy.
     """
     spark = points.sparkSession
-    triangles = region_triangles(regions, name, wkt)
+    triangles = materialise(region_triangles(regions.repartition(parallelism(spark)), name, wkt))
     n = triangles.count()
     if n == 0:
         return points.select(F.lit(None).cast("string").alias("region"), F.col("k").cast("string")).limit(0)

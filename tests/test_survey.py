@@ -6,7 +6,7 @@ import pytest
 from phytoscape.operators import geometry as G
 from phytoscape.operators.hotdeck import Field, HotDeck, filled_table, hot_deck
 from phytoscape.operators.nearby import keys_in_regions, near_keys, near_or_inside, positions
-from phytoscape.operators.profile import Limits, control_limits, load_findings, merge_states, profile_metrics, profile_states
+from phytoscape.operators.profile import Limits, control_limits, load_findings, merge_states, profile_metrics, profile_states, value_states
 
 
 def haversine(a, b):
@@ -71,6 +71,18 @@ def test_near_keys_against_brute_force(spark):
     assert got == want and ("east", "west") in got
 
 
+def test_near_keys_at_the_poles_and_in_crowded_cells(spark, monkeypatch):
+    from phytoscape.operators import nearby
+
+    monkeypatch.setattr(nearby, "MOST_PAIRS", 50)
+    rnd = random.Random(3)
+    pts = [(f"p{i}", 90 - rnd.uniform(0, 0.004), rnd.uniform(-180, 180)) for i in range(40)] + [(f"q{i}", rnd.choice([88.999, 89.0, 89.001]) + rnd.gauss(0, 1e-3), rnd.uniform(-0.1, 0.1)) for i in range(40)]
+    pts += [(f"h{i % 2}", 45 + i % 2 * 0.0008993 + rnd.gauss(0, 1e-6), 7 + rnd.gauss(0, 1e-6)) for i in range(120)]
+    got = {tuple(r) for r in near_keys(positions(spark.createDataFrame(pts, "site string, lat double, lon double"), "site", "lat", "lon"), 100.0).collect()}
+    want = {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and haversine(a[1:], b[1:]) <= 100}
+    assert got == want and len({p for p in got if p[0][0] == "p"}) > 20
+
+
 def test_empty_points(spark):
     none = spark.createDataFrame([], "site string, lat double, lon double")
     regions = spark.createDataFrame([("a", STAR)], "area string, wkt string")
@@ -112,6 +124,20 @@ def test_profile_states_merge(spark):
     assert whole["v"]["distinct_values"] == 100 and whole["n"]["missing_share"] == 1 and whole["t"]["off_form_share"] == pytest.approx(33 / 100)
 
 
+def test_stored_states_add_up(spark):
+    rows = [("s", i % 3 + 1, float(40 + i % (3 + i % 5)), "V2020-000001" if i % 9 else "?", i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "series string, no int, lat double, code string, part int")
+    limits, form = [Limits("lat", 40, 50, 0.01)], ("code", r"V[0-9]{4}-[0-9]{6}")
+    stored = value_states(df.where("part = 0"), "series", "no", limits, form)
+    whole = {tuple(r) for r in load_findings(df, "series", "no", limits, form).collect()}
+    assert whole and {tuple(r) for r in load_findings(df.where("part = 1"), "series", "no", limits, form, stored=stored).collect()} == whole
+
+
+def test_control_limits_of_short_histories(spark):
+    m = spark.createDataFrame([("s", 1, "c", 10, 1.0), ("s", 2, "c", 30, 1.1), ("t", 1, "c", 5, None)], "series string, no int, column_name string, n long, mean double")
+    assert [(r["no"], r["metric"]) for r in control_limits(m, "series", "no").collect()] == [(2, "n")]
+
+
 def test_control_limits(spark):
     m = spark.createDataFrame([("s", i, "c", 0.1 + 0.001 * (i % 2), 5, 1.0, 1.0) for i in range(6)] + [("s", 6, "c", 0.9, 5, 1.0, 1.0)], "series string, no int, column_name string, missing_share double, distinct_values long, mean double, median double")
     assert [(r["no"], r["metric"]) for r in control_limits(m, "series", "no").collect()] == [(6, "missing_share")]
