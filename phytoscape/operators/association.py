@@ -106,8 +106,8 @@ def metacommunity(com: DataFrame) -> DataFrame:
     beta = rich.agg(F.avg("s").alias("al")).join(com.agg(F.countDistinct("species").alias("ga"))).select((C("ga") / C("al") - 1).alias("turnover"))
     pair = site_pairs(com).agg(F.avg((C("ni") + C("nj") - 2 * C("a")) / (C("ni") + C("nj"))).alias("mean_turnover"))
     out = coh.join(beta).join(pair).select(F.coalesce(1 - F.try_divide("emb", "possible"), F.lit(1.0)).alias("coherence"), "turnover", "mean_turnover", "boundary_clumping")
-    high, far, clump = C("coherence") > 0.5, C("turnover") > 1.5, C("boundary_clumping") > 0.5
-    return out.withColumn("structure", F.when(high & far & ~clump, "Gleasonian").when(high & far, "Clementsian").when(high, "nested").otherwise("random"))
+    coherent, far, clumped = C("coherence") > 0.5, C("turnover") > 1.5, C("boundary_clumping") < 0.5
+    return out.withColumn("structure", F.when(~coherent, "random").when(~far, "nested").when(~clumped, "evenly_spaced").otherwise("clumped"))
 
 
 def cooccurrence_network(com: DataFrame, threshold: float = 0.5, n_sites: int | None = None) -> DataFrame:

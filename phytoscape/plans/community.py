@@ -117,10 +117,9 @@ _add("nestedness_temperature", _survey(A.temperature), f"""
     select r, c, z, coalesce(sum(pb) over (partition by r order by c desc rows between unbounded preceding and 1 preceding), 0) pa, coalesce(sum(zb) over (partition by r order by c desc rows between unbounded preceding and 1 preceding), 0) za from (
       select r, c, z, coalesce(sum(1 - z) over (partition by c order by r desc rows between unbounded preceding and 1 preceding), 0) pb, coalesce(sum(z) over (partition by c order by r desc rows between unbounded preceding and 1 preceding), 0) zb from cells))""".replace("from cells", f"from (select r, c, case when x > 0 then 0 else 1 end z from {_GRID} g join (select site, row_number() over (order by count(*) desc, site) r from com group by 1) using (site) join (select species, row_number() over (order by count(*) desc, species) c from com group by 1) using (species)) cells"), "temperature")
 _RANK = "(select site, row_number() over (order by s desc, site) r from sites)"
-_add("metacommunity_structure", lambda s, d: A.metacommunity(survey(s, d)).drop("structure"), f"""
-  select coalesce(1 - sum(len - occ) / nullif(sum(case when occ > 1 then len else 0 end), 0), 1) coherence, (select (select count(distinct species) from com) / avg(s) - 1 from sites) turnover,
-    (select avg((ni + nj - 2 * a) / (ni + nj)) from {_SITES}) mean_turnover, avg(len / occ) boundary_clumping from (select species, max(r) - min(r) + 1 len, count(*) occ from com join {_RANK} using (site) group by 1)""", "coherence, turnover, mean_turnover, boundary_clumping")
-_add("structure_class", lambda s, d: A.metacommunity(survey(s, d)).select("structure"))
+_add("metacommunity_structure", _survey(A.metacommunity), f"""
+  select *, case when coherence <= 0.5 then 'random' when turnover <= 1.5 then 'nested' when boundary_clumping < 0.5 then 'clumped' else 'evenly_spaced' end as structure from (select coalesce(1 - sum(len - occ) / nullif(sum(case when occ > 1 then len else 0 end), 0), 1) coherence, (select (select count(distinct species) from com) / avg(s) - 1 from sites) turnover,
+    (select avg((ni + nj - 2 * a) / (ni + nj)) from {_SITES}) mean_turnover, avg(len / occ) boundary_clumping from (select species, max(r) - min(r) + 1 len, count(*) occ from com join {_RANK} using (site) group by 1))""", "coherence, turnover, mean_turnover, boundary_clumping", "structure")
 _add("cooccurrence_network", _survey(A.cooccurrence_network), f"""
   select i, j, r, coalesce(abs(r) >= 0.5, false) edge from (select a.species i, b.species j, case when stddev_pop(a.x) > 0 and stddev_pop(b.x) > 0 then corr(a.x, b.x) end r from {_GRID} a join {_GRID} b on a.site = b.site and a.species < b.species group by 1, 2)""", "r", "i, j, edge")
 

@@ -8,6 +8,7 @@ from phytoscape.functions import formulas as X
 from phytoscape.operators import names as N
 from phytoscape.plans.helpers import rounded
 from phytoscape.session import read_table
+from phytoscape.sources import tables as T
 
 QUERIES, SQL = {}, {}
 TODAY = "2024-06-30"
@@ -24,20 +25,47 @@ def _t(name):
 
 
 _traits, _veg, _line = _t("species_traits"), _t("vegetation_survey_data"), _t("lineitem")
-_add("name_types", lambda s, d: _traits(s, d).groupBy(N.name_type(F.col("species")).alias("name_type")).agg(F.count("*").alias("records")), r"""
-with t as (select trim(regexp_replace(coalesce(species, ''), '[\s_]+', ' ', 'g'), ' ') t from species_traits)
-select case when t = '' then 'empty' when regexp_matches(t, '(?i)(^|\s)(sp|spp|species|indet|unknown|unidentified|undetermined|cf|aff)\.?(\s|\d|$)') then 'placeholder' when regexp_matches(t, '(×|\s[xX]\s)') then 'hybrid'
-  when regexp_matches(t, '(?i)\s(var|subsp|ssp|f|forma|cv)\.?\s') then 'infraspecific' when len(string_split(t, ' ')) = 1 then 'genus' when len(string_split(t, ' ')) = 2 then 'binomial' else 'longer' end name_type, count(*) records from t group by 1""")
+# the patterns as SQL, stated apart from those of the operators
+_PH = r"\b(sp\.?|cf\.?|aff\.?|indet\.?|unknown|unidentified|undet\.?|spec\.?|species|gen\.?|genus)(\s|$)"
+_AU = [r"\s+L\.(\s|$)", r"\s+\([^)]+\)\s*[A-Z][a-z]+", r"\s+[A-Z][a-z]+\s+[A-Z][a-z]+(\s+\d{4})?$", r"\s+[A-Z][a-z]+\s+\d{4}(\s|$)", r"\s+\d{4}(\s|$)", r"\s+(ex|sensu|in)\s+[A-Z][a-z]+", r"\s+emend\.?\s+[A-Z][a-z]+", r"\s+nom\.\s+(nud|inval)\.", r"\s+et\s+al\.", r"\s+&\s+[A-Z][a-z]+"]
+_RK = r"var\.|variety|subsp\.|ssp\.|subspecies|f\.|form|cv\.|cultivar|subvar\.|subf\."
+_NAMES = r"with n as (select trait_id, species s, trim(regexp_replace(species, '\s+$|^\s+', '', 'g')) t from species_traits), w as (select *, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') w from n)"
+_author = lambda c, flags="": "(" + " or ".join(f"regexp_matches({c}, '{flags}{p}')" for p in _AU) + ")"
+_add("name_types", lambda s, d: _traits(s, d).groupBy(N.name_type(F.col("species")).alias("name_type")).agg(F.count("*").alias("records")), rf"""{_NAMES}
+select case when s is null then 'invalid' when regexp_matches(lower(t), '{_PH}') then 'placeholder' when contains(t, '×') or contains(t, 'x ') or contains(t, 'hybr') and (contains(t, 'hybrid') or contains(t, 'hybr.')) then 'hybrid' when regexp_matches(t, '{_RK}') then 'infraspecific'
+  when len(w) = 0 then 'empty' when len(w) = 1 then case when regexp_matches(w[1], '^\p{{Lu}}') then 'genus_only' else 'epithet_only' end when len(w) = 2 then case when regexp_matches(w[1], '^\p{{Lu}}') and regexp_matches(w[2], '^\p{{Ll}}') then 'binomial' else 'malformed_binomial' end
+  when {_author('t')} then 'binomial_with_author' else 'trinomial_or_complex' end name_type, count(*) records from w group by 1""")
 _add("clean_names", lambda s, d: _traits(s, d).select("trait_id", N.clean_name(F.col("species")).alias("cleaned")))
+_add("fuzzy_names", lambda s, d: N.fuzzy_match(_traits(s, d), "species", read_table(s, d, "species_reference"), "species"), """
+with q as (select distinct species name, regexp_replace(species, '[^\x00-\x7F]', '?', 'g') a from species_traits where species <> ''), r as (select distinct species m from species_reference where species <> ''),
+c as (select name, m, 100.0 * (1 - levenshtein(a, m) / greatest(length(a), length(m))) s from q, r where len(list_intersect(list_transform(range(1, greatest(length(a) - 1, 1) + 1), lambda i: substr(a, i, 2)), list_transform(range(1, greatest(length(m) - 1, 1) + 1), lambda i: substr(m, i, 2)))) > 0),
+b as (select name, arg_min(m, (-s, m)) m, max(s) s from c group by 1)
+select name, case when s >= 80 then m else name end as match, round(coalesce(s, 0), 9) + 0.0 score from q left join b using (name)""")
 _add("standard_names", lambda s, d: _traits(s, d).select("trait_id", N.standard_name(F.col("species")).alias("name")), r"""
 with t as (select trait_id, string_split(trim(regexp_replace(coalesce(species, ''), '\s+', ' ', 'g'), ' '), ' ') w, trim(regexp_replace(coalesce(species, ''), '\s+', ' ', 'g'), ' ') t from species_traits)
 select trait_id, case when len(w) >= 2 then upper(w[1][1]) || lower(w[1][2:]) || ' ' || lower(w[2]) else t end as name from t""")
-_add("name_error_counts", lambda s, d: _traits(s, d).agg(*[F.count_if(f).alias(k) for k, f in N.name_errors(F.col("species")).items()]), r"""
-with t as (select coalesce(species, '') t, trim(regexp_replace(coalesce(species, ''), '_', ' ', 'g'), ' ') b from species_traits)
-select count(*) filter (where b = '') missing, count(*) filter (where b <> '' and not contains(b, ' ')) one_word, count(*) filter (where regexp_matches(t, '^\s|\s$|\s{2,}')) spacing, count(*) filter (where b <> '' and not regexp_matches(b, '^[A-Z][^A-Z]*$')) capitalisation,
-  count(*) filter (where regexp_matches(b, '[A-Z][a-z]*\.(\s|$)|\([A-Z]')) author, count(*) filter (where regexp_matches(b, '(×|\s[xX]\s)')) hybrid, count(*) filter (where regexp_matches(b, '(?i)\s(var|subsp|ssp|f|forma|cv)\.?\s')) infraspecific,
-  count(*) filter (where regexp_matches(b, '(?i)(^|\s)(sp|spp|species|indet|unknown|unidentified|undetermined|cf|aff)\.?(\s|\d|$)')) placeholder, count(*) filter (where regexp_matches(b, '[0-9@#$%^*+=<>?!]')) "characters" from t""")
-_add("name_report", lambda s, d: N.with_name_checks(_traits(s, d).select("trait_id", "species"), "species").groupBy("name_severity").agg(F.count("*").alias("records")))
+_first, _second = r"regexp_matches(w[1], '^\p{Lu}')", r"regexp_matches(w[2], '^\p{Lu}')"
+_before = [rf"len(list_filter(string_split_regex(string_split(t, '{m}')[1], '\s+'), lambda x: x <> '')) < 2" for m in N.MARKERS]
+_ranked = " or ".join(f"(contains(t, '{m}') and (len(string_split(t, '{m}')) <> 2 or {b} or trim(string_split(t, '{m}')[2]) = '' or regexp_matches(trim(string_split(t, '{m}')[2]), '^\\p{{Lu}}')))" for m, b in zip(N.MARKERS, _before))
+_CHECKS = {
+    "incomplete_binomial": f"len(w) < 2 or not {_first} or {_second}", "formatting_issues": "false",
+    "author_citations": rf"{_author('t', '(?i)')} or regexp_matches(t, '\b[A-Z][a-z]+\s+\d{{4}}\b') or regexp_matches(t, '\([^)]+\)') or regexp_matches(t, '\b[A-Z]\.$')",
+    "hybrid_markers": r"contains(t, '×') or contains(t, 'x ') or contains(t, 'hybrid') or contains(t, 'hybr.') or contains(lower(t), ' x ') and not regexp_matches(t, '(?i)\s+x\s+[A-Z][a-z]+')", "infraspecific_issues": _ranked,
+    "placeholder_names": rf"regexp_matches(lower(t), '{_PH}') or regexp_matches(lower(t), '\b\d+\b')", "invalid_characters": r"regexp_matches(t, '\d') or regexp_matches(t, '\s{2,}') or regexp_matches(t, '[^\p{L}\p{N}_\s×.\-]') or regexp_matches(t, '[\x{2000}-\x{206F}\x{2E00}-\x{2E7F}]')",
+    "missing_components": rf"s is null or len(w) = 0 or len(w) = 1 and not regexp_matches(lower(t), '{_PH}')",
+    "capitalization_errors": rf"len(w) > 1 and (not {_first} or {_second} or w[1] <> upper(w[1][1]) || lower(w[1][2:]) or w[2] <> lower(w[2])) or len(list_filter(w, lambda x: regexp_matches(x[2:], '\p{{Lu}}') and regexp_matches(x[2:], '\p{{Ll}}'))) > 0",
+    "spacing_errors": r"regexp_matches(t, '\s{2,}') or regexp_matches(t, '\s+[.,;:]')",
+}
+_flagged = ", ".join(f"(s is not null or '{k}' = 'missing_components') and coalesce({c}, false) as {k}" for k, c in _CHECKS.items())
+_add("name_error_counts", lambda s, d: N.with_name_checks(_traits(s, d).select("species"), "species").agg(*[F.count_if(F.col(f"name_has_{k}")).alias(k) for k in N.CATEGORIES]), rf"""{_NAMES}, f as (select {_flagged} from (select s, coalesce(t, '') t, coalesce(w, []) w from w)) select {', '.join(f'count(*) filter (where {k}) {k}' for k in _CHECKS)} from f""")
+_add("name_severity", lambda s, d: N.with_name_checks(_traits(s, d).select("species"), "species").groupBy("name_severity").agg(F.count("*").alias("records")), rf"""{_NAMES}, f as (select {_flagged} from (select s, coalesce(t, '') t, coalesce(w, []) w from w))
+select case when missing_components or incomplete_binomial or placeholder_names then 'critical' when invalid_characters then 'high' when author_citations or infraspecific_issues or hybrid_markers then 'medium' when capitalization_errors or spacing_errors then 'low' else 'none' end name_severity, count(*) records from f group by 1""")
+_add("name_report", lambda s, d: N.name_report(_traits(s, d), "species"))
+_add("names_checked", lambda s, d: N.with_name_checks(_traits(s, d).select("trait_id", "species"), "species"))
+_add("darwin_core", lambda s, d: T.darwin_core_report(T.to_darwin_core(_veg(s, d).select("record_id", "site_id", "date", "latitude", "longitude", "elevation").withColumn("species", F.lit("Quercus alba")))).where("issue <> 'in the future'"), """
+select 'warning' as level, 'decimalLatitude, decimalLongitude' term, 'invalid pair' issue, count(*) records from vegetation_survey_data where coalesce(latitude between -90 and 90 and longitude between -180 and 180 and not isnan(latitude) and not isnan(longitude), false) is not true having count(*) > 0""")
+
+
 def _flags():
     return N.coordinate_flags(F.col("latitude"), F.col("longitude"))
 

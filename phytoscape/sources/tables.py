@@ -6,9 +6,11 @@ import re
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phytoscape.operators.names import parse_date
+
 
 class NotSupportedError(NotImplementedError):
     """The format needs a library or a network that is not there."""
@@ -16,17 +18,26 @@ class NotSupportedError(NotImplementedError):
 
 # fixed values: column names that stand for one thing
 ALIASES = {
-    "site_id": ("site_id", "site", "plot", "plot_id", "releve", "sample_id"), "species": ("species", "species_name", "taxon", "scientific_name", "scientificname"),
-    "abundance": ("abundance", "cover", "count", "individuals", "percent_cover"), "latitude": ("latitude", "lat", "decimallatitude", "y_coord"),
-    "longitude": ("longitude", "lon", "long", "decimallongitude", "x_coord"), "date": ("date", "sampling_date", "survey_date", "event_date", "eventdate"), "elevation": ("elevation", "altitude", "elev"),
+    "species": ("species_name", "taxon", "scientific_name"), "abundance": ("cover", "coverage", "abundance_value", "percent_cover"), "plot_id": ("plot", "site", "site_id", "releve", "quadrat"),
+    "latitude": ("lat", "y", "coord_y"), "longitude": ("lon", "lng", "long", "x", "coord_x"), "date": ("sampling_date", "survey_date", "collection_date"),
+}
+# fixed values: Darwin Core terms of common columns
+DARWIN_CORE = {
+    "species": "scientificName", "species_name": "scientificName", "scientific_name": "scientificName", "latitude": "decimalLatitude", "longitude": "decimalLongitude", "lat": "decimalLatitude", "lon": "decimalLongitude", "lng": "decimalLongitude",
+    "date": "eventDate", "sampling_date": "eventDate", "collection_date": "eventDate", "collector": "recordedBy", "recorded_by": "recordedBy", "plot_id": "locationID", "site_id": "locationID",
+    "elevation": "minimumElevationInMeters", "altitude": "minimumElevationInMeters", "abundance": "individualCount", "count": "individualCount", "cover": "organismQuantity", "coverage": "organismQuantity",
+}
+# fixed values: terms a record must have, and types of the terms that are no text
+REQUIRED = ("basisOfRecord", "occurrenceID", "catalogNumber", "scientificName", "kingdom", "decimalLatitude", "decimalLongitude")
+TERM_TYPES = {
+    "int": ("individualCount", "startDayOfYear", "endDayOfYear", "year", "month", "day"), "timestamp": ("modified", "eventDate", "georeferencedDate", "dateIdentified"),
+    "double": ("minimumElevationInMeters", "maximumElevationInMeters", "minimumDepthInMeters", "maximumDepthInMeters", "minimumDistanceAboveSurfaceInMeters", "maximumDistanceAboveSurfaceInMeters", "decimalLatitude", "decimalLongitude", "coordinateUncertaintyInMeters", "coordinatePrecision", "pointRadiusSpatialFit", "footprintSpatialFit"),
 }
-# fixed values: Darwin Core terms of the aliases
-DARWIN_CORE = {"site_id": "locationID", "species": "scientificName", "abundance": "individualCount", "latitude": "decimalLatitude", "longitude": "decimalLongitude", "date": "eventDate", "elevation": "minimumElevationInMeters"}
 
 
 def standard_columns(names: list[str]) -> list[str]:
-    """Names in lower case with underscores; the first variant of an alias takes the standard name if that is free."""
-    out = [re.sub(r"[^a-z0-9_]", "", re.sub(r"\s+", "_", n.strip().lower())) for n in names]
+    """Names in lower case with underscores for blanks; the first variant of an alias takes the standard name if that is free."""
+    out = [re.sub(r"[^a-z0-9_]", "", n.strip().lower().replace(" ", "_")) for n in names]
     for target, variants in ALIASES.items():
         if target not in out:
             hit = next((v for v in variants if v in out), None)
@@ -47,6 +58,8 @@ def read_survey(spark: SparkSession, path: str, schema: str | None = None, stand
     if kind in (".parquet", ".orc", ".json"):
         df = getattr(spark.read, kind[1:])(path)
     elif kind in (".csv", ".txt", ".tab", ".tsv"):
+        if encoding.upper() == "UTF-8" and not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+            encoding = "ISO-8859-1"  # bytes that are no UTF-8
         r = spark.read.option("header", True).option("sep", "\t" if kind in (".tab", ".tsv") else guess_separator(spark, path)).option("encoding", encoding)
         df = r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
     elif kind in (".xlsx", ".xls"):
@@ -57,20 +70,27 @@ def read_survey(spark: SparkSession, path: str, schema: str | None = None, stand
 
 
 def read_turboveg(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Species list, relevés and header data of an export folder; a missing file has no entry."""
-    files = {"species": ("species.txt", "species.csv", "tvspecies.txt"), "releves": ("releves.txt", "releves.csv", "tvabund.txt"), "header": ("header.txt", "header.csv", "tvhabita.txt")}
+    """species_list, releves and header_data of an export folder; a missing file has no entry.
+
+    Files are looked for through the file system of the folder, so it may lie in any store Spark reads.
+    """
+    # fixed values: names of the files of an export, in the order they are looked for
+    files = {"species_list": ("species.txt", "taxa.txt", "florlist.txt"), "releves": ("releves.txt", "vegetation.txt", "plots.txt"), "header_data": ("header.txt", "sites.txt", "metadata.txt")}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = {}
     for name, choices in files.items():
-        hit = next((Path(folder, c) for c in choices if Path(folder, c).exists()), None)
-        if hit:
-            found[name] = read_survey(spark, str(hit))
+        for c in choices:
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{c}")
+            if path.getFileSystem(conf).exists(path):
+                found[name] = read_survey(spark, path.toString())
+                break
     return found
 
 
-# fixed values: columns of the agencies' tables
+# fixed values: columns of the agencies' tables and what they are called here
 AGENCIES = {
-    "usfs": {"plot_cn": "site_id", "spcd": "species", "inv_year": "year"}, "nps": {"event_id": "site_id", "taxon_code": "species", "cover_pct": "abundance"},
-    "epa": {"uid": "site_id", "taxa_name": "species", "total": "abundance"}, "fia": {"plt_cn": "site_id", "spcd": "species", "tpa_unadj": "abundance"},
+    "usfs": {"plot": "plot_id", "spcd": "species_code", "lat": "latitude", "lon": "longitude"}, "nps": {"plot_code": "plot_id", "taxa_code": "species_code", "pct_cover": "abundance"},
+    "epa": {"site_id": "plot_id", "taxon": "species", "percent_cover": "abundance"}, "fia": {"plt_cn": "plot_id", "spcd": "species_code", "dia": "diameter", "ht": "height"},
 }
 
 
@@ -81,13 +101,52 @@ def agency_table(df: DataFrame, agency: str) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in AGENCIES[agency.lower()].items() if k in df.columns and v not in df.columns})
 
 
+def _typed(df: DataFrame, column: str) -> Column:
+    """The column in the type of its term; what cannot be read becomes NULL, missing texts are empty."""
+    kind = next((k for k, names in TERM_TYPES.items() if column in names), None)
+    c = F.col(f"`{column}`")
+    if kind == "timestamp":
+        return c.cast("timestamp") if dict(df.dtypes)[column] in ("date", "timestamp") else parse_date(c).cast("timestamp")
+    if kind == "int":
+        return c.cast("string").try_cast("double").cast("int")
+    return c.cast("string").try_cast(kind) if kind else c
+
+
 def to_darwin_core(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Renames to Darwin Core terms and adds occurrenceID (hash of the row), basisOfRecord and kingdom where missing."""
-    names = dict(zip(df.columns, standard_columns(df.columns)))
-    names = mapping or {k: DARWIN_CORE[v] for k, v in names.items() if v in DARWIN_CORE}
+    """Renames to Darwin Core terms (the first column of each term), types the terms, and adds occurrenceID, catalogNumber (hashes of the row), basisOfRecord, kingdom, modified, language and license where missing."""
+    names: dict[str, str] = {}
+    for c in df.columns:
+        term = (mapping or {}).get(c) if mapping else DARWIN_CORE.get(c.lower())
+        if term and term not in df.columns and term not in names.values():
+            names[c] = term
     out = df.withColumnsRenamed(names)
-    extra = {"occurrenceID": F.sha2(F.to_json(F.struct(*out.columns)), 256), "basisOfRecord": F.lit("HumanObservation"), "kingdom": F.lit("Plantae")}
-    return out.withColumns({k: v for k, v in extra.items() if k not in out.columns})
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]), {"ignoreNullFields": "false"})
+    extra = {"occurrenceID": F.sha2(row, 256), "catalogNumber": F.xxhash64(row).cast("string"), "basisOfRecord": F.lit("HumanObservation"), **({"kingdom": F.lit("Plantae")} if "scientificName" in out.columns else {}), "modified": F.current_timestamp(), "language": F.lit("en"), "license": F.lit("CC0")}
+    out = out.withColumns({k: v for k, v in extra.items() if k not in out.columns})
+    return out.select(*[_typed(out, c).alias(c) for c in out.columns])
+
+
+def darwin_core_report(df: DataFrame) -> DataFrame:
+    """(level, term, issue, records): required terms that are missing, values that cannot be read in the type of their term, coordinates out of range or missing, dates that are none or in the future."""
+    aggs, labels = [], []
+    for c in df.columns:
+        kind = next((k for k, names in TERM_TYPES.items() if c in names), None)
+        text = F.trim(F.col(f"`{c}`").cast("string"))
+        given = text.isNotNull() & (text != "")
+        if kind in ("int", "double"):
+            bad = given & (text.try_cast("double").isNull() | ((text.try_cast("double") % 1 != 0) if kind == "int" else F.lit(False)))
+            labels.append(("error", c, f"not of type {kind}")), aggs.append(F.count_if(bad))
+        elif kind == "timestamp":
+            at = _typed(df, c)
+            labels.append(("warning", c, "not a date")), aggs.append(F.count_if(given & at.isNull()))
+            labels.append(("warning", c, "in the future")), aggs.append(F.count_if(at > F.current_timestamp()))
+    if {"decimalLatitude", "decimalLongitude"} <= set(df.columns):
+        y, x = (F.col(c).cast("string").try_cast("double") for c in ("decimalLatitude", "decimalLongitude"))
+        labels.append(("warning", "decimalLatitude, decimalLongitude", "invalid pair")), aggs.append(F.count_if(~F.coalesce(y.between(-90, 90) & x.between(-180, 180) & ~F.isnan(y) & ~F.isnan(x), F.lit(False))))
+    n = F.count("*")
+    rows = [F.struct(F.lit("error").alias("level"), F.lit(t).alias("term"), F.lit("required term is missing").alias("issue"), n.alias("records")) for t in REQUIRED if t not in df.columns]
+    rows += [F.struct(F.lit(a).alias("level"), F.lit(t).alias("term"), F.lit(i).alias("issue"), g.alias("records")) for (a, t, i), g in zip(labels, aggs)]
+    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*").where("records > 0")
 
 
 def write_darwin_core(df: DataFrame, folder: str) -> None:

@@ -131,7 +131,16 @@ def test_idw_hits_points(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Plot ID;Scientific Name;Cover\np1;Acer rubrum;3\n")
     df = T.read_survey(spark, str(tmp_path / "a.csv"))
-    assert df.columns == ["site_id", "scientific_name", "abundance"] or df.columns[0] == "site_id"
+    assert df.columns == ["plot_id", "species", "abundance"]
+    (tmp_path / "b.csv").write_bytes("taxon,lat,x\nAlnus \xe9,1,2\n".encode("latin-1"))
+    assert [tuple(r) for r in T.read_survey(spark, str(tmp_path / "b.csv")).collect()] == [("Alnus é", 1, 2)]
+    (tmp_path / "tv").mkdir()
+    (tmp_path / "tv/florlist.txt").write_text("species\tcode\nAcer rubrum\t1\n")
+    (tmp_path / "tv/plots.txt").write_text("releve,cover\n1,2\n")
+    tv = T.read_turboveg(spark, str(tmp_path / "tv"))
+    assert set(tv) == {"species_list", "releves"} and tv["releves"].columns == ["plot_id", "abundance"]
+    nps = T.agency_table(spark.createDataFrame([("a", "b", 1)], "plot_code string, Taxa_Code string, pct_cover int"), "NPS")
+    assert nps.columns == ["plot_id", "species_code", "abundance"]
     with pytest.raises(ValueError):
         T.read_survey(spark, str(tmp_path / "a.xyz"))
     with pytest.raises(T.NotSupportedError):
@@ -143,6 +152,18 @@ def test_sources(spark, tmp_path):
     assert T.export({"x": df}, str(tmp_path / "out"), "json") == [f"{tmp_path}/out_x"]
 
 
+def test_darwin_core(spark):
+    df = spark.createDataFrame([("Acer rubrum", "44.5", "x", "2023-05-01", "7"), ("Acer rubrum", "95", "-72", "no date", "7.5")], "Species string, lat string, lon string, date string, count string")
+    out = T.to_darwin_core(df)
+    assert {"scientificName", "decimalLatitude", "occurrenceID", "catalogNumber", "basisOfRecord", "kingdom", "modified"} <= set(out.columns)
+    rows = out.orderBy("decimalLatitude").collect()
+    assert rows[0]["decimalLongitude"] is None and rows[0]["individualCount"] == 7 and rows[1]["eventDate"] is None and str(rows[0]["eventDate"])[:10] == "2023-05-01"
+    raw = df.toDF("scientificName", "decimalLatitude", "decimalLongitude", "eventDate", "individualCount")
+    got = {(r["term"], r["issue"]): r["records"] for r in T.darwin_core_report(raw).collect()}
+    assert got["decimalLongitude", "not of type double"] == 1 and got["individualCount", "not of type int"] == 1 and got["eventDate", "not a date"] == 1 and got["decimalLatitude, decimalLongitude", "invalid pair"] == 2 and got["kingdom", "required term is missing"] == 2
+    assert T.darwin_core_report(raw.limit(0)).count() == 0
+
+
 def test_stream(spark, tmp_path, data):
     from phytoscape.streaming.diversity import window_indices, windowed_counts, write_indices
 
