@@ -40,13 +40,26 @@ def f_upper(f: float, d1: float, d2: float) -> float:
     return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
 
 
+def _inversions(v: np.ndarray) -> tuple[np.ndarray, int]:
+    """(sorted values, pairs in falling order)."""
+    if len(v) <= 32:
+        return np.sort(v), int((v[:, None] > v[None])[np.triu_indices(len(v), 1)].sum())
+    a, m = _inversions(v[:len(v) // 2])
+    b, n = _inversions(v[len(v) // 2:])
+    across = int((len(a) - np.searchsorted(a, b, "right")).sum())
+    return np.sort(np.concatenate([a, b]), kind="stable"), m + n + across
+
+
 def kendall(x, y) -> float:
-    """Kendall's tau-b of two short series."""
+    """Kendall's tau-b of two series, by merging; no spread gives 0."""
     x, y = np.asarray(x, float), np.asarray(y, float)
-    i, j = np.triu_indices(len(x), 1)
-    a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
-    den = math.sqrt((a != 0).sum() * (b != 0).sum())
-    return float((a * b).sum() / den) if den else 0.0
+    pairs = lambda c: int((c.astype(np.int64) * (c - 1) // 2).sum())
+    tied = lambda *v: pairs(np.unique(np.stack(v), axis=1, return_counts=True)[1]) if len(x) else 0
+    order = np.lexsort((y, x))
+    discordant, every = _inversions(y[order])[1], len(x) * (len(x) - 1) // 2
+    tx, ty, both = tied(x), tied(y), tied(x, y)
+    den = math.sqrt((every - tx) * (every - ty))
+    return (every - tx - ty + both - 2 * discordant) / den if den else 0.0
 
 
 def fit_curve(f, x, y, start, low=None, high=None, rounds: int = 200, counts=None, within: float = 0.0):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phytoscape.community import dense
-from phytoscape.operators.distances import pair_sums
+from phytoscape.operators import distances as D
+from phytoscape.operators.distances import pair_sums, site_pair_totals
+from phytoscape.session import materialise, parallelism, tasks_for
 
 C = F.col
 
@@ -33,12 +37,22 @@ def site_pairs(com: DataFrame) -> DataFrame:
     return pair_sums(one, ("a",)).select("i", "j", C("si").alias("ni"), C("sj").alias("nj"), C("a").cast("bigint").alias("a"))
 
 
+def _totals(com: DataFrame) -> DataFrame:
+    """Sums over all pairs of sites; from rows only where there are too many species for matrices."""
+    t = site_pair_totals(com)
+    if t is not None:
+        return t
+    p = site_pairs(com)
+    low = F.least("ni", "nj")
+    v = F.when(C("ni") != C("nj"), 100.0 * C("a") / low)
+    return p.agg(F.count("*").cast("double").alias("pairs"), F.sum("a").alias("shared"), F.sum(low).alias("lesser"), F.coalesce(F.sum(v), F.lit(0.0)).alias("overlap"), F.count(v).cast("double").alias("unequal"), F.sum((C("ni") + C("nj") - 2 * C("a")) / (C("ni") + C("nj"))).alias("turnover"))
+
+
 def nodf(com: DataFrame) -> DataFrame:
     """One row: nodf_rows, nodf_columns, nodf. Means over the pairs whose marginals differ; no such pair gives 0."""
-    def parts(p: DataFrame) -> DataFrame:
-        v = F.when(C("ni") != C("nj"), 100.0 * C("a") / F.least("ni", "nj"))
-        return p.agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("t"), F.count(v).alias("n"))
-    r, c = parts(site_pairs(com)).toDF("rt", "rn"), parts(species_pairs(com)).toDF("ct", "cn")
+    v = F.when(C("ni") != C("nj"), 100.0 * C("a") / F.least("ni", "nj"))
+    r = _totals(com).select(C("overlap").alias("rt"), C("unequal").alias("rn"))
+    c = species_pairs(com).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("ct"), F.count(v).alias("cn"))
     mean = lambda t, n: F.coalesce(F.try_divide(t, n), F.lit(0.0))
     return r.join(c).select(mean(C("rt"), C("rn")).alias("nodf_rows"), mean(C("ct"), C("cn")).alias("nodf_columns"), mean(C("rt") + C("ct"), C("rn") + C("cn")).alias("nodf"))
 
@@ -53,8 +67,8 @@ def togetherness(com: DataFrame) -> DataFrame:
 
 def wine(com: DataFrame) -> DataFrame:
     """Joint occurrences over the smaller marginals, summed over all pairs of sites and of species, in percent."""
-    both = site_pairs(com).union(species_pairs(com))
-    return both.agg((100.0 * F.sum("a") / F.sum(F.least("ni", "nj"))).alias("wine"))
+    c = species_pairs(com).agg(F.sum("a").alias("ca"), F.sum(F.least("ni", "nj")).alias("cl"))
+    return _totals(com).join(c).select((100.0 * (C("shared") + C("ca")) / (C("lesser") + C("cl"))).alias("wine"))
 
 
 def packed(com: DataFrame) -> DataFrame:
@@ -104,7 +118,7 @@ def metacommunity(com: DataFrame) -> DataFrame:
     span = com.join(rank, "site").groupBy("species").agg((F.max("r") - F.min("r") + 1).alias("len"), F.count("*").alias("occ"))
     coh = span.agg(F.sum(C("len") - C("occ")).alias("emb"), F.sum(F.when(C("occ") > 1, C("len")).otherwise(0)).alias("possible"), F.avg(C("len") / C("occ")).alias("boundary_clumping"))
     beta = rich.agg(F.avg("s").alias("al")).join(com.agg(F.countDistinct("species").alias("ga"))).select((C("ga") / C("al") - 1).alias("turnover"))
-    pair = site_pairs(com).agg(F.avg((C("ni") + C("nj") - 2 * C("a")) / (C("ni") + C("nj"))).alias("mean_turnover"))
+    pair = _totals(com).select(F.try_divide("turnover", "pairs").alias("mean_turnover"))
     out = coh.join(beta).join(pair).select(F.coalesce(1 - F.try_divide("emb", "possible"), F.lit(1.0)).alias("coherence"), "turnover", "mean_turnover", "boundary_clumping")
     coherent, far, clumped = C("coherence") > 0.5, C("turnover") > 1.5, C("boundary_clumping") < 0.5
     return out.withColumn("structure", F.when(~coherent, "random").when(~far, "nested").when(~clumped, "evenly_spaced").otherwise("clumped"))
@@ -131,12 +145,44 @@ def indicator_values(com: DataFrame, groups: DataFrame) -> DataFrame:
     return total.join(size, "grp").select("species", "grp", (100.0 * C("x") / C("t") * C("k") / C("sites")).alias("indval"))
 
 
+def simper(com: DataFrame, groups: DataFrame) -> DataFrame:
+    """(g1, g2, species, contribution): mean over pairs of sites of |a - b| / (all individuals of both), g1 <= g2 (equal: within the group).
+
+    Pairs are summed in the tasks that hold both blocks of sites. Up to 2,000
+    species (more is an error); sites without group are left out.
+    """
+    names = D._few_species(com)
+    if names is None:
+        raise ValueError(f"more than {D.MOST_SPECIES} species")
+    known = com.join(groups.select("site"), "site", "left_semi")
+    blocks = D._site_blocks(known).join(groups.select("site", C("grp").alias("g")), "site")
+    kind, gkind = com.schema["species"].dataType.simpleString(), groups.schema["grp"].dataType.simpleString()
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("site")
+        _, x, first, second, same = D._block_matrix(part, names)
+        g, n = part["g"].to_numpy(), x.sum(1)
+        out = []
+        for p in pd.unique(g[first]):
+            for q in pd.unique(g[second]):
+                if same and p > q:
+                    continue
+                i, j = np.flatnonzero(first & (g == p)), np.flatnonzero(second & (g == q))
+                w = 1 / np.maximum(n[i][:, None] + n[j][None], 1e-300)
+                if same and p == q:
+                    w = np.triu(w, 1)
+                pairs = float((w > 0).sum())
+                lo, hi = (p, q) if p <= q else (q, p)
+                out += [(lo, hi, s, float((np.abs(x[i, k][:, None] - x[j, k][None]) * w).sum()), pairs) for k, s in enumerate(names)] if pairs else []
+        return pd.DataFrame(out, columns=["g1", "g2", "species", "t", "pairs"])
+
+    t = blocks.groupBy("b1", "b2").applyInPandas(solve, f"g1 {gkind}, g2 {gkind}, species {kind}, t double, pairs double")
+    return t.groupBy("g1", "g2", "species").agg((F.sum("t") / F.sum("pairs")).alias("contribution"))
+
+
 def simper_between(com: DataFrame, groups: DataFrame) -> DataFrame:
-    """(g1, g2, species, contribution): mean over pairs of sites of |a - b| / (all individuals of both), g1 < g2."""
-    g = dense(com.join(groups.select("site"), "site", "left_semi")).join(groups, "site").withColumn("n", F.sum("abundance").over(Window.partitionBy("site")))
-    a = g.select("species", C("site").alias("i"), C("grp").alias("g1"), C("abundance").alias("x"), C("n").alias("ni"))
-    b = g.select("species", C("site").alias("j"), C("grp").alias("g2"), C("abundance").alias("y"), C("n").alias("nj"))
-    return a.join(b, "species").where("g1 < g2").groupBy("g1", "g2", "species").agg(F.avg(F.abs(C("x") - C("y")) / (C("ni") + C("nj"))).alias("contribution"))
+    """``simper`` of different groups."""
+    return simper(com, groups).where("g1 < g2")
 
 
 def labelled(d: DataFrame, groups: DataFrame) -> DataFrame:
@@ -162,9 +208,12 @@ def _tests(p: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ranked(d: DataFrame, value: str = "d", to: str = "rk") -> DataFrame:
-    """Average-tie ranks. Ranks come from counts per value, so equal values need no common task."""
-    v = d.groupBy(value).agg(F.count("*").alias("_c")).withColumn("_u", F.sum("_c").over(Window.orderBy(value)))
-    return d.join(v, value).withColumn(to, C("_u") - (C("_c") - 1) / 2).drop("_c", "_u")
+    """Average-tie ranks. Counts per value are sorted by ranges of the value, and each range is ranked in its own task from the counts of those before it."""
+    v = d.groupBy(value).agg(F.count("*").alias("_c")).repartitionByRange(parallelism(d.sparkSession), value)
+    v = materialise(v.withColumn("_p", F.spark_partition_id()))
+    before = v.groupBy("_p").agg(F.sum("_c").alias("_s")).withColumn("_b", F.sum("_s").over(Window.orderBy("_p")) - C("_s"))  # one row per range
+    v = v.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn("_u", C("_b") + F.sum("_c").over(Window.partitionBy("_p").orderBy(value)))
+    return d.join(v.select(value, "_c", "_u"), value).withColumn(to, C("_u") - (C("_c") - 1) / 2).drop("_c", "_u")
 
 
 def group_tests(d: DataFrame, groups: DataFrame) -> DataFrame:
@@ -173,25 +222,142 @@ def group_tests(d: DataFrame, groups: DataFrame) -> DataFrame:
     return _tests(labelled(ranked(d), groups), sizes, [])
 
 
-def permuted(groups: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
-    """(perm, site, grp): labels shuffled within each permutation by the order of hashes; perm 0 is as observed."""
-    perms = groups.sparkSession.range(1, permutations + 1).withColumnRenamed("id", "perm")
-    by = Window.partitionBy("perm")
-    all_ = groups.select("site", "grp").join(perms)
-    a = all_.withColumn("k", F.row_number().over(by.orderBy("site"))).select("perm", "k", "site")
-    b = all_.withColumn("k", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "perm", "site"), "site"))).select("perm", "k", "grp")
-    return a.join(b, ["perm", "k"]).select("perm", "site", "grp").union(groups.select(F.lit(0).cast("bigint"), "site", "grp"))
+#: Bytes of permuted labels (a byte per site and permutation) that go to the tasks at once.
+LABEL_BYTES = 64 << 20
+
+
+def _label_rounds(groups: DataFrame, permutations: int, seed: int):
+    """(sites, codes of their groups, permuted codes) in rounds that fit into ``LABEL_BYTES``; the first column of the first round is as observed."""
+    t = groups.select("site", "grp").dropna().dropDuplicates(["site"]).orderBy("site").toPandas()  # a row per site, of which all pairs are compared
+    codes, names = pd.factorize(t["grp"], sort=True)
+    if len(names) > 250:
+        raise ValueError("more than 250 groups")
+    rng, codes = np.random.default_rng(seed), codes.astype(np.uint8)
+    step = max(1, LABEL_BYTES // max(1, len(t)))
+    for lo in range(0, permutations + 1, step):
+        cols = [codes if p == 0 else rng.permutation(codes) for p in range(lo, min(permutations + 1, lo + step))]
+        yield t["site"].to_numpy(), codes, np.stack(cols, 1) if len(t) else np.zeros((0, len(cols)), np.uint8)
+
+
+def _permuted_sums(p: DataFrame, groups: DataFrame, permutations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per permutation, over pairs (i, j, d, rk) within groups: sums of d², rk and d weighted by n_g over the pairs of the group; and the codes of the sites."""
+    spark, out, codes = p.sparkSession, [], None
+    p = materialise(p.select("i", "j", "d", "rk").repartition(parallelism(spark)))
+    for sites, codes, labels in _label_rounds(groups, permutations, seed):
+        n = np.bincount(codes) if len(codes) else np.zeros(1)
+        weight = np.divide(n / max(1, n.sum()), n * (n - 1) / 2, out=np.zeros(len(n)), where=n > 1)
+        shared = spark.sparkContext.broadcast((sites, labels, weight))
+
+        def sums(batches, shared=shared):
+            sites, labels, weight = shared.value
+            total = np.zeros((3, labels.shape[1]))
+            for b in batches:
+                for at in range(0, len(b), 4_096):
+                    c = b.iloc[at:at + 4_096]
+                    i, j = np.searchsorted(sites, c["i"].to_numpy()), np.searchsorted(sites, c["j"].to_numpy())
+                    a, d = labels[i], c["d"].to_numpy()
+                    same = a == labels[j]
+                    total[:2] += np.stack([d * d, c["rk"].to_numpy()]) @ same
+                    total[2] += d @ np.where(same, weight[a], 0.0)
+            yield pd.DataFrame({"k": range(3), "v": list(total)})
+
+        t = p.mapInPandas(sums, "k int, v array<double>").groupBy("k").agg(*[F.sum(C("v")[q]).alias(f"v{q}") for q in range(labels.shape[1])]) if labels.shape[1] <= 64 else None
+        if t is None:  # many columns: summed as rows
+            e = p.mapInPandas(sums, "k int, v array<double>").select("k", F.posexplode("v").alias("q", "x")).groupBy("k", "q").agg(F.sum("x").alias("x")).toPandas()
+            out.append(e.pivot(index="k", columns="q", values="x").sort_index().to_numpy())
+        else:
+            out.append(t.orderBy("k").drop("k").toPandas().to_numpy())
+    return np.concatenate(out, 1), codes
+
+
+def permutation_tests(d: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
+    """One row: the observed PERMANOVA pseudo-F, ANOSIM R and MRPP delta and their p-values (hits + 1) / (permutations + 1); MRPP counts smaller deltas.
+
+    ``d`` has all pairs of the sites. Labels are permuted on the driver (a byte
+    per site), sums over pairs are taken in the tasks for all permutations at
+    once. Sites without group are left out.
+    """
+    known = groups.select("site").dropna()
+    p = ranked(d.join(known.toDF("i"), "i", "left_semi").join(known.toDF("j"), "j", "left_semi"))
+    whole = p.agg(F.sum(C("d") * C("d")).alias("sq"), F.sum("rk").alias("rk"), F.count("*").alias("m")).first()
+    sums, codes = _permuted_sums(p, groups, permutations, seed)
+    n, size = len(codes), np.bincount(codes)
+    k, inside = int((size > 0).sum()), float((size * (size - 1) / 2).sum())
+    ssw, m = sums[0] / n, whole["m"]
+    f = np.divide((whole["sq"] / n - ssw) / max(1, k - 1), ssw / max(1, n - k), out=np.zeros(len(ssw)), where=ssw > 0) if n > k > 1 else np.zeros(len(ssw))
+    mw, mb = sums[1] / max(1.0, inside), (whole["rk"] - sums[1]) / max(1.0, m - inside)
+    r = np.divide(mb - mw, m + 1 - mw - mb, out=np.zeros(len(mw)), where=m + 1 - mw - mb != 0)
+    p_of = lambda hit: (int(hit.sum()) + 1) / (permutations + 1)
+    row = (float(f[0]), p_of(f[1:] >= f[0] - 1e-12), float(r[0]), p_of(r[1:] >= r[0] - 1e-12), float(sums[2][0]), p_of(sums[2][1:] <= sums[2][0] + 1e-12))
+    return d.sparkSession.createDataFrame([row], "pseudo_f double, permanova_p double, anosim_r double, anosim_p double, mrpp_delta double, mrpp_p double")
+
+
+def mantel_test(d1: DataFrame, d2: DataFrame, permutations: int = 999, seed: int = 42, d3: DataFrame | None = None) -> DataFrame:
+    """One row: the (with ``d3``: partial) Mantel correlation and its two-sided p-value (hits + 1) / (permutations + 1), the sites of the first table permuted.
+
+    Tables hold all pairs of at most 3,000 sites, the pairs missing in either
+    are left out of all; permutations are spread over the tasks.
+    """
+    spark = d1.sparkSession
+    p = d1.select("i", "j", C("d").alias("x")).join(d2.select("i", "j", C("d").alias("y")), ["i", "j"])
+    p = p.join(d3.select("i", "j", C("d").alias("z")), ["i", "j"]) if d3 is not None else p.withColumn("z", F.lit(0.0))
+    from phytoscape.operators.ordination import square
+
+    names, x = square(p.select("i", "j", C("x").alias("d")))
+    y, z = (square(p.select("i", "j", C(c).alias("d")))[1] for c in "yz")
+    iu = np.triu_indices(len(names), 1)
+    shared = spark.sparkContext.broadcast((x, y[iu], z[iu] if d3 is not None else None))
+
+    def of(x: np.ndarray, y: np.ndarray, z: np.ndarray | None) -> float:
+        r = lambda a, b: float(np.corrcoef(a, b)[0, 1]) if len(a) > 1 and a.std() > 0 and b.std() > 0 else 0.0
+        if z is None:
+            return r(x, y)
+        den = np.sqrt((1 - r(x, z) ** 2) * (1 - r(y, z) ** 2))
+        return (r(x, y) - r(x, z) * r(y, z)) / den if den > 0 else 0.0
+
+    def draw(batches):
+        x, y, z = shared.value
+        iu = np.triu_indices(len(x), 1)
+        for b in batches:
+            v = []
+            for i in b["id"]:
+                o = np.random.default_rng([seed, int(i)]).permutation(len(x))
+                v.append(of(x[np.ix_(o, o)][iu], y, z))
+            yield pd.DataFrame({"v": v})
+
+    seen = of(x[iu], y[iu], z[iu] if d3 is not None else None)
+    t = spark.range(0, permutations, 1, parallelism(spark)).mapInPandas(draw, "v double")
+    return t.agg(F.lit(seen).alias("mantel_r"), ((F.count_if(F.abs("v") >= abs(seen) - 1e-12) + 1) / (permutations + 1)).alias("p"))
+
+
+def indicator_test(com: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
+    """(species, grp, indval, p): each species' greatest indicator value and the share of permutations of the groups that reach it, (hits + 1) / (permutations + 1).
+
+    A block of species is a task that holds its abundances; labels of all
+    sites (a byte each) go to the tasks in rounds.
+    """
+    best = indicator_values(com, groups).groupBy("species").agg(F.max_by(F.struct("grp", "indval"), F.struct("indval", "grp")).alias("b")).select("species", "b.grp", "b.indval")
+    rows = com.join(groups.select("site"), "site", "left_semi").select("species", C("site").cast("string").alias("site"), "abundance")
+    hits = None
+    for sites, codes, labels in _label_rounds(groups, permutations, seed):
+        shared = com.sparkSession.sparkContext.broadcast((sites.astype(str), labels, np.bincount(codes)))
 
+        def score(part: pd.DataFrame, *, shared=shared) -> pd.DataFrame:
+            sites, labels, size = shared.value
+            order = np.argsort(sites)
+            own = labels[order[np.searchsorted(sites[order], part["site"].to_numpy(str))]]
+            x = part["abundance"].to_numpy()
+            v = np.max([100 * ((own == g) * x[:, None]).sum(0) / x.sum() * (own == g).sum(0) / max(1, size[g]) for g in range(len(size))], 0)
+            return pd.DataFrame({"species": part["species"].iloc[0], "v": [v.tolist()]})
 
-def permutation_tests(d: DataFrame, groups: DataFrame, permutations: int = 199, seed: int = 42) -> DataFrame:
-    """One row: the observed statistics and their p-values (hits + 1) / (permutations + 1); MRPP counts smaller deltas."""
-    labels = permuted(groups, permutations, seed)
-    r = ranked(d)
-    p = r.join(labels.select("perm", C("site").alias("i"), C("grp").alias("gi")), "i").join(labels.select("perm", C("site").alias("j"), C("grp").alias("gj")), ["perm", "j"])
-    stats = _tests(p, groups.groupBy("grp").agg(F.count("*").alias("n")), ["perm"])
-    seen = stats.where("perm = 0").drop("perm").toDF("f0", "r0", "d0")
-    hits = lambda t: ((F.count_if(t) + 1) / (permutations + 1))
-    return stats.where("perm > 0").join(F.broadcast(seen)).agg(F.first("f0").alias("pseudo_f"), hits(C("pseudo_f") >= C("f0") - 1e-12).alias("permanova_p"), F.first("r0").alias("anosim_r"), hits(C("anosim_r") >= C("r0") - 1e-12).alias("anosim_p"), F.first("d0").alias("mrpp_delta"), hits(C("mrpp_delta") <= C("d0") + 1e-12).alias("mrpp_p"))
+        t = rows.groupBy("species").applyInPandas(score, f"species {com.schema['species'].dataType.simpleString()}, v array<double>")
+        t = t.join(best, "species").select("species", F.size(F.filter("v", lambda a: a >= C("indval") - 1e-9)).alias("h"))
+        hits = t if hits is None else hits.union(t)
+    hits = hits.groupBy("species").agg(F.sum("h").alias("h"))  # the observed labels are among them
+    return best.join(hits, "species").select("species", "grp", "indval", (C("h") / (permutations + 1)).alias("p"))
+
+
+MOST_KENDALL = 4_500_000
 
 
 def mantel(d1: DataFrame, d2: DataFrame, method: str = "pearson") -> DataFrame:
@@ -199,8 +365,13 @@ def mantel(d1: DataFrame, d2: DataFrame, method: str = "pearson") -> DataFrame:
     p = d1.select("i", "j", C("d").alias("x")).join(d2.select("i", "j", C("d").alias("y")), ["i", "j"])
     if method == "spearman":
         p = ranked(ranked(p, "x", "x2"), "y", "y2").select(C("x2").alias("x"), C("y2").alias("y"))
-    if method == "kendall":
-        raise ValueError("kendall is offered for small tables only: use functions.statistics.kendall")
+    if method == "kendall":  # by merging, on the driver: at most the pairs of 3,000 sites
+        from phytoscape.functions.statistics import kendall
+
+        t = p.select("x", "y").limit(MOST_KENDALL + 1).toPandas()
+        if len(t) > MOST_KENDALL:
+            raise ValueError(f"more than {MOST_KENDALL} pairs")
+        return p.sparkSession.createDataFrame([(float(kendall(t["x"].to_numpy(), t["y"].to_numpy())),)], "mantel_r double")
     return p.agg(F.coalesce(F.corr("x", "y"), F.lit(0.0)).alias("mantel_r"))
 
 

@@ -25,9 +25,11 @@ def as_vectors(v: DataFrame, value: str = "value") -> DataFrame:
     return wide.select("site", F.array(*[C(f"`{n}`").cast("double") for n in names]).alias("vec"))
 
 
-def kmeans(vectors: DataFrame, k: int, starts: int = 3, seed: int = 42) -> tuple[DataFrame, float]:
+def kmeans(vectors: DataFrame, k: int, starts: int = 10, seed: int = 42) -> tuple[DataFrame, float]:
     """(site, cluster) of the best of several starts, and its within-cluster sum of squares. Clusters are numbered by size, then smallest site."""
     v = materialise(vectors.select("site", array_to_vector("vec").alias("features")))
+    if len(v.take(k)) < k:
+        raise ValueError(f"fewer than {k} sites")
     best = min((KMeans(k=k, seed=seed + i).fit(v) for i in range(starts)), key=lambda m: m.summary.trainingCost)
     out = best.transform(v).select("site", C("prediction").alias("c"))
     from pyspark.sql import Window
@@ -90,21 +92,18 @@ def fuzzy_cmeans(vectors: DataFrame, k: int = 3, m: float = 2.0, rounds: int = 1
     return v.mapInPandas(label, f"site {v.schema['site'].dataType.simpleString()}, cluster int, membership double")
 
 
-def hierarchical(d: DataFrame, method: str = "average", clusters: int = 3) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(merges: left, right, height, size; labels: site, cluster from 1) by Lance-Williams updates on at most 3,000 sites."""
-    names, m = square(d)
-    n = len(m)
-    work = m.astype(float).copy()
+def linkage(d: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
+    """Merges (left, right, height, size) of a distance matrix by Lance-Williams updates: single, complete, average or ward."""
+    n = len(d)
+    work = d.astype(float).copy()
     if method == "ward":
         work = work**2
     np.fill_diagonal(work, np.inf)
-    size, ident, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    parts = {i: [i] for i in range(n)}
-    merges, cut = [], {i: [i] for i in range(n)}
+    size, ident, alive, merges = np.ones(n), np.arange(n), np.ones(n, bool), []
+    low, at = work.min(1) if n else np.zeros(0), work.argmin(1) if n else np.zeros(0, int)  # nearest of each row
     for step in range(n - 1):
-        if n - step == clusters:
-            cut = {k: list(v) for k, v in parts.items()}
-        i, j = np.unravel_index(work.argmin(), work.shape)
+        i = int(np.where(alive, low, np.inf).argmin())
+        j = int(at[i])
         i, j = min(i, j), max(i, j)
         h = work[i, j]
         a, b = size[i], size[j]
@@ -114,19 +113,75 @@ def hierarchical(d: DataFrame, method: str = "average", clusters: int = 3) -> tu
             new = np.maximum(work[i], work[j])
         elif method == "ward":
             new = ((a + size) * work[i] + (b + size) * work[j] - size * h) / (a + b + size)
-        else:
+        elif method == "average":
             new = (a * work[i] + b * work[j]) / (a + b)
-        new[~alive], new[i], new[j] = np.inf, np.inf, np.inf
+        else:
+            raise ValueError(f"Unknown linkage: {method}")
+        alive[j] = False
+        new[~alive], new[i] = np.inf, np.inf
         work[i], work[:, i] = new, new
         work[j], work[:, j] = np.inf, np.inf
-        alive[j] = False
         merges.append((int(min(ident[i], ident[j])), int(max(ident[i], ident[j])), float(np.sqrt(max(h, 0)) if method == "ward" else h), int(a + b)))
         size[i], ident[i] = a + b, n + step
-        parts[i] += parts.pop(j)
-    if clusters <= 1:
-        cut = parts
-    order = sorted(cut.values(), key=lambda p: min(p))
-    return pd.DataFrame(merges, columns=["left", "right", "height", "size"]), pd.DataFrame([(names[i], k + 1) for k, p in enumerate(order) for i in p], columns=["site", "cluster"])
+        stale = alive & ((at == i) | (at == j))
+        stale[i] = True
+        low[stale], at[stale] = work[stale].min(1), work[stale].argmin(1)
+        closer = alive & (work[:, i] < low)
+        low[closer], at[closer] = work[closer, i], i
+    return merges
+
+
+def cut_tree(merges: list, n: int, clusters: int) -> np.ndarray:
+    """Cluster of each of ``n`` leaves, numbered from 1 by their first member."""
+    up = {}
+    for step, (a, b, _, _) in enumerate(merges[:max(0, n - clusters)]):
+        up[a] = up[b] = n + step
+    root = np.arange(n)
+    for i in range(n):
+        while root[i] in up:
+            root[i] = up[root[i]]
+    _, first = np.unique(root, return_index=True)
+    rank = {root[i]: k + 1 for k, i in enumerate(sorted(first))}
+    return np.array([rank[r] for r in root])
+
+
+def cophenetic(merges: list, n: int) -> np.ndarray:
+    """Heights at which pairs of leaves meet, as a matrix."""
+    out, parts = np.zeros((n, n)), {i: [i] for i in range(n)}
+    for step, (a, b, h, _) in enumerate(merges):
+        x, y = parts.pop(a), parts.pop(b)
+        out[np.ix_(x, y)] = h
+        out[np.ix_(y, x)] = h
+        parts[n + step] = x + y
+    return out
+
+
+def cophenetic_correlation(d: DataFrame, method: str = "average") -> float:
+    """Correlation of the distances of a pair table with the heights of its tree (3,000 sites at most)."""
+    names, m = square(d)
+    iu = np.triu_indices(len(m), 1)
+    c = cophenetic(linkage(m, method), len(m))[iu]
+    return float(np.corrcoef(m[iu], c)[0, 1]) if len(c) > 1 and c.std() > 0 and m[iu].std() > 0 else 0.0
+
+
+def silhouette_of(d: np.ndarray, label: np.ndarray) -> float:
+    """Mean silhouette of a distance matrix; one cluster has 0."""
+    names, at = np.unique(label, return_inverse=True)
+    if len(names) < 2:
+        return 0.0
+    one = np.eye(len(names))[at]
+    n = one.sum(0)
+    mean = d @ one / np.where(one > 0, np.maximum(n - 1, 1), n)
+    own = mean[np.arange(len(d)), at]
+    other = np.where(one > 0, np.inf, mean).min(1)
+    return float(np.where(n[at] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0).mean())
+
+
+def hierarchical(d: DataFrame, method: str = "average", clusters: int = 3) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(merges: left, right, height, size; labels: site, cluster from 1) by Lance-Williams updates on at most 3,000 sites."""
+    names, m = square(d)
+    merges = linkage(m, method)
+    return pd.DataFrame(merges, columns=["left", "right", "height", "size"]), pd.DataFrame({"site": names, "cluster": cut_tree(merges, len(names), max(1, clusters))})
 
 
 def silhouette(vectors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -148,22 +203,108 @@ def dispersion(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return w.join(t).select(F.try_divide((C("total") - C("within")) / (C("k") - 1), C("within") / (C("n") - C("k"))).alias("calinski_harabasz"), "within", "total")
 
 
+def davies_bouldin(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: mean over clusters of the greatest (spread + spread) / distance of centres; centres are as many as clusters."""
+    v = vectors.join(labels, "site")
+    e = v.select("site", "cluster", F.posexplode("vec"))
+    centre = e.groupBy("cluster", "pos").agg(F.avg("col").alias("m")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("c"))
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, q: t + q))
+    s = v.join(F.broadcast(centre), "cluster").groupBy("cluster").agg(F.avg(gap("vec", "c")).alias("s"), F.first("c").alias("c"))
+    p = s.toDF("i", "si", "ci").join(s.toDF("j", "sj", "cj"), C("i") != C("j")).withColumn("r", F.try_divide(C("si") + C("sj"), gap("ci", "cj")))
+    return p.groupBy("i").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+
+
+def simplified_silhouette(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: mean silhouette by distances to cluster centres instead of members, at a cost linear in the sites."""
+    v = vectors.join(labels, "site")
+    centre = v.select("cluster", F.posexplode("vec")).groupBy("cluster", "pos").agg(F.avg("col").alias("m")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("c"))
+    gap = F.sqrt(F.aggregate(F.zip_with("vec", "c", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, q: t + q))
+    d = v.join(F.broadcast(centre.withColumnRenamed("cluster", "k"))).select("site", "cluster", "k", gap.alias("d"))
+    r = d.groupBy("site").agg(F.max(F.when(C("k") == C("cluster"), C("d"))).alias("a"), F.min(F.when(C("k") != C("cluster"), C("d"))).alias("b"))
+    return r.agg(F.coalesce(F.avg(F.coalesce(F.try_divide(C("b") - C("a"), F.greatest("a", "b")), F.lit(0.0))), F.lit(0.0)).alias("silhouette"))
+
+
+def total_variance(vectors: DataFrame) -> float:
+    """Sum of the population variances of all coordinates."""
+    return float(vectors.select(F.posexplode("vec")).groupBy("pos").agg(F.var_pop("col").alias("v")).agg(F.sum("v")).first()[0] or 0.0)
+
+
+def _l_method(k: np.ndarray, y: np.ndarray) -> int | None:
+    """The k at which two straight lines fit best, weighted by their points; a side without spread has no fit."""
+    best, at = np.inf, None
+    for s in range(2, len(k) - 1):
+        r2 = []
+        for a, b in ((k[:s], y[:s]), (k[s:], y[s:])):
+            rest, total = ((b - np.polyval(np.polyfit(a, b, 1), a)) ** 2).sum(), ((b - b.mean()) ** 2).sum()
+            r2.append(1 - rest / total if total > 0 else np.nan)
+        score = -(s * r2[0] + (len(k) - s) * r2[1]) / len(k)
+        if score < best:
+            best, at = score, int(k[s])
+    return at
+
+
 def elbow_rules(k: list[int], inertia: list[float]) -> dict[str, int | None]:
-    """The k each rule picks on a short list: knee, derivative, variance, jump; their consensus and its share of the votes."""
+    """The k each rule picks on a short list: knee, derivative, variance, jump, l_method; their consensus and its share of the votes."""
     k, y = np.asarray(k), np.asarray(inertia, float)
-    out: dict = {"knee": None, "derivative": None, "variance": None, "jump": None}
+    out: dict = {"knee": None, "derivative": None, "variance": None, "jump": None, "l_method": None}
     if len(k) >= 3 and np.ptp(y) > 0:
         out["knee"] = int(k[((1 - (y - y.min()) / np.ptp(y)) - (k - k.min()) / np.ptp(k)).argmax()])
         out["derivative"] = int(k[np.abs(np.diff(y, 2)).argmax() + 1])
-        gains = -np.diff(y) / y[0]
+        gains = -np.diff(y) / y[0]  # of going on from each k
         low = [i for i in range(1, len(gains)) if gains[i] < 0.1]
-        out["variance"] = int(k[low[0]]) if low else None
+        out["variance"] = int(k[low[0]] if low else k[-2])
         if len(k) >= 4:
             drops = -np.diff(y)
             out["jump"] = int(k[(drops[:-1] - drops[1:]).argmax() + 1])
+            out["l_method"] = _l_method(k, y)
     votes = [v for v in out.values() if v is not None]
     if votes:
-        values, counts = np.unique(votes, return_counts=True)
-        out["consensus"] = int(values[counts.argmax()]) if counts.max() > 1 else int(np.median(votes))
-        out["confidence"] = votes.count(out["consensus"]) / len(votes)
+        counts = {v: votes.count(v) for v in votes}  # the first of the most frequent
+        top = max(counts, key=lambda v: counts[v])
+        out["consensus"] = int(top) if counts[top] > 1 else int(np.median(votes))
+        out["confidence"] = counts[top] / len(votes)
     return out
+
+
+def elbow_analysis(vectors: DataFrame, ks: range = range(1, 11), starts: int = 10, seed: int = 42) -> tuple[pd.DataFrame, dict]:
+    """(table: k, inertia, silhouette, calinski_harabasz, davies_bouldin; the rules' choices with the best k by silhouette and by Calinski-Harabasz).
+
+    k-means runs distributed for each k; k = 1 has the sum of the variances as
+    its inertia. Silhouettes are the simplified ones (distances to centres).
+    """
+    rows, vectors = [], materialise(vectors)
+    for k in ks:
+        if k == 1:
+            rows.append((1, total_variance(vectors), 0.0, 0.0, float("inf")))
+            continue
+        labels, cost = kmeans(vectors, k, starts, seed)
+        labels = materialise(labels)
+        ch = dispersion(vectors, labels).first()["calinski_harabasz"]
+        rows.append((k, float(cost), float(simplified_silhouette(vectors, labels).first()[0]), float(ch or 0.0), float(davies_bouldin(vectors, labels).first()[0] or float("inf"))))
+    t = pd.DataFrame(rows, columns=["k", "inertia", "silhouette", "calinski_harabasz", "davies_bouldin"])
+    picks = elbow_rules(t["k"].tolist(), t["inertia"].tolist())
+    picks["silhouette_optimal"] = int(t["k"].iloc[t["silhouette"].to_numpy().argmax()])
+    picks["calinski_optimal"] = int(t["k"].iloc[t["calinski_harabasz"].to_numpy().argmax()])
+    return t, picks
+
+
+def gap_statistic(vectors: DataFrame, ks: range = range(1, 11), references: int = 10, starts: int = 10, seed: int = 42) -> pd.DataFrame:
+    """(k, gap, error, optimal): ln of the mean inertia of uniform tables of the same ranges and size over that of the table; optimal is the first k whose gap reaches the next one less its error."""
+    spark = vectors.sparkSession
+    v = materialise(vectors)
+    width = v.select(F.max(F.size("vec"))).first()[0]
+    box = v.agg(*[f(C("vec")[i]).alias(f"{n}{i}") for i in range(width) for n, f in (("a", F.min), ("b", F.max))]).first()
+
+    def inertia(t: DataFrame, k: int) -> float:
+        return t.count() * total_variance(t) if k == 1 else kmeans(t, k, starts, seed)[1]
+
+    seen = [inertia(v, k) for k in ks]
+    null = []
+    for r in range(references):
+        u = lambda i: box[f"a{i}"] + (box[f"b{i}"] - box[f"a{i}"]) * (F.pmod(F.xxhash64(F.lit(seed + 1_000 * r + i), "site"), F.lit(1 << 52)) / (1 << 52))
+        t = materialise(v.select("site", F.array(*[u(i) for i in range(width)]).alias("vec")))
+        null.append([inertia(t, k) for k in ks])
+    null = np.maximum(np.array(null), 1e-300)
+    gap, err = np.log(null.mean(0)) - np.log(np.maximum(seen, 1e-300)), np.log(null).std(0) * np.sqrt(1 + 1 / references)
+    best = next((k for i, k in enumerate(list(ks)[:-1]) if gap[i] >= gap[i + 1] - err[i + 1]), 1)
+    return pd.DataFrame({"k": list(ks), "gap": gap, "error": err, "optimal": [k == best for k in ks]})

@@ -14,6 +14,56 @@ MOST_SPECIES = 2_000
 BLOCK = 512
 
 
+def _few_species(com: DataFrame) -> list | None:
+    """The species in order, None if there are more than ``MOST_SPECIES``."""
+    names = [r[0] for r in com.select("species").distinct().limit(MOST_SPECIES + 1).collect()]
+    return sorted(names) if len(names) <= MOST_SPECIES else None
+
+
+def _site_blocks(com: DataFrame) -> DataFrame:
+    """(site, m, blk, b1, b2): sites with their abundances in blocks; a block meets itself and, as first or second partner, every other one."""
+    blocks = max(1, -(-com.select("site").distinct().count() // BLOCK))
+    rows = com.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("species", "abundance"))).alias("m")).withColumn("blk", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int"))
+    return rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("site", "m", "blk", F.least("blk", "p").alias("b1"), F.greatest("blk", "p").alias("b2"))
+
+
+def _block_matrix(part: pd.DataFrame, names: list) -> tuple:
+    """(sites, abundances, rows of the first block, of the second, whether both are the same)."""
+    part = part.sort_values("site")
+    at = {s: k for k, s in enumerate(names)}
+    x = np.zeros((len(part), len(names)))
+    for r, m in enumerate(part["m"]):
+        for s, v in (m.items() if isinstance(m, dict) else m):
+            x[r, at[s]] = v
+    same = part["b1"].iloc[0] == part["b2"].iloc[0]
+    first = np.ones(len(part), bool) if same else part["blk"].to_numpy() == part["b1"].iloc[0]
+    return part["site"].to_numpy(), x, first, np.ones(len(part), bool) if same else ~first, same
+
+
+def site_pair_totals(com: DataFrame) -> DataFrame | None:
+    """One row of sums over all pairs of sites, on presences: pairs, shared species, lesser richness, overlap of pairs of unequal richness in percent and their number, and relative turnover.
+
+    Pairs are summed where they are made, so they never become rows. None if
+    there are too many species for a block's matrix.
+    """
+    names = _few_species(com)
+    if names is None:
+        return None
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        _, x, first, second, same = _block_matrix(part, names)
+        p = (x > 0).astype(np.float64)
+        a, b = p[first], p[second]
+        joint, ni, nj = a @ b.T, a.sum(1)[:, None], b.sum(1)[None]
+        use = np.triu(np.ones(joint.shape, bool), 1) if same else np.ones(joint.shape, bool)
+        low, unequal = np.minimum(ni, nj), use & (ni != nj)
+        sums = [use.sum(), joint[use].sum(), np.broadcast_to(low, joint.shape)[use].sum(), (100 * joint / np.maximum(low, 1))[unequal].sum(), unequal.sum(), ((ni + nj - 2 * joint) / np.maximum(ni + nj, 1))[use].sum()]
+        return pd.DataFrame([[float(v) for v in sums]], columns=["pairs", "shared", "lesser", "overlap", "unequal", "turnover"])
+
+    t = _site_blocks(com).groupBy("b1", "b2").applyInPandas(solve, "pairs double, shared double, lesser double, overlap double, unequal double, turnover double")
+    return t.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in t.columns])
+
+
 def pair_sums(com: DataFrame, sums: tuple[str, ...] = ("mn", "xy", "a", "cb", "hp")) -> DataFrame:
     """Every pair i < j of sites with the totals and shared sums the metrics need.
 
@@ -22,28 +72,15 @@ def pair_sums(com: DataFrame, sums: tuple[str, ...] = ("mn", "xy", "a", "cb", "h
     more species the shared sums come from an equi-join on species. Either way
     the list of all pairs is the result's own size.
     """
-    names = [r[0] for r in com.select("species").distinct().limit(MOST_SPECIES + 1).collect()]
-    if len(names) > MOST_SPECIES:
+    names = _few_species(com)
+    if names is None:
         return _joined_sums(com, sums)
-    names = sorted(names)
     kind = com.schema["site"].dataType.simpleString()
-    n = com.select("site").distinct().count()
-    blocks = max(1, -(-n // BLOCK))
-    rows = com.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("species", "abundance"))).alias("m")).withColumn("blk", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int"))
-    # a block meets itself and, as first or second partner, every other one
-    left = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("site", "m", "blk", F.least("blk", "p").alias("b1"), F.greatest("blk", "p").alias("b2"))
+    left = _site_blocks(com)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("site")
-        at = {s: k for k, s in enumerate(names)}
-        x = np.zeros((len(part), len(names)))
-        for r, m in enumerate(part["m"]):
-            for s, v in (m.items() if isinstance(m, dict) else m):
-                x[r, at[s]] = v
-        blk, same = part["blk"].to_numpy(), part["b1"].iloc[0] == part["b2"].iloc[0]
-        first = np.ones(len(part), bool) if same else blk == part["b1"].iloc[0]
-        second = np.ones(len(part), bool) if same else ~first
-        site, a, b = part["site"].to_numpy(), x[first], x[second]
+        site, x, first, second, same = _block_matrix(part, names)
+        a, b = x[first], x[second]
         na, nb = a.sum(1), b.sum(1)
         out = {k: np.zeros((len(a), len(b))) for k in sums}
         for j in range(len(names)):

@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 C = F.col
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! of whole numbers, by Stirling's series from n + 9 down; exact to double precision, of constant cost."""
+    z = F.greatest(n.cast("double"), F.lit(0.0)) + 1
+    y = z + 8
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    return F.when(n > 1, series - sum((F.log(z + i) for i in range(8)), F.lit(0.0))).otherwise(0.0)
+
+
 def moments(com: DataFrame, rare: float = 10.0) -> DataFrame:
     """One row of sums per site from which all closed-form indices follow."""
     x = C("abundance")
-    k = F.floor(x).cast("int")
-    log_factorial = F.when(k > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(k, F.lit(2))), F.lit(0.0), lambda a, i: a + F.log(i))).otherwise(0.0)
+    k = F.floor(x)
     return com.groupBy("site").agg(
         F.sum(x).alias("n"), F.count("*").alias("s"), F.sum(x * x).alias("q"), F.sum(x * F.log(x)).alias("l"), F.max(x).alias("m"),
         F.count_if(x == 1).alias("f1"), F.count_if(x == 2).alias("f2"), F.count_if(x <= rare).alias("s_rare"), F.sum(F.when(x <= rare, x).otherwise(0.0)).alias("n_rare"),
-        F.sum(k).alias("k"), F.sum(log_factorial).alias("lf"),
+        F.sum(k).alias("k"), F.sum(log_factorial(k)).alias("lf"),
     )
 
 
@@ -38,7 +45,7 @@ def index_columns() -> dict[str, Column]:
     cover = 1 - F.try_divide(f1, C("n_rare"))
     gamma = F.when(C("n_rare") > 1, F.greatest(F.lit(0.0), F.try_divide(F.try_divide(C("s_rare"), cover), C("n_rare") - 1) - 1)).otherwise(0.0)
     ace = F.when(C("s_rare") == 0, s - C("s_rare")).when(C("n_rare") == f1, s).otherwise(s - C("s_rare") + F.try_divide(C("s_rare"), cover) + F.try_divide(f1, cover) * gamma)
-    kf = F.when(C("k") > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(C("k"), F.lit(2)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i))).otherwise(0.0)
+    kf = log_factorial(C("k"))
     return {
         "shannon": h, "simpson": q / (n * n), "simpson_inverse": n * n / q, "richness": s, "evenness": F.when(s > 1, h / F.log(s)).otherwise(0.0),
         "fisher_alpha": _fisher(s, n), "berger_parker": m / n, "mcintosh": F.when(F.abs(n - u) < 1e-12, 0.0).otherwise(F.try_divide(n - u, n - F.sqrt(n))),
@@ -93,13 +100,7 @@ def rarefaction(com: DataFrame, points: int = 50) -> DataFrame:
     if top is None:
         return com.select("site", F.lit(1).alias("sample_size"), F.lit(0.0).alias("expected_species")).limit(0)
     step = max(1, int(top) // points)
-    # ln n! by Stirling's series beyond small arguments, exact below
-    def lf(c: Column) -> Column:
-        z = F.greatest(c.cast("double"), F.lit(0.0)) + 1
-        y = z + 8
-        series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5))
-        low = sum((F.log(z + i) for i in range(8)), F.lit(0.0))
-        return series - low
+    lf = log_factorial
     e = whole.where("n >= 1").withColumn("sample_size", F.explode(F.sequence(F.lit(1).cast("bigint"), C("n"), F.lit(step).cast("bigint"))))
     miss = F.when(C("sample_size") > C("n") - C("x"), 0.0).otherwise(F.exp(lf(C("n") - C("x")) - lf(C("n") - C("x") - C("sample_size")) - lf(C("n")) + lf(C("n") - C("sample_size"))))
     return e.groupBy("site", "sample_size").agg(F.sum(1 - miss).alias("expected_species"))

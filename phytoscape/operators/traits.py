@@ -41,25 +41,190 @@ def trait_distances(z: DataFrame, names: list[str]) -> DataFrame:
     return a.join(b, C("i") < C("j")).select("i", "j", F.sqrt(sum(((C(f"i_{n}") - C(f"j_{n}")) ** 2 for n in names), F.lit(0.0))).alias("d"))
 
 
+def hull_volume(x: np.ndarray) -> float:
+    """Volume (area, length) of the convex hull of points in up to three dimensions; flat sets have 0."""
+    x = np.unique(np.asarray(x, float), axis=0)
+    if not len(x) or x.shape[1] == 0:
+        return 0.0
+    if x.shape[1] == 1:
+        return float(np.ptp(x))
+    if x.shape[1] == 2:
+        x, half = x[np.lexsort((x[:, 1], x[:, 0]))], []
+        for pts in (x, x[::-1]):
+            h: list = []
+            for p in pts:
+                while len(h) > 1 and (h[-1][0] - h[-2][0]) * (p[1] - h[-2][1]) - (h[-1][1] - h[-2][1]) * (p[0] - h[-2][0]) <= 0:
+                    h.pop()
+                h.append(p)
+            half += h[:-1]
+        r = np.array(half)
+        return float(abs((r[:, 0] * np.roll(r[:, 1], -1) - r[:, 1] * np.roll(r[:, 0], -1)).sum()) / 2) if len(r) > 2 else 0.0
+    x = x - x.mean(0)
+    eps = 1e-10 * max(1e-300, float(np.abs(x).max())) ** 3
+    a = int(x[:, 0].argmin())
+    b = int(((x - x[a]) ** 2).sum(1).argmax())
+    c = int((np.cross(x[b] - x[a], x - x[a]) ** 2).sum(1).argmax())
+    normal = np.cross(x[b] - x[a], x[c] - x[a])
+    d = int(np.abs((x - x[a]) @ normal).argmax())
+    if abs((x[d] - x[a]) @ normal) <= eps:
+        return 0.0
+    side = lambda f, p: np.cross(x[f[1]] - x[f[0]], x[f[2]] - x[f[0]]) @ (p - x[f[0]])
+    inside = x[[a, b, c, d]].mean(0)
+    outward = lambda f: f if side(f, inside) < 0 else (f[0], f[2], f[1])
+    faces = [outward(f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
+    for i in range(len(x)):  # faces that see the point give way to those from their rim
+        seen = [f for f in faces if side(f, x[i]) > eps]
+        if seen:
+            edges = {e for f in seen for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))}
+            rim = [(u, v) for u, v in edges if (v, u) not in edges]
+            faces = [f for f in faces if f not in set(seen)] + [outward((u, v, i)) for u, v in rim]
+    return float(sum(abs(np.dot(x[f[0]] - inside, np.cross(x[f[1]] - inside, x[f[2]] - inside))) for f in faces) / 6)
+
+
+def _per_site(com: DataFrame, names: list, kernel, schema: str) -> DataFrame:
+    """Rows of ``kernel(indices of the site's species, their abundances)`` for every site, over the species ``names``."""
+    at = com.sparkSession.sparkContext.broadcast({s: k for k, s in enumerate(names)})
+    kind = com.schema["site"].dataType.simpleString()
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for site, m in zip(b["site"], b["m"]):
+                pairs = sorted((at.value[s], v) for s, v in (m.items() if isinstance(m, dict) else m) if s in at.value)
+                if pairs:
+                    row = kernel(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], float))
+                    if row is not None:
+                        out.append((site, *row))
+            yield pd.DataFrame(out, columns=["site", *[c.split()[0] for c in schema.split(", ")]])
+
+    rows = com.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("species", "abundance"))).alias("m"))
+    return rows.mapInPandas(go, f"site {kind}, {schema}")
+
+
+def _few(names: DataFrame, most: int = 2_000) -> list:
+    """The species as a sorted list; a matrix of theirs goes to all tasks, so more than ``most`` are an error."""
+    found = [r[0] for r in names.select("species").distinct().orderBy("species").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} species")
+    return found
+
+
 def functional_diversity(com: DataFrame, traits: DataFrame, names: list[str]) -> DataFrame:
-    """(site, fdis, fdiv, raoq, feve) from weights and distances to the weighted centroid.
+    """(site, fdis, fdiv, raoq, feve, fric) over the species that have traits (2,000 at most, standardised over all of them).
 
-    fdis: weighted distance; fdiv: weighted relative deviation from the plain
-    mean distance; raoq: both orders of each pair; feve: from weighted
-    distances to the nearest species.
+    fdis: weighted distance to the weighted centroid; fdiv: weighted deviation
+    from that mean, over it; raoq: both orders of each pair; feve: from the
+    distances to the nearest species times their weights; fric: volume of the
+    hull of the first three principal axes for sites of more species than
+    traits, else the product of the ranges.
     """
     z = standardised(traits, names)
-    w = weights(com, traits).join(z, "species")
-    centre = w.groupBy("site").agg(*[F.sum(C("w") * C(n)).alias(f"c_{n}") for n in names])
-    d = w.join(centre, "site").withColumn("d", F.sqrt(sum(((C(n) - C(f"c_{n}")) ** 2 for n in names), F.lit(0.0))))
-    d = d.withColumn("mean", F.avg("d").over(Window.partitionBy("site")))
-    base = d.groupBy("site").agg(F.sum(C("w") * C("d")).alias("fdis"), F.coalesce(F.try_divide(F.sum(C("w") * F.abs(C("d") - C("mean"))), F.max("mean")), F.lit(0.0)).alias("fdiv"))
-    pd_ = trait_distances(z.join(com.select("species").distinct(), "species", "left_semi"), names)
-    x = w.select("site", C("species").alias("i"), C("w").alias("wi"))
-    y = w.select("site", C("species").alias("j"), C("w").alias("wj"))
-    pairs = x.join(pd_, "i").join(y, ["site", "j"])
-    rao = pairs.groupBy("site").agg(F.sum(2 * C("wi") * C("wj") * C("d")).alias("raoq"))
-    return base.join(rao, "site", "left").na.fill(0.0, ["raoq"])
+    here = _few(com.join(z.select("species"), "species", "left_semi"))
+    table = z.join(com.select("species").distinct(), "species", "left_semi").toPandas().drop_duplicates("species").set_index("species")
+    x = table.loc[here, names].to_numpy(float)
+    shared = com.sparkSession.sparkContext.broadcast(x)
+
+    def kernel(k: np.ndarray, a: np.ndarray) -> tuple:
+        t, w = shared.value[k], a / a.sum()
+        gap = np.sqrt(((t - w @ t) ** 2).sum(1))
+        fdis = float(w @ gap)
+        d = np.sqrt(np.maximum(((t[:, None] - t[None]) ** 2).sum(-1), 0))
+        feve = 0.0
+        if len(k) > 1:
+            near = (d + np.where(np.eye(len(k), dtype=bool), np.inf, 0)).min(1) * w
+            low = float((near.min() - near).sum())
+            den = low + (len(k) - 1) * float(near.min())
+            feve = low / den if den else 0.0
+        if len(k) >= t.shape[1] + 1:
+            c = t - t.mean(0)
+            axes = np.linalg.svd(c, full_matrices=False)[2][:min(3, t.shape[1])] if len(k) > 3 else np.eye(t.shape[1])[:3]
+            fric = hull_volume(c @ axes.T)
+        else:
+            fric = float(np.prod(np.ptp(t, 0)))
+        return fdis, float(w @ np.abs(gap - fdis)) / fdis if fdis > 0 else 0.0, float(w @ d @ w), feve, fric
+
+    return _per_site(com, here, kernel, "fdis double, fdiv double, raoq double, feve double, fric double")
+
+
+def functional_beta(com: DataFrame, traits: DataFrame, names: list[str]) -> DataFrame:
+    """(i, j, d): Euclidean distances of all pairs of sites between their community-weighted means of standardised traits."""
+    z = standardised(traits, names)
+    long = z.select("species", F.explode(F.array(*[F.struct(F.lit(n).alias("trait"), C(n).alias("value")) for n in names])).alias("t")).select("species", "t.*")
+    means = community_weighted_means(com, long)
+    from phytoscape.operators.distances import distances
+
+    low = means.groupBy("trait").agg(F.min("cwm").alias("low"))
+    shifted = means.join(F.broadcast(low), "trait").select("site", C("trait").alias("species"), (C("cwm") - C("low") + 1.0).alias("abundance"))  # differences alone count
+    return distances(shifted, "euclidean")
+
+
+def functional_groups(traits: DataFrame, names: list[str], groups: int | None = None) -> pd.DataFrame:
+    """(species, functional_group from 1): Ward linkage of standardised traits; without ``groups`` the number of 2 to 10 with the greatest mean silhouette. 2,000 species at most."""
+    z = standardised(traits, names)
+    here = _few(z)
+    t = z.toPandas().drop_duplicates("species").set_index("species").loc[here, names].to_numpy(float)
+    d = np.sqrt(((t[:, None] - t[None]) ** 2).sum(-1))
+    from phytoscape.operators.clustering import cut_tree, linkage, silhouette_of
+
+    merges = linkage(d, "ward")
+    if groups is None:
+        every = range(2, min(11, max(3, len(here) // 2)))
+        groups = max(every, key=lambda k: (silhouette_of(d, cut_tree(merges, len(here), k)), -k))
+    return pd.DataFrame({"species": here, "functional_group": cut_tree(merges, len(here), groups)})
+
+
+def group_profiles(traits: DataFrame, names: list[str], groups: DataFrame) -> DataFrame:
+    """(functional_group, trait, species, mean, deviation, range) of groups (species, functional_group)."""
+    long = traits.unpivot("species", names, "trait", "value").where("value is not null and not isnan(value)").join(groups, "species")
+    return long.groupBy("functional_group", "trait").agg(F.count("*").alias("species"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"), (F.max("value") - F.min("value")).alias("range"))
+
+
+def trade_offs(traits: DataFrame, names: list[str]) -> DataFrame:
+    """(trait1, trait2, n, correlation, p_value, kind) of all pairs of traits with three common species or more."""
+    from phytoscape.functions.statistics import t_two_sided
+
+    ok = {n: F.when(~F.isnan(C(n).cast("double")), C(n).cast("double")) for n in names}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    both = lambda a, b, c: F.when(ok[a].isNotNull() & ok[b].isNotNull(), c)
+    row = traits.agg(*[x for k, (a, b) in enumerate(pairs) for x in (F.corr(both(a, b, ok[a]), both(a, b, ok[b])).alias(f"r{k}"), F.count(both(a, b, F.lit(1))).alias(f"n{k}"))]).first()
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        n, r = row[f"n{k}"], row[f"r{k}"]
+        if n < 3 or r is None or r != r:
+            continue
+        p = t_two_sided(r * np.sqrt((n - 2) / (1 - r * r)), n - 2) if abs(r) < 1 else 0.0
+        kind = "No significant relationship" if p >= 0.05 else "Strong trade-off" if r < -0.3 else "Weak trade-off" if r < -0.1 else "Strong synergy" if r > 0.3 else "Weak synergy" if r > 0.1 else "No clear relationship"
+        out.append((a, b, int(n), float(r), float(p), kind))
+    return traits.sparkSession.createDataFrame(out, "trait1 string, trait2 string, n long, correlation double, p_value double, kind string")
+
+
+# fixed values: traits by which a syndrome is known
+SYNDROMES = {"acquisitive": ("leaf_area", "sla", "leaf_n", "leaf_p"), "conservative": ("leaf_thickness", "ldmc", "wood_density"), "size": ("plant_height", "leaf_area", "seed_mass"), "reproductive": ("seed_mass", "seed_number", "reproductive_height")}
+
+
+def trait_syndromes(traits: DataFrame, names: list[str]) -> pd.DataFrame:
+    """(axis, trait, loading, ratio, sign, interpretation): principal axes of standardised traits whose variance exceeds 1 or 5 % of all; traits loading beyond 0.6 carry the axis."""
+    z = standardised(traits, names)
+    row = z.agg(F.count("*").alias("n"), *[F.sum(C(a) * C(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]).first()
+    m = np.array([[row[f"{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))]) / max(1, row["n"] - 1)
+    lam, vec = np.linalg.eigh(m)
+    order = np.argsort(-lam)
+    lam, vec = lam[order], vec[:, order]
+    vec = vec * np.where(vec[np.abs(vec).argmax(0), np.arange(len(names))] < 0, -1, 1)
+    out = []
+    for k in np.flatnonzero((lam > 1) | (lam / lam.sum() > 0.05)):
+        strong = {n for n, v in zip(names, vec[:, k]) if v > 0.6}
+        known = next((s for s, t in SYNDROMES.items() if len(strong & set(t)) >= 2), None)
+        text = f"Likely represents {known} strategy" if known else "Syndrome interpretation unclear - manual interpretation needed"
+        out += [(int(k) + 1, n, float(v), float(lam[k] / lam.sum()), "positive" if v > 0.6 else "negative" if v < -0.6 else "", text) for n, v in zip(names, vec[:, k])]
+    return pd.DataFrame(out, columns=["axis", "trait", "loading", "ratio", "sign", "interpretation"])
+
+
+def trait_environment(com: DataFrame, traits: DataFrame, names: list[str], env: DataFrame, variables: list[str]) -> DataFrame:
+    """(trait, variable, n, r): correlation over sites of community-weighted means with environmental values."""
+    means = community_weighted_means(com, traits.unpivot("species", names, "trait", "value").select("species", "trait", C("value").cast("double").alias("value")))
+    e = env.unpivot("site", variables, "variable", "v").where("v is not null and not isnan(v)")
+    return means.join(e, "site").groupBy("trait", "variable").agg(F.count("*").alias("n"), F.coalesce(F.corr("cwm", "v"), F.lit(0.0)).alias("r"))
 
 
 def phylo_pairs(wide: DataFrame, species: str = "species", names: list[str] | None = None) -> DataFrame:
@@ -69,15 +234,59 @@ def phylo_pairs(wide: DataFrame, species: str = "species", names: list[str] | No
     return long.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.avg("dist").alias("dist"))
 
 
-def mean_pair_distances(com: DataFrame, phylo: DataFrame) -> DataFrame:
-    """(site, mpd, mntd): abundance-weighted mean distance of pairs, and unweighted mean distance to the nearest species."""
-    x, y = (com.select("site", C("species").alias(k), C("abundance").alias(f"x{k}")) for k in "ij")
+def _matrix_of(phylo: DataFrame, com: DataFrame, most: int = 2_000) -> tuple[list, np.ndarray]:
+    """Species of the community that have distances, and their matrix (NaN where none is known)."""
     here = com.select("species").distinct()
-    phylo = phylo.join(here.toDF("i"), "i", "left_semi").join(here.toDF("j"), "j", "left_semi")
-    p = x.join(phylo, "i").join(y, ["site", "j"])
-    mpd = p.groupBy("site").agg((F.sum(C("xi") * C("xj") * C("dist")) / F.sum(C("xi") * C("xj"))).alias("mpd"))
-    near = p.select("site", C("i").alias("s"), "dist").union(p.select("site", "j", "dist")).groupBy("site", "s").agg(F.min("dist").alias("m"))
-    return mpd.join(near.groupBy("site").agg(F.avg("m").alias("mntd")), "site")
+    p = phylo.join(here.toDF("i"), "i", "left_semi").join(here.toDF("j"), "j", "left_semi")
+    names = _few(p.select(C("i").alias("species")).union(p.select("j")), most)
+    at, t = {s: k for k, s in enumerate(names)}, p.select("i", "j", "dist").toPandas()
+    m = np.full((len(names), len(names)), np.nan)
+    i, j = t["i"].map(at).to_numpy(int), t["j"].map(at).to_numpy(int)
+    m[i, j] = m[j, i] = t["dist"].to_numpy(float)
+    return names, m
+
+
+def _mpd_mntd(d: np.ndarray, a: np.ndarray) -> tuple[float, float] | None:
+    """Abundance-weighted mean distance of pairs and mean distance to the nearest, over the pairs that are known."""
+    known = ~np.isnan(d)
+    np.fill_diagonal(known, False)
+    if not known.any():
+        return None
+    w = np.where(known, np.outer(a, a), 0.0)
+    near = np.where(known, np.nan_to_num(d), np.inf).min(1)
+    return float((w * np.nan_to_num(d)).sum() / w.sum()), float(near[np.isfinite(near)].mean())
+
+
+def mean_pair_distances(com: DataFrame, phylo: DataFrame) -> DataFrame:
+    """(site, mpd, mntd): abundance-weighted mean distance of pairs, and unweighted mean distance to the nearest species. The matrix of the species (2,000 at most) goes to all tasks; sites without a known pair are left out."""
+    names, m = _matrix_of(phylo, com)
+    shared = com.sparkSession.sparkContext.broadcast(m)
+    return _per_site(com, names, lambda k, a: _mpd_mntd(shared.value[np.ix_(k, k)], a), "mpd double, mntd double")
+
+
+def phylogenetic_nulls(com: DataFrame, phylo: DataFrame, draws: int = 999, seed: int = 42) -> DataFrame:
+    """(site, mpd, mpd_mean, mpd_sd, nri, mpd_p, mntd, mntd_mean, mntd_sd, nti, mntd_p): against ``draws`` communities of as many species of the pool, drawn at random.
+
+    nri and nti are minus the standardised effect sizes; p is the share of draws
+    (and the community itself) as low or lower.
+    """
+    names, m = _matrix_of(phylo, com)
+    shared = com.sparkSession.sparkContext.broadcast(m)
+
+    def kernel(k: np.ndarray, a: np.ndarray) -> tuple | None:
+        seen = _mpd_mntd(shared.value[np.ix_(k, k)], a)
+        if seen is None:
+            return None
+        rng = np.random.default_rng([seed, *k.tolist()])
+        null = [_mpd_mntd(shared.value[np.ix_(q, q)], a) for q in (rng.permutation(len(shared.value))[:len(k)] for _ in range(draws))]
+        null = np.array([v for v in null if v is not None]).reshape(-1, 2)
+        out = []
+        for c in (0, 1):
+            mean, sd = (float(null[:, c].mean()), float(null[:, c].std())) if len(null) else (seen[c], 0.0)
+            out += [seen[c], mean, sd, -(seen[c] - mean) / sd if sd > 0 else 0.0, float(((null[:, c] <= seen[c]).sum() + 1) / (len(null) + 1))]
+        return tuple(out)
+
+    return _per_site(com, names, kernel, "mpd double, mpd_mean double, mpd_sd double, nri double, mpd_p double, mntd double, mntd_mean double, mntd_sd double, nti double, mntd_p double")
 
 
 def tree_length(com: DataFrame, phylo: DataFrame) -> DataFrame:

@@ -48,22 +48,25 @@ _INDEX = {
 for _name, _body in _INDEX.items():
     _add(_name, _survey(lambda c, n=_name: V.indices(c, [n])), _body, _name, "site")
 _add("richness", _survey(lambda c: V.indices(c, ["richness"])), "select site, s::bigint richness from sites", "", "site, richness")
-_add("all_indices", _survey(V.indices))
-_add("fisher_alpha", _survey(lambda c: V.indices(c, ["fisher_alpha"])), """
-  select site, case when s <= 1 then 0 else list_reduce(list_prepend(s::double, list_transform(range(100), lambda x: n)), lambda a, b: case when abs(s / ln(1 + b / a) - a) < 1e-6 then a else s / ln(1 + b / a) end) end fisher_alpha from sites""", "fisher_alpha", "site")
-_add("hill_numbers", _trade(lambda c: V.hill_numbers(c, (0, 0.5, 1, 1.5, 2))), """
+_FISHER = """
+  select site, case when s <= 1 then 0 else list_reduce(list_prepend(s::double, list_transform(range(100), lambda x: n)), lambda a, b: case when abs(s / ln(1 + b / a) - a) < 1e-6 then a else s / ln(1 + b / a) end) end fisher_alpha from sites"""
+_add("fisher_alpha", _survey(lambda c: V.indices(c, ["fisher_alpha"])), _FISHER, "fisher_alpha", "site")
+_add("hill_numbers", _survey(lambda c: V.hill_numbers(c, (0, 0.5, 1, 1.5, 2))), """
   select site, q, case when q = 0 then count(*) when q = 1 then exp(-sum(p * ln(p))) else pow(sum(pow(p, q)), 1 / (1 - q)) end hill
-  from (select site, abundance / sum(abundance) over (partition by site) p from trade), (select unnest([0.0, 0.5, 1.0, 1.5, 2.0])::double q) group by 1, 2""", "q, hill", "site")
+  from (select site, abundance / sum(abundance) over (partition by site) p from com), (select unnest([0.0, 0.5, 1.0, 1.5, 2.0])::double q) group by 1, 2""", "q, hill", "site")
 _OCC = "(select count(*) so, count(*) filter (where k = 1) q1, count(*) filter (where k = 2) q2 from (select species, count(*) k from com group by 1)), (select count(distinct site) n from com)"
 _add("jackknife", _survey(V.jackknife), f"select so::bigint observed, so + q1 * (n - 1) / n jackknife1, so + q1 * (2 * n - 3) / n - q2 * (n - 2) * (n - 2) / (n * (n - 1)) jackknife2 from {_OCC}", "jackknife1, jackknife2", "observed")
 _add("whittaker_beta", _survey(V.whittaker), "select (select count(distinct species) from com) / avg(s) whittaker_beta from sites", "whittaker_beta")
-_add("rarefaction", _trade(V.rarefaction), """
+_add("rarefaction", _survey(V.rarefaction), """
   select site, k sample_size, sum(case when k > n - x then 1 else 1 - exp(lgamma(n - x + 1) - lgamma(n - x - k + 1) - lgamma(n + 1) + lgamma(n - k + 1)) end) expected_species
-  from (select site, abundance x, sum(abundance) over (partition by site) n from trade) t, (select unnest(range(1, mx::bigint + 1, greatest(1, mx::bigint // 50))) k from (select max(t) mx from (select sum(abundance) t from trade group by site))) where k <= n group by 1, 2""", "expected_species", "site, sample_size")
+  from (select site, abundance x, sum(abundance) over (partition by site) n from com) t, (select unnest(range(1, mx::bigint + 1, greatest(1, mx::bigint // 50))) k from (select max(t) mx from (select sum(abundance) t from com group by site))) where k <= n group by 1, 2""", "expected_species", "site, sample_size")
 _add("filter_rare_species", _survey(lambda c: K.filter_rare(c, 3, 10.0)), "select * from com where species in (select species from com group by 1 having count(*) >= 3 and sum(abundance) >= 10)", "abundance", "site, species")
 _add("summary_statistics", _survey(K.summary), "select count(*) n_sites, avg(s) mean_species, sum(n) total_abundance, avg(n) mean_abundance, (select count(distinct species) from com) n_species from sites", "mean_species, total_abundance, mean_abundance", "n_sites, n_species")
 _add("rank_abundance", _survey(K.rank_abundance), "select site, species, abundance, row_number() over (partition by site order by abundance desc, species) as rank from com", "abundance", "site, species, rank")
 
+_ALL = " join ".join(f"({b}) q_{n}" + (" using (site)" if n != "shannon" else "") for n, b in _INDEX.items())
+_add("all_indices", _survey(V.indices), f"select * exclude (s), s::bigint richness from {_ALL} join (select site, s from sites) using (site) join ({_FISHER}) q_f using (site)", ", ".join([*_INDEX, "fisher_alpha"]), "site, richness")
+
 # --- transformations -------------------------------------------------------
 _GRID = "(select s.site, t.species, coalesce(c.abundance, 0) x from (select distinct site from com) s cross join (select distinct species from com) t left join com c on c.site = s.site and c.species = t.species)"
 _TRANSFORM = {
@@ -94,10 +97,10 @@ _METRIC = {
 _OF = {"chord_distance": "chord"}
 for _name, _e in _METRIC.items():
     _add(_name, _survey(lambda c, m=_OF.get(_name, _name): D.distances(c, m)), f"select i, j, {_e} d from {_DENSE.format(g=_GRID)} group by 1, 2", "d", "i, j")
-_add("hellinger_distance", _trade(lambda c: D.distances(c, "hellinger")), f"select i, j, sqrt(sum((sqrt(x / n) - sqrt(y / m)) * (sqrt(x / n) - sqrt(y / m)))) d from {_DENSE.format(g=_TG)} join (select site i, sum(abundance) n from trade group by 1) using (i) join (select site j, sum(abundance) m from trade group by 1) using (j) group by 1, 2", "d", "i, j")
-_BC = f"(select i, j, {_METRIC['bray_curtis']} d from {_DENSE.format(g=_TG)} group by 1, 2)"
-_add("pcoa_gower", _trade(lambda c: D.gower_centred(D.distances(c))), f"""
-  select i, j, e - avg(e) over (partition by i) - avg(e) over (partition by j) + avg(e) over () b from (select i, j, -0.5 * d * d e from (select * from {_BC} union all select j, i, d from {_BC} union all select distinct site, site, 0 from trade))""", "b", "i, j")
+_add("hellinger_distance", _survey(lambda c: D.distances(c, "hellinger")), f"select i, j, sqrt(sum((sqrt(x / n) - sqrt(y / m)) * (sqrt(x / n) - sqrt(y / m)))) d from {_DENSE.format(g=_GRID)} join (select site i, n from sites) using (i) join (select site j, n m from sites) using (j) group by 1, 2", "d", "i, j")
+_BC = f"(select i, j, {_METRIC['bray_curtis']} d from {_DENSE.format(g=_GRID)} group by 1, 2)"
+_add("pcoa_gower", _survey(lambda c: D.gower_centred(D.distances(c))), f"""
+  select i, j, e - avg(e) over (partition by i) - avg(e) over (partition by j) + avg(e) over () b from (with bc as materialized (select * from {_BC}) select i, j, -0.5 * d * d e from (select * from bc union all select j, i, d from bc union all select site, site, 0 from sites))""", "b", "i, j")
 
 # --- nestedness, associations, metacommunity --------------------------------
 def _counts(unit: str, over: str) -> str:
@@ -128,33 +131,40 @@ _add("indicator_values", lambda s, d: A.indicator_values(c := survey(s, d), grou
   select species, grp, 100.0 * x / sum(x) over (partition by species) * k / sites indval from (select species, grp, sum(abundance) x, count(*) k from com join grp using (site) group by 1, 2) join (select grp, count(*) sites from grp group by 1) using (grp)""", "indval", "species, grp")
 _add("simper_between", lambda s, d: A.simper_between(c := survey(s, d), groups(c)), f"""
   select a.grp g1, b.grp g2, a.species, avg(abs(a.x - b.x) / (a.n + b.n)) contribution from (select * from {_GRID} join grp using (site) join (select site, n from sites) using (site)) a join (select * from {_GRID} join grp using (site) join (select site, n from sites) using (site)) b on a.species = b.species and a.grp < b.grp group by 1, 2, 3""", "contribution", "g1, g2, species")
-_TRIO = "(select distinct site, (site % 3)::bigint grp from trade)"
-
-
-def _trio(c):
-    return c.select("site").distinct().select("site", (F.col("site") % 3).cast("bigint").alias("grp"))
-
-
-_LAB = f"(select b.*, g.grp gi, h.grp gj, rank() over (order by d) + (count(*) over (partition by d) - 1) / 2.0 rk from {_BC} b join {_TRIO} g on g.site = i join {_TRIO} h on h.site = j)"
-_add("group_tests_observed", _trade(lambda c: A.group_tests(D.distances(c).withColumn("d", F.round("d", 12)), _trio(c))), f"""
-  with l as (select * replace (round(d, 12) as d) from {_LAB}), sz as (select grp, count(*) ng from {_TRIO} group by 1), t as (select sum(ng) n, count(*) k from sz),
+_add("simper", lambda s, d: A.simper(c := survey(s, d), groups(c)), f"""
+  select a.grp g1, b.grp g2, a.species, avg(abs(a.x - b.x) / (a.n + b.n)) contribution from (select * from {_GRID} join grp using (site) join (select site, n from sites) using (site)) a join (select * from {_GRID} join grp using (site) join (select site, n from sites) using (site)) b on a.species = b.species and (a.grp < b.grp or a.grp = b.grp and a.site < b.site) group by 1, 2, 3""", "contribution", "g1, g2, species")
+_LAB = f"(select b.*, g.grp gi, h.grp gj, rank() over (order by d) + (count(*) over (partition by d) - 1) / 2.0 rk from (select i, j, round(d, 12) d from {_BC}) b join grp g on g.site = i join grp h on h.site = j)"
+_add("group_tests_observed", _survey(lambda c: A.group_tests(D.distances(c).withColumn("d", F.round("d", 12)), groups(c))), f"""
+  with l as materialized (select * from {_LAB}), sz as (select grp, count(*) ng from grp group by 1), t as (select sum(ng) n, count(*) k from sz),
   w as (select sum(ng * ss / ng / n) ssw, sum(ng / n * md) delta from (select gi grp, sum(d * d) ss, avg(d) md from l where gi = gj group by 1) join sz using (grp), t),
   a as (select sum(d * d) sq, count(*) m, avg(rk) filter (where gi = gj) mw, avg(rk) filter (where gi <> gj) mb from l)
   select ((sq / n - ssw) / (k - 1)) / (ssw / (n - k)) pseudo_f, (mb - mw) / (m + 1 - mw - mb) anosim_r, delta mrpp_delta from a, w, t""", "pseudo_f, anosim_r, mrpp_delta")
-_add("permutation_tests", _trade(lambda c: A.permutation_tests(D.distances(c), _trio(c), 999)))
-_GAP = "(select a.site i, b.site j, abs(a.site - b.site)::double d from (select distinct site from trade) a join (select distinct site from trade) b on a.site < b.site)"
-
-
-def _gap(c):
-    return D.distances(c).select("i", "j", F.abs(F.col("i") - F.col("j")).cast("double").alias("d"))
-
-
-_add("mantel", _trade(lambda c: A.mantel(D.distances(c), _gap(c))), f"select corr(a.d, b.d) mantel_r from {_BC} a join {_GAP} b using (i, j)", "mantel_r")
-_add("partial_mantel", _trade(lambda c: A.partial_mantel(D.distances(c), D.distances(c, "euclidean"), _gap(c))), f"""
-  select (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) partial_r from (select corr(x.d, y.d) a, corr(x.d, z.d) b, corr(y.d, z.d) c from {_BC} x join (select i, j, {_METRIC['euclidean']} d from {_DENSE.format(g=_TG)} group by 1, 2) y using (i, j) join {_GAP} z using (i, j))""", "partial_r")
+_add("permutation_tests", _survey(lambda c: A.permutation_tests(D.distances(c), groups(c), 999)))
+_add("indicator_test", lambda s, d: A.indicator_test(c := survey(s, d), groups(c), 999))
+_ENV = "(select site_id site, avg(elevation) z, avg(temperature) filter (where temperature between -40 and 50 and not isnan(temperature)) t from environmental_variables where elevation between 0 and 2500 group by 1)"
+_gap_sql = lambda v: f"(select a.site i, b.site j, abs(a.{v} - b.{v})::double d from {_ENV} a join {_ENV} b on a.site < b.site where a.{v} is not null and b.{v} is not null)"
+
+
+def _gaps(spark, d, value: str):
+    """Differences of an environmental mean between all pairs of sites of the survey that have it."""
+    ok = {"elevation": "elevation", "temperature": "case when temperature between -40 and 50 and not isnan(temperature) then temperature end"}[value]
+    env = read_table(spark, d, "environmental_variables").where("site_id is not null and elevation between 0 and 2500").groupBy(F.col("site_id").alias("site")).agg(F.avg(F.expr(ok)).alias("abundance")).where("abundance is not null")
+    here = survey(spark, d).select("site").distinct()
+    # distances of a single value: blocks of sites against each other, as for communities
+    shifted = env.join(here, "site", "left_semi").select("site", F.lit("v").alias("species"), (F.col("abundance") + 1000.0).alias("abundance"))
+    return D.distances(shifted, "manhattan")
+
+
+_add("mantel", lambda s, d: A.mantel(D.distances(survey(s, d)), _gaps(s, d, "elevation")), f"select corr(a.d, b.d) mantel_r from {_BC} a join {_gap_sql('z')} b using (i, j)", "mantel_r")
+_add("mantel_spearman", lambda s, d: A.mantel(D.distances(survey(s, d)).withColumn("d", F.round("d", 12)), _gaps(s, d, "elevation").withColumn("d", F.round("d", 9)), "spearman"), f"""
+  with p as (select round(a.d, 12) x, round(b.d, 9) y from {_BC} a join {_gap_sql('z')} b using (i, j)) select corr(x, y) mantel_r from (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 x, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 y from p)""", "mantel_r")
+_add("mantel_test", lambda s, d: A.mantel_test(D.distances(survey(s, d)), _gaps(s, d, "elevation"), 999))
+_add("partial_mantel", lambda s, d: A.partial_mantel(D.distances(survey(s, d)), _gaps(s, d, "elevation"), _gaps(s, d, "temperature")), f"""
+  select (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) partial_r from (select corr(x.d, y.d) a, corr(x.d, z.d) b, corr(y.d, z.d) c from {_BC} x join {_gap_sql('z')} y using (i, j) join {_gap_sql('t')} z using (i, j))""", "partial_r")
+_add("partial_mantel_test", lambda s, d: A.mantel_test(D.distances(survey(s, d)), _gaps(s, d, "elevation"), 999, d3=_gaps(s, d, "temperature")))
 
 # --- traits and phylogeny ----------------------------------------------------
-_TRAITS = ["max_height_m", "leaf_area_cm2", "specific_leaf_area_cm2_g", "wood_density_g_cm3"]
+_TRAITS = ["max_height_m", "leaf_area_cm2", "specific_leaf_area_cm2_g", "leaf_nitrogen_percent", "leaf_phosphorus_percent", "wood_density_g_cm3", "seed_mass_mg"]
 
 
 def _traits(spark, d):
@@ -172,10 +182,25 @@ _add("cwm", lambda s, d: R.community_weighted_means(survey(s, d), _long(_traits(
   select site, trait, sum(w * coalesce(value, mv)) cwm from (select c.site, c.species, trait, value, abundance / sum(abundance) over (partition by site, trait) w, avg(value) over (partition by site, trait) mv
     from com c join (from {_TSQL} unpivot include nulls (value for trait in ({', '.join(_TRAITS)}))) t using (species)) group by 1, 2""", "cwm", "site, trait")
 _Z = "(select species, " + ", ".join(f"({n} - avg({n}) over ()) / case when stddev_pop({n}) over () > 0 then stddev_pop({n}) over () else 1 end {n}" for n in _TRAITS) + " from (select species, " + ", ".join(f"coalesce({n}, avg({n}) over ()) {n}" for n in _TRAITS) + f" from {_TSQL}))"
-_add("functional_diversity", lambda s, d: R.functional_diversity(survey(s, d), _traits(s, d), _TRAITS), f"""
+_add("functional_diversity", lambda s, d: R.functional_diversity(survey(s, d), _traits(s, d), _TRAITS).drop("fric"), f"""
   with z as materialized (select * from {_Z}), w as (select site, species, abundance / sum(abundance) over (partition by site) w from com where species in (select species from z)), a as (select * from w join z using (species)),
-  c as (select site, {', '.join(f'sum(w * {n}) c_{n}' for n in _TRAITS)} from a group by 1), e as (select site, w, sqrt({' + '.join(f'pow({n} - c_{n}, 2)' for n in _TRAITS)}) d from a join c using (site)), f as (select *, avg(d) over (partition by site) m from e)
-  select site, sum(w * d) fdis, coalesce(sum(w * abs(d - m)) / nullif(max(m), 0), 0) fdiv, coalesce(max(rao), 0) raoq from f left join (select x.site, sum(2 * x.w * y.w * sqrt({' + '.join(f'pow(x.{n} - y.{n}, 2)' for n in _TRAITS)})) rao from a x join a y on x.site = y.site and x.species < y.species group by 1) using (site) group by 1""", "fdis, fdiv, raoq", "site")
+  c as (select site, {', '.join(f'sum(w * {n}) c_{n}' for n in _TRAITS)} from a group by 1), e as (select site, w, sqrt({' + '.join(f'pow({n} - c_{n}, 2)' for n in _TRAITS)}) d from a join c using (site)), f as (select *, sum(w * d) over (partition by site) m from e),
+  pr as (select x.site, x.species s, any_value(x.w) w, min(sqrt({' + '.join(f'pow(x.{n} - y.{n}, 2)' for n in _TRAITS)})) near from a x join a y on x.site = y.site and x.species <> y.species group by 1, 2),
+  ev as (select site, case when sum(lo - near * w) + (count(*) - 1) * any_value(lo) <> 0 then sum(lo - near * w) / (sum(lo - near * w) + (count(*) - 1) * any_value(lo)) else 0 end feve from (select *, min(near * w) over (partition by site) lo from pr) group by 1)
+  select site, sum(w * d) fdis, coalesce(sum(w * abs(d - m)) / nullif(max(m), 0), 0) fdiv, coalesce(max(rao), 0) raoq, coalesce(max(feve), 0) feve from f left join ev using (site) left join (select x.site, sum(2 * x.w * y.w * sqrt({' + '.join(f'pow(x.{n} - y.{n}, 2)' for n in _TRAITS)})) rao from a x join a y on x.site = y.site and x.species < y.species group by 1) using (site) group by 1""", "fdis, fdiv, raoq, feve", "site")
+_add("functional_richness", lambda s, d: R.functional_diversity(survey(s, d), _traits(s, d), _TRAITS).select("site", "fric"))
+_add("functional_beta", lambda s, d: R.functional_beta(survey(s, d), _traits(s, d), _TRAITS), f"""
+  with z as materialized (select * from {_Z}), w as (select site, species, abundance / sum(abundance) over (partition by site) w from com where species in (select species from z)), c as materialized (select site, {', '.join(f'sum(w * {n}) {n}' for n in _TRAITS)} from w join z using (species) group by 1)
+  select a.site i, b.site j, sqrt({' + '.join(f'pow(a.{n} - b.{n}, 2)' for n in _TRAITS)}) d from c a join c b on a.site < b.site""", "d", "i, j")
+_add("functional_groups", lambda s, d: s.createDataFrame(R.functional_groups(_traits(s, d).join(survey(s, d).select("species").distinct(), "species", "left_semi"), _TRAITS)))
+_add("trait_profiles", lambda s, d: R.group_profiles(_traits(s, d), _TRAITS, _traits(s, d).select("species", (F.length("species") % 3).alias("functional_group")).where("species is not null")), f"""
+  select length(species) % 3 functional_group, trait, count(*) species, avg(value) mean, stddev_samp(value) deviation, max(value) - min(value) "range" from (from {_TSQL} unpivot (value for trait in ({', '.join(_TRAITS)}))) group by 1, 2""", "mean, deviation, \"range\"", "functional_group, trait, species")
+_add("trait_trade_offs", lambda s, d: R.trade_offs(_traits(s, d).where("species is not null"), _TRAITS).select("trait1", "trait2", "n", "correlation"), " union all ".join(f"select '{a}' trait1, '{b}' trait2, count(*) n, corr({a}, {b}) correlation from {_TSQL} where {a} is not null and {b} is not null" for i, a in enumerate(_TRAITS) for b in _TRAITS[i + 1:]), "correlation", "trait1, trait2, n")
+_add("trait_syndromes", lambda s, d: s.createDataFrame(R.trait_syndromes(_traits(s, d), _TRAITS)))
+_add("trait_environment", lambda s, d: R.trait_environment(survey(s, d), _traits(s, d), _TRAITS, _env(s, d), ["elevation"]), f"""
+  with w as (select site, trait, sum(w * coalesce(value, mv)) cwm from (select c.site, c.species, trait, value, abundance / sum(abundance) over (partition by site, trait) w, avg(value) over (partition by site, trait) mv
+    from com c join (from {_TSQL} unpivot include nulls (value for trait in ({', '.join(_TRAITS)}))) t using (species)) group by 1, 2)
+  select trait, 'elevation' as variable, count(*) n, coalesce(corr(cwm, v), 0) r from w join (select site_id site, avg(elevation) v from environmental_variables where elevation between 0 and 2500 group by 1) using (site) group by 1""", "r", "trait, variable, n")
 
 
 def _phylo(spark, d):
@@ -189,6 +214,7 @@ _add("mpd_mntd", lambda s, d: R.mean_pair_distances(survey(s, d), _phylo(s, d)),
   nt as (select site, avg(m) mntd from (select site, s, min(dist) m from (select site, s1 s, dist from pr union all select site, s2, dist from pr) group by 1, 2) group by 1)
   select site, sum(w * dist) / sum(w) mpd, max(mntd) mntd from pr join nt using (site) group by 1""", "mpd, mntd", "site")
 _add("phylo_tree_length", lambda s, d: R.tree_length(survey(s, d), _phylo(s, d)))
+_add("phylo_nulls", lambda s, d: R.phylogenetic_nulls(survey(s, d), _phylo(s, d), 999))
 
 
 def _env(spark, d):

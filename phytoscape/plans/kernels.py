@@ -10,7 +10,7 @@ from phytoscape.operators import models as M
 from phytoscape.operators import nullmodels as N
 from phytoscape.operators import ordination as O
 from phytoscape.operators.transforms import transform
-from phytoscape.plans.helpers import rounded, survey, trade
+from phytoscape.plans.helpers import rounded, survey
 from phytoscape.session import read_table
 from phytoscape.streaming.diversity import window_indices, windowed_counts
 
@@ -47,19 +47,30 @@ _add("ca", lambda s, d: O.ca(survey(s, d))[0])
 _add("dca", lambda s, d: O.dca(survey(s, d)))
 _add("rda", _table(lambda s, d: O.constrained(survey(s, d), _env(s, d), ["elevation", "soil_ph", "temperature"], "rda")))
 _add("cca", _table(lambda s, d: O.constrained(survey(s, d), _env(s, d), ["elevation", "soil_ph", "temperature"], "cca")))
-_add("pcoa", _table(lambda s, d: O.pcoa(D.distances(trade(s, d)))))
-_add("nmds", _table(lambda s, d: O.nmds(D.distances(trade(s, d)))[0]))
+_add("pcoa", _table(lambda s, d: O.pcoa(D.distances(survey(s, d)))))
+_add("nmds", _table(lambda s, d: O.nmds(D.distances(survey(s, d)))[0]))
 _add("kmeans", lambda s, d: K.kmeans(K.as_vectors(transform(survey(s, d))), 5)[0])
 _add("gaussian_mixture", lambda s, d: K.gaussian_mixture(_vectors(s, d), 3)[0])
-_add("fuzzy_cmeans", lambda s, d: K.fuzzy_cmeans(K.as_vectors(transform(survey(s, d))), 3, rounds=10))
-_add("dbscan", lambda s, d: (lambda c: K.dbscan(D.distances(c), c.select("site").distinct(), 0.25, 4))(trade(s, d)))
-_add("hierarchical", _table(lambda s, d: K.hierarchical(D.distances(trade(s, d)), "average", 4)[1]))
+_add("fuzzy_cmeans", lambda s, d: K.fuzzy_cmeans(K.as_vectors(transform(survey(s, d))), 3))
+_add("dbscan", lambda s, d: (lambda c: K.dbscan(D.distances(c), c.select("site").distinct(), 0.25, 4))(survey(s, d)))
+_add("hierarchical", _table(lambda s, d: K.hierarchical(D.distances(survey(s, d)), "average", 4)[1]))
 _add("silhouette", lambda s, d: K.silhouette(_vectors(s, d), _labels(s, d)).select("site", F.col("cluster").cast("bigint").alias("cluster"), F.round("silhouette", 5).alias("silhouette")), """
 with v as (select vec_id site, label cluster, embedding::double[] vec from embeddings), m as (select a.site, a.cluster, b.cluster other, avg(list_distance(a.vec, b.vec)) m from v a join v b on a.site <> b.site group by 1, 2, 3)
 select site, cluster::bigint as cluster, round(coalesce((o - w) / nullif(greatest(o, w), 0), 0), 5) silhouette from (select site, cluster, max(m) filter (where cluster = other) w, min(m) filter (where cluster <> other) o from m group by 1, 2)""")
 _add("calinski_harabasz", lambda s, d: K.dispersion(_vectors(s, d), _labels(s, d)).select(F.round("calinski_harabasz", 5).alias("calinski_harabasz")), """
 with v as (select label g, unnest(embedding)::double x, generate_subscripts(embedding, 1) p from embeddings), w as (select sum(n * v) w, count(distinct g) k from (select g, p, count(*) n, var_pop(x) v from v group by 1, 2)), t as (select sum(n * v) t, max(n) n from (select p, count(*) n, var_pop(x) v from v group by 1))
 select round((t - w) / (k - 1) / (w / (n - k)), 5) calinski_harabasz from w, t""")
+_add("elbow_analysis", _table(lambda s, d: K.elbow_analysis(K.as_vectors(transform(survey(s, d))), range(1, 9), 3)[0]))
+_add("optimal_k", lambda s, d: s.createDataFrame([(k, float(v)) for k, v in K.elbow_analysis(K.as_vectors(transform(survey(s, d))), range(1, 9), 3)[1].items() if v is not None], "rule string, k double"))
+_add("gap_statistic", _table(lambda s, d: K.gap_statistic(K.as_vectors(transform(survey(s, d))), range(1, 5), 3, 1)))
+_add("cophenetic", lambda s, d: s.createDataFrame([(m, K.cophenetic_correlation(D.distances(survey(s, d)), m)) for m in ("average", "single", "complete", "ward")], "method string, correlation double"))
+_add("davies_bouldin", lambda s, d: K.davies_bouldin(_vectors(s, d), _labels(s, d)).select(F.round("davies_bouldin", 5).alias("davies_bouldin")), """
+with v as (select vec_id, label g, unnest(embedding)::double x, generate_subscripts(embedding, 1) p from embeddings), c as (select g, p, avg(x) m from v group by 1, 2), s as (select g, avg(d) s from (select vec_id, g, sqrt(sum(pow(x - m, 2))) d from v join c using (g, p) group by 1, 2) group by 1),
+r as (select a.g i, b.g j, sqrt(sum(pow(a.m - b.m, 2))) d from c a join c b on a.p = b.p and a.g <> b.g group by 1, 2)
+select round(avg(m), 5) davies_bouldin from (select i, max((x.s + y.s) / d) m from r join s x on x.g = i join s y on y.g = j group by 1)""")
+_add("simplified_silhouette", lambda s, d: K.simplified_silhouette(_vectors(s, d), _labels(s, d)).select(F.round("silhouette", 6).alias("silhouette")), """
+with v as (select vec_id, label g, unnest(embedding)::double x, generate_subscripts(embedding, 1) p from embeddings), c as (select g k, p, avg(x) m from v group by 1, 2), d as (select vec_id, g, k, sqrt(sum(pow(x - m, 2))) d from v join c using (p) group by 1, 2, 3)
+select round(avg((b - a) / greatest(a, b)), 6) silhouette from (select vec_id, max(d) filter (where k = g) a, min(d) filter (where k <> g) b from d group by 1)""")
 _add("null_model_test", lambda s, d: N.null_model_test(survey(s, d), "c_score", "columns", 999))
 _add("habitat_model", lambda s, d: M.classify(read_table(s, d, "environmental_variables").withColumn("habitat", F.lower(F.trim("habitat_type"))).where("habitat in ('broadleaf','needleleaf','mixedwood','fen','heath')"), "env_id", "habitat", ["elevation", "soil_ph", "soil_moisture", "temperature"], "rf")[1])
 _add("event_window_diversity", lambda s, d: window_indices(windowed_counts(read_table(s, d, "events"), "ts", "user_id", "event_type"), ["shannon", "richness"]).select(F.col("start").cast("string").alias("start"), "site", "shannon", "richness"), """
