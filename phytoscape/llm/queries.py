@@ -103,4 +103,16 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_described, p5_leaves, p6_found, p6_mapped, p6_misses, p7_sequences, p8_found, p8_near, p9_pieces)}
-SQL: dict[str, str] = {}
+_VECTORS = """obs as (select obs_id id, [greatest(coalesce(x, 0), 0)::double for x in list_value(*columns(* exclude (obs_id, site_id, observed_on, ingested_at)))] v from species_abundance where obs_id is not null qualify row_number() over (partition by obs_id order by ingested_at) = 1),
+rec as materialized (select id, v, list_sum(v) n from obs where list_sum(v) > 0)"""
+SQL: dict[str, str] = {
+    "p2_found": f"""
+with {_VECTORS}, near as (select p.id a, r.id b, row_number() over (partition by p.id order by round(list_cosine_similarity(p.v, r.v), 12) desc, r.id) k from rec p join probe_records q on q.obs_id = p.id join rec r on r.id <> p.id)
+select distinct least(a, b) obs_a, greatest(a, b) obs_b from near where k <= 5""",
+    "p5_found": f"""
+with recursive {_VECTORS}, links as materialized (select x.id a, y.id b from rec x join rec y on x.id <> y.id and abs(x.n - y.n) <= 36 and abs(x.v[1] - y.v[1]) + abs(x.v[2] - y.v[2]) + abs(x.v[3] - y.v[3]) + abs(x.v[4] - y.v[4]) + abs(x.v[5] - y.v[5]) <= 36
+  where list_sum([abs(z[1] - z[2]) for z in list_zip(x.v, y.v)]) <= 36),
+reach as (select id, id root from rec union select b, root from reach join links on a = id),
+c as (select id, min(root) cluster_id from reach group by 1)
+select cluster_id, id obs_id from c where cluster_id in (select cluster_id from c group by 1 having count(*) >= 3)""",
+}
