@@ -111,3 +111,127 @@ def contagion(cells: DataFrame) -> DataFrame:
         adj = e if adj is None else adj.union(e)
     p = adj.groupBy("code", "other").agg(F.count("*").alias("k")).withColumn("p", C("k") / F.sum("k").over(Window.partitionBy()))
     return p.agg(F.sum(C("p") * F.log(C("p") + 1e-10)).alias("s")).join(top).select(F.when(C("types") > 1, (1 + C("s") / F.log("types")) * 100).otherwise(100.0).alias("contagion"))
+
+
+def edge_metrics(cells: DataFrame, cell_size: float = 1.0) -> DataFrame:
+    """Per code: edge cells (of non-zero difference to a neighbour row or column, central differences inside and one-sided at the border), edge density, and the shape index edge density / (4 √area). The landscape is a full grid of (row, col, code)."""
+    box = cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("all"))
+    codes = cells.where("code <> 0").groupBy("code").agg((F.count("*") * cell_size**2).alias("area"))
+    at = cells.join(F.broadcast(box))
+    c = at.select("row", "col", "code", "all")
+    for name, dr, dc in (("up", -1, 0), ("down", 1, 0), ("left", 0, -1), ("right", 0, 1)):
+        c = c.join(cells.select((C("row") - dr).alias("row"), (C("col") - dc).alias("col"), C("code").alias(name)), ["row", "col"], "left")
+    # a code's mask differs along an axis if exactly one of both neighbours (or, at the border, of neighbour and cell) has it
+    sides = [F.array(F.coalesce("up", "code"), F.coalesce("down", "code")), F.array(F.coalesce("left", "code"), F.coalesce("right", "code"))]
+    edge = c.select("all", F.explode(F.array_distinct(F.concat(*[F.when(s[0] != s[1], s).otherwise(F.slice(s, 1, 0)) for s in sides]))).alias("code"))
+    e = edge.where("code <> 0").groupBy("code").agg(F.count("*").alias("edge_cells"), F.first("all").alias("all"))
+    density = F.try_divide(C("edge_cells") * cell_size, C("all") * cell_size**2)
+    return codes.join(e, "code", "left").select("code", F.coalesce("edge_cells", F.lit(0)).alias("edge_cells"), F.coalesce(density, F.lit(0.0)).alias("edge_density"), F.coalesce(density / (4 * F.sqrt("area")), F.lit(0.0)).alias("shape_index"))
+
+
+RBF_POINTS = 3_000
+
+
+def rbf(points: DataFrame, cells: DataFrame, function: str = "thin_plate_spline") -> DataFrame:
+    """(grid_id, z) of radial functions through all points, with a plane: thin_plate_spline or linear. At most 3,000 different positions (their mean value each); fewer than three points give inverse-distance weighting."""
+    import pandas as pd
+
+    kernels = {"thin_plate_spline": lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0.0), "linear": lambda r: -r}
+    if function not in kernels:
+        raise ValueError(f"Unknown function: {function}")
+    t = points.where("x is not null and y is not null and z is not null").groupBy("x", "y").agg(F.avg("z").alias("z")).limit(RBF_POINTS + 1).toPandas()
+    if len(t) > RBF_POINTS:
+        raise ValueError(f"more than {RBF_POINTS} positions")
+    if len(t) < 3:
+        return idw(points, cells)
+    t = t.sort_values(["x", "y"])
+    xy, z, phi = t[["x", "y"]].to_numpy(float), t["z"].to_numpy(float), kernels[function]
+    mid, scale = xy.mean(0), np.ptp(xy, axis=0).max() or 1.0
+    u = (xy - mid) / scale
+    plane = np.column_stack([np.ones(len(u)), u])
+    a = np.block([[phi(np.sqrt(((u[:, None] - u[None]) ** 2).sum(-1))), plane], [plane.T, np.zeros((3, 3))]])
+    w = np.linalg.lstsq(a, np.r_[z, np.zeros(3)], rcond=None)[0]
+    shared = points.sparkSession.sparkContext.broadcast((u, w))
+
+    def predict(batches):
+        u, w = shared.value
+        step = max(1, 2_000_000 // len(u))
+        for b in batches:
+            q = (b[["x", "y"]].to_numpy(float) - mid) / scale
+            v = [phi(np.sqrt(((q[i:i + step, None] - u[None]) ** 2).sum(-1))) @ w[:-3] + np.column_stack([np.ones(len(q[i:i + step])), q[i:i + step]]) @ w[-3:] for i in range(0, len(q), step)]
+            yield pd.DataFrame({"grid_id": b["grid_id"], "z": np.concatenate(v) if v else []})
+
+    return cells.select("grid_id", "x", "y").mapInPandas(predict, "grid_id long, z double")
+
+
+def triangulated(xy: np.ndarray) -> np.ndarray:
+    """Triangles (rows of three indices) of a Delaunay triangulation, by adding point after point."""
+    mid, span = xy.mean(0), np.ptp(xy, axis=0).max() or 1.0
+    pts = np.vstack([(xy - mid) / span, [[-60, -50], [60, -50], [0, 80]]])
+    n = len(xy)
+
+    def circle(t):
+        (ax, ay), (bx, by), (cx, cy) = pts[list(t)]
+        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        if abs(d) < 1e-300:
+            return 0.0, 0.0, np.inf
+        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
+        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
+        return ux, uy, (ux - ax) ** 2 + (uy - ay) ** 2
+
+    tri = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
+    for i in np.lexsort((pts[:n, 1], pts[:n, 0])):
+        keys = list(tri)
+        c = np.array([tri[k] for k in keys])
+        bad = [keys[k] for k in np.flatnonzero((pts[i, 0] - c[:, 0]) ** 2 + (pts[i, 1] - c[:, 1]) ** 2 < c[:, 2] * (1 + 1e-12))]
+        edges: dict = {}
+        for t in bad:
+            del tri[t]
+            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
+                e = (min(e), max(e))
+                edges[e] = edges.get(e, 0) + 1
+        for (u, v), k in edges.items():
+            if k == 1:
+                tri[(u, v, int(i))] = circle((u, v, int(i)))
+    return np.array([t for t in tri if max(t) < n], int).reshape(-1, 3)
+
+
+def linear_interpolation(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """(grid_id, z): planes over the Delaunay triangles of at most 3,000 different positions (their mean value each); NULL outside their hull."""
+    import pandas as pd
+
+    t = points.where("x is not null and y is not null and z is not null").groupBy("x", "y").agg(F.avg("z").alias("z")).limit(RBF_POINTS + 1).toPandas()
+    if len(t) > RBF_POINTS:
+        raise ValueError(f"more than {RBF_POINTS} positions")
+    t = t.sort_values(["x", "y"])
+    xy, z = t[["x", "y"]].to_numpy(float), t["z"].to_numpy(float)
+    tri = triangulated(xy) if len(t) > 2 else np.zeros((0, 3), int)
+    shared = points.sparkSession.sparkContext.broadcast((xy[tri], z[tri]))
+
+    def predict(batches):
+        p, v = shared.value
+        for b in batches:
+            out = []
+            for x, y in b[["x", "y"]].to_numpy(float):
+                if not len(p):
+                    out.append(None)
+                    continue
+                d = (p[:, 1, 1] - p[:, 2, 1]) * (p[:, 0, 0] - p[:, 2, 0]) + (p[:, 2, 0] - p[:, 1, 0]) * (p[:, 0, 1] - p[:, 2, 1])
+                d = np.where(np.abs(d) < 1e-300, np.nan, d)
+                a = ((p[:, 1, 1] - p[:, 2, 1]) * (x - p[:, 2, 0]) + (p[:, 2, 0] - p[:, 1, 0]) * (y - p[:, 2, 1])) / d
+                c = ((p[:, 2, 1] - p[:, 0, 1]) * (x - p[:, 2, 0]) + (p[:, 0, 0] - p[:, 2, 0]) * (y - p[:, 2, 1])) / d
+                inside = np.flatnonzero(np.nan_to_num(np.minimum(np.minimum(a, c), 1 - a - c), nan=-1.0) >= -1e-9)
+                out.append(float(a[inside[0]] * v[inside[0], 0] + c[inside[0]] * v[inside[0], 1] + (1 - a[inside[0]] - c[inside[0]]) * v[inside[0], 2]) if len(inside) else None)
+            yield pd.DataFrame({"grid_id": b["grid_id"], "z": pd.Series(out, dtype=float)})
+
+    return cells.select("grid_id", "x", "y").mapInPandas(predict, "grid_id long, z double").withColumn("z", F.when(~F.isnan("z"), C("z")))
+
+
+def interpolate(points: DataFrame, cells: DataFrame, method: str = "idw") -> DataFrame:
+    """(grid_id, z) by the named method: idw, kriging, rbf, nearest or linear."""
+    from phytoscape.operators.smoothing import simple_kriging
+
+    every = {"idw": idw, "kriging": simple_kriging, "rbf": rbf, "nearest": nearest, "linear": linear_interpolation}
+    if method not in every:
+        raise ValueError(f"Unknown interpolation: {method}")
+    return every[method](points, cells)

@@ -101,3 +101,130 @@ def fit_curves(s: DataFrame, group: str, x: str, y: str, curve: str = "logistic"
         return pd.DataFrame([(part["grp"].iloc[0], curve, int(k.sum()), p.tolist(), e.tolist(), r2, rmse)], columns=["grp", "curve", "n", "params", "errors", "r2", "rmse"])
 
     return pts.groupBy("grp").applyInPandas(fit, "grp string, curve string, n long, params array<double>, errors array<double>, r2 double, rmse double")
+
+
+def phenology(s: DataFrame, group: str, x: str, y: str, curve: str = "gaussian") -> DataFrame:
+    """(grp, curve, n, parameter, value, r2, rmse) of seasonal curves: onset, amplitude, rate and baseline of a sigmoid; peak, duration and baseline of a gaussian."""
+    p = lambda i: C("params")[i]
+    named = {
+        "sigmoid": {"onset": p(2), "amplitude": p(0), "rate": p(1), "baseline": p(3)},
+        "gaussian": {"peak_time": p(1), "peak_amplitude": p(0) + p(3), "duration": 2 * p(2), "baseline": p(3)},
+    }
+    if curve not in named:
+        raise ValueError(f"Unknown model: {curve}")
+    f = fit_curves(s, group, x, y, curve)
+    return f.select("grp", "curve", "n", "r2", "rmse", F.explode(F.array(*[F.struct(F.lit(k).alias("parameter"), v.alias("value")) for k, v in named[curve].items()])).alias("q")).select("grp", "curve", "n", "q.*", "r2", "rmse")
+
+
+def classical_decomposition(s: DataFrame, time: str, value: str, period: int, group: str | None = None, model: str = "additive") -> DataFrame:
+    """(group, time, value, trend, seasonal, residual): centred moving average over the period (twice for even ones); seasonal are the mean deviations by position in the period, centred on 0 (multiplicative: ratios, on 1). Series are windows of their ``group``."""
+    if model not in ("additive", "multiplicative"):
+        raise ValueError(f"Unknown model: {model}")
+    t = s.select(*([C(group).alias("grp")] if group else [F.lit("all").alias("grp")]), C(time).alias("t"), C(value).cast("double").alias("v"))
+    w = Window.partitionBy("grp").orderBy("t")
+    half = period // 2
+    around = w.rowsBetween(-half, period - 1 - half) if period % 2 else w.rowsBetween(-half, half)
+    if period % 2:
+        mean, full = F.avg("v").over(around), F.count("v").over(around) == period
+    else:
+        mean, full = (F.sum("v").over(around) - 0.5 * (F.lag("v", half).over(w) + F.lead("v", half).over(w))) / period, F.count("v").over(around) == period + 1
+    t = t.withColumn("trend", F.when(full, mean)).withColumn("phase", (F.row_number().over(w) - 1) % period)
+    apart = (lambda a, b: a - b) if model == "additive" else (lambda a, b: F.try_divide(a, b))
+    t = t.withColumn("off", apart(C("v"), C("trend")))
+    per = t.groupBy("grp", "phase").agg(F.avg("off").alias("m"))
+    per = per.withColumn("seasonal", apart(C("m"), F.avg("m").over(Window.partitionBy("grp")))).drop("m")
+    t = t.join(per, ["grp", "phase"])
+    return t.select("grp", C("t").alias("time"), C("v").alias("value"), "trend", "seasonal", apart(C("off"), C("seasonal")).alias("residual"))
+
+
+def _loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Local straight lines with tricube weights over the ``span`` nearest points."""
+    out, w0 = np.empty(len(at)), np.ones(len(x)) if weight is None else weight
+    k = min(span, len(x))
+    for i, a in enumerate(at):
+        d = np.abs(x - a)
+        near = np.argpartition(d, k - 1)[:k] if k < len(x) else np.arange(len(x))
+        h = max(d[near].max() * (1 + (span - k) / max(1, k)), 1e-12)
+        w = w0[near] * np.clip(1 - (d[near] / (h * 1.0001)) ** 3, 0, None) ** 3
+        if w.sum() <= 0:
+            out[i] = y[near].mean()
+            continue
+        m, my = w @ x[near] / w.sum(), w @ y[near] / w.sum()
+        var = w @ (x[near] - m) ** 2
+        out[i] = my + (w @ ((x[near] - m) * (y[near] - my)) / var * (a - m) if var > 1e-12 else 0.0)
+    return out
+
+
+def stl_series(y: np.ndarray, period: int, seasonal: int = 7, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(trend, seasonal) of a series by loess: cycle-subseries smoothed and freed of their low frequencies, then the trend of what is left."""
+    n, t = len(y), np.arange(len(y), dtype=float)
+    span = int(np.ceil(1.5 * period / (1 - 1.5 / seasonal))) | 1
+    trend, cycle = np.zeros(n), np.zeros(n)
+    box = lambda v, k: np.convolve(v, np.ones(k) / k, "valid")
+    for _ in range(rounds):
+        c = np.zeros(n + 2 * period)
+        for p in range(period):
+            own = np.arange(p, n, period)
+            q = np.arange(-1, len(own) + 1, dtype=float)
+            c[p::period][:len(q)] = _loess(np.arange(len(own), dtype=float), (y - trend)[own], q, seasonal)
+        low = _loess(t, box(box(box(c, period), period), 3)[:n], t, period | 1)
+        cycle = c[period:period + n] - low
+        trend = _loess(t, y - cycle, t, span)
+    return trend, cycle
+
+
+def stl(s: DataFrame, time: str, value: str, period: int, group: str | None = None) -> DataFrame:
+    """(grp, time, value, trend, seasonal, residual) by ``stl_series``; a group is a series that one task holds (more than 200,000 rows, or fewer than two periods, are an error)."""
+    t = s.where(C(time).isNotNull() & C(value).isNotNull()).select(*([C(group).cast("string").alias("grp")] if group else [F.lit("all").alias("grp")]), C(time).alias("time"), C(value).cast("double").alias("value"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("time")
+        if not 2 * period <= len(part) <= 200_000:
+            raise ValueError(f"a series of {len(part)} rows has fewer than two periods or more than 200,000 rows")
+        trend, cycle = stl_series(part["value"].to_numpy(), period)
+        return part.assign(trend=trend, seasonal=cycle, residual=part["value"].to_numpy() - trend - cycle)
+
+    kind = t.schema["time"].dataType.simpleString()
+    return t.groupBy("grp").applyInPandas(run, f"grp string, time {kind}, value double, trend double, seasonal double, residual double")
+
+
+def seasonality(s: DataFrame, time: str, value: str, most: int = 24) -> DataFrame:
+    """(lag, autocorrelation, period): correlation of a series with itself ``lag`` rows before; period marks the greatest one above 0.3 that exceeds both neighbours."""
+    w = Window.orderBy(time)  # one series of periods
+    d = s.select(C(value).cast("double").alias("v"), *[F.lag(C(value).cast("double"), k).over(w).alias(f"l{k}") for k in range(1, most + 1)])
+    r = d.agg(*[F.coalesce(F.corr("v", f"l{k}"), F.lit(0.0)).alias(f"r{k}") for k in range(1, most + 1)]).first()
+    a = [float(r[f"r{k}"]) for k in range(1, most + 1)]
+    peaks = [k for k in range(1, most - 1) if a[k] > 0.3 and a[k] > a[k - 1] and a[k] > a[k + 1]]
+    best = max(peaks, key=lambda k: a[k], default=None)
+    return s.sparkSession.createDataFrame([(k + 1, v, k == best) for k, v in enumerate(a)], "lag int, autocorrelation double, period boolean")
+
+
+def response_forms(s: DataFrame, x: str, y: str) -> DataFrame:
+    """(form, slope, intercept, r2) of linear, logarithmic and exponential responses in closed form, best first by r2; the logarithm takes rows of positive x, the exponential those of positive y (its r2 is of ln y)."""
+    ok = s.where(C(x).isNotNull() & C(y).isNotNull()).select(C(x).cast("double").alias("x"), C(y).cast("double").alias("y"))
+    lx, ly = F.when(C("x") > 0, F.log("x")), F.when(C("y") > 0, F.log("y"))
+    on = F.when(C("x") > 0, C("y"))
+    r = ok.agg(*[f(b, a).alias(f"{n}_{m}") for n, (b, a) in {"linear": (C("y"), C("x")), "logarithmic": (on, lx), "exponential": (ly, F.when(C("y") > 0, C("x")))}.items() for m, f in (("s", F.regr_slope), ("i", F.regr_intercept), ("r", F.regr_r2))])
+    return r.select(F.explode(F.array(*[F.struct(F.lit(n).alias("form"), C(f"{n}_s").alias("slope"), C(f"{n}_i").alias("intercept"), C(f"{n}_r").alias("r2")) for n in ("linear", "logarithmic", "exponential")])).alias("q")).select("q.*").orderBy(F.desc("r2"))
+
+
+def detect_trend(s: DataFrame, x: str, y: str, method: str = "linear") -> DataFrame:
+    """One row of the named trend: linear, mann_kendall, spline or lowess (mean slope of the smooth, its direction and r2)."""
+    if method == "linear":
+        return linear_trend(s, x, y)
+    if method == "mann_kendall":
+        return mann_kendall(s, x, y)
+    from phytoscape.operators.environment import lowess, smooth
+
+    if method == "spline":
+        fit = smooth(s, x, y)
+        lo, hi = s.agg(F.min(C(x).cast("double")), F.max(C(x).cast("double"))).first()
+        v = fit.predict(np.linspace(lo, hi, 201))
+        slope, r2 = float((v[-1] - v[0]) / ((hi - lo) or 1.0)), fit.r2
+    elif method == "lowess":
+        t = lowess(s, x, y)
+        slope = float((t["smooth"].iloc[-1] - t["smooth"].iloc[0]) / ((t["x"].iloc[-1] - t["x"].iloc[0]) or 1.0)) if len(t) else 0.0
+        r2 = float("nan")
+    else:
+        raise ValueError(f"Unknown method: {method}")
+    return s.sparkSession.createDataFrame([(method, slope, None if r2 != r2 else float(r2), "increasing" if slope > 0 else "decreasing" if slope < 0 else "stable")], "method string, mean_slope double, r2 double, direction string")
