@@ -342,15 +342,17 @@ def indicator_test(com: DataFrame, groups: DataFrame, permutations: int = 999, s
     for sites, codes, labels in _label_rounds(groups, permutations, seed):
         shared = com.sparkSession.sparkContext.broadcast((sites.astype(str), labels, np.bincount(codes)))
 
-        def score(part: pd.DataFrame, *, shared=shared) -> pd.DataFrame:
-            sites, labels, size = shared.value
-            order = np.argsort(sites)
-            own = labels[order[np.searchsorted(sites[order], part["site"].to_numpy(str))]]
-            x = part["abundance"].to_numpy()
-            v = np.max([100 * ((own == g) * x[:, None]).sum(0) / x.sum() * (own == g).sum(0) / max(1, size[g]) for g in range(len(size))], 0)
-            return pd.DataFrame({"species": part["species"].iloc[0], "v": [v.tolist()]})
-
-        t = rows.groupBy("species").applyInPandas(score, f"species {com.schema['species'].dataType.simpleString()}, v array<double>")
+        def scorer(shared):
+            def score(part: pd.DataFrame) -> pd.DataFrame:
+                sites, labels, size = shared.value
+                order = np.argsort(sites)
+                own = labels[order[np.searchsorted(sites[order], part["site"].to_numpy(str))]]
+                x = part["abundance"].to_numpy()
+                v = np.max([100 * ((own == g) * x[:, None]).sum(0) / x.sum() * (own == g).sum(0) / max(1, size[g]) for g in range(len(size))], 0)
+                return pd.DataFrame({"species": part["species"].iloc[0], "v": [v.tolist()]})
+            return score
+
+        t = rows.groupBy("species").applyInPandas(scorer(shared), f"species {com.schema['species'].dataType.simpleString()}, v array<double>")
         t = t.join(best, "species").select("species", F.size(F.filter("v", lambda a: a >= C("indval") - 1e-9)).alias("h"))
         hits = t if hits is None else hits.union(t)
     hits = hits.groupBy("species").agg(F.sum("h").alias("h"))  # the observed labels are among them

@@ -9,7 +9,7 @@ C = F.col
 
 
 def log_factorial(n: Column) -> Column:
-    """ln n! of whole numbers, by Stirling's series from n + 9 down; exact to double precision, of constant cost."""
+    """ln n! of whole numbers, by Stirling's series at n + 9 less eight logarithms; right to 12 digits, of constant cost."""
     z = F.greatest(n.cast("double"), F.lit(0.0)) + 1
     y = z + 8
     series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
