@@ -204,8 +204,9 @@ def coordinate_flags(lat: Column, lon: Column) -> dict[str, Column]:
 
 
 def precision_m(lat: Column, lon: Column) -> Column:
-    """Metres that the fewer decimals of both stand for: 111000 for none, a tenth for each, 1 at least."""
-    return F.greatest(F.lit(111_000.0) / F.pow(F.lit(10.0), F.least(decimals(lat), decimals(lon))), F.lit(1.0))
+    """Metres that the fewer decimals of both stand for: 111000 for none, a tenth for each, 1 at least; NULL where either is missing."""
+    known = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    return F.when(known, F.greatest(F.lit(111_000.0) / F.pow(F.lit(10.0), F.least(decimals(lat), decimals(lon))), F.lit(1.0)))
 
 
 def to_decimal(c: Column, limit: float) -> Column:

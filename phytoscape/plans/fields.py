@@ -108,7 +108,10 @@ def _taxonomy(s, d):
 _add("resolution_summary", lambda s, d: V.resolution_summary(V.resolve_names(read_table(s, d, "species_traits"), "species", _taxonomy(s, d))).select("total_names", "resolved", "unresolved", "high_confidence"), r"""
   select count(*) total_names, count(*) filter (where k) resolved, count(*) filter (where not k) unresolved, count(*) filter (where k) high_confidence from (select s, exists (select 1 from (select replace(species, '_', ' ') n from species_reference union select replace(synonym, '_', ' ') from species_reference) r where lower(r.n) = lower(replace(c, '_', ' '))) k
   from (select s, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(s, '\s+', ' ', 'g'), ' '), '\s+L\.$', ''), '\s+\([^)]+\)\s*[A-Z][a-z]+.*$', ''), '\s+[A-Z][a-z]+\s+\d{4}$', ''), '\s+\d{4}$', '')) c from (select distinct species s from species_traits where species is not null)))""", "", "total_names, resolved, unresolved, high_confidence")
-_add("resolved_traits", lambda s, d: V.with_resolved_names(read_table(s, d, "species_traits").select("trait_id", "species"), _taxonomy(s, d)))
+_add("resolved_traits", lambda s, d: V.with_resolved_names(read_table(s, d, "species_traits").select("trait_id", "species"), _taxonomy(s, d)).select("trait_id", "accepted_name"), r"""
+  with q as (select trait_id, lower(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(species, '\s+', ' ', 'g'), ' '), '\s+L\.$', ''), '\s+\([^)]+\)\s*[A-Z][a-z]+.*$', ''), '\s+[A-Z][a-z]+\s+\d{4}$', ''), '\s+\d{4}$', '')), '_', ' ')) k from species_traits),
+  t as (select lower(replace(n, '_', ' ')) k, arg_min(a, p) a from (select species n, replace(species, '_', ' ') a, 1 p from species_reference union all select synonym, replace(species, '_', ' '), 2 from species_reference where synonym is not null) group by 1) select trait_id, a accepted_name from q left join t using (k)""", "", "trait_id, accepted_name")
+_add("resolved_trait_table", lambda s, d: V.with_resolved_names(read_table(s, d, "species_traits").select("trait_id", "species"), _taxonomy(s, d)))
 
 # --- series and grids -------------------------------------------------------------------
 _MA = "case when count(*) over w = 7 then avg(y) over w end"
@@ -162,7 +165,10 @@ _add("correlation_matrix", lambda s, d: H.correlations(_measures(s, d), ["elevat
   with e as (select avg(elevation) filter (where elevation between -100 and 2500) elevation, avg(soil_ph) filter (where soil_ph between 2 and 11 and not isnan(soil_ph)) soil_ph, avg(temperature) filter (where temperature between -40 and 50 and not isnan(temperature)) temperature from environmental_variables where site_id is not null group by site_id)
   select 'elevation' a, 'soil_ph' b, corr(elevation, soil_ph) r from e union all select 'elevation', 'temperature', corr(elevation, temperature) from e union all select 'soil_ph', 'temperature', corr(soil_ph, temperature) from e""", "r", "a, b")
 _add("describe", lambda s, d: H.describe(read_table(s, d, "orders"), ["o_totalprice"]), "select 'o_totalprice' column_name, count(o_totalprice) as \"count\", avg(o_totalprice) mean, stddev_samp(o_totalprice) std, min(o_totalprice) as \"min\", quantile_cont(o_totalprice, 0.25) q1, median(o_totalprice) median, quantile_cont(o_totalprice, 0.75) q3, max(o_totalprice) as \"max\" from orders", 'mean, std, "min", q1, median, q3, "max"', 'column_name, "count"')
-_add("accumulation_curve", lambda s, d: H.mean_curve(rarefaction(survey(s, d)), "sample_size", "expected_species"))
+_add("accumulation_curve", lambda s, d: H.mean_curve(rarefaction(survey(s, d)), "sample_size", "expected_species"), """
+  with r as (select site, k, sum(case when k > n - x then 1 else 1 - exp(lgamma(n - x + 1) - lgamma(n - x - k + 1) - lgamma(n + 1) + lgamma(n - k + 1)) end) e
+    from (select site, abundance x, sum(abundance) over (partition by site) n from com) t, (select unnest(range(1, mx::bigint + 1, greatest(1, mx::bigint // 50))) k from (select max(n) mx from sites)) where k <= n group by 1, 2)
+  select k::bigint x, avg(e) mean, avg(e) - coalesce(1.96 * stddev_samp(e) / sqrt(count(*)), 0) low, avg(e) + coalesce(1.96 * stddev_samp(e) / sqrt(count(*)), 0) high, count(*) curves from r group by 1""", "mean, low, high", "x, curves")
 _add("nestedness_report", lambda s, d: Q.nestedness_table(observations(s, d).groupBy("site_id").agg(*[F.sum(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))).alias(c) for c in read_table(s, d, "species_abundance").columns if c not in META]), "site_id"))
 
 

@@ -10,7 +10,7 @@ from phytoscape.operators import models as M
 from phytoscape.operators import nullmodels as N
 from phytoscape.operators import ordination as O
 from phytoscape.operators.transforms import transform
-from phytoscape.plans.helpers import rounded, survey
+from phytoscape.plans.helpers import rounded, sql, survey
 from phytoscape.session import read_table
 from phytoscape.streaming.diversity import window_indices, windowed_counts
 
@@ -44,6 +44,15 @@ def _labels(s, d):
 _add("pca", lambda s, d: O.pca(survey(s, d), components=3)[0])
 _add("pca_species", _table(lambda s, d: O.pca(survey(s, d), components=3)[1]))
 _add("ca", lambda s, d: O.ca(survey(s, d))[0])
+_GRID = "(select s.site, t.species, coalesce(c.abundance, 0) x from (select distinct site from com) s cross join (select distinct species from com) t left join com c on c.site = s.site and c.species = t.species)"
+
+
+def _total(table):
+    return float(table.drop_duplicates("axis")["eigenvalue"].sum())
+
+
+_add("pca_total_variance", lambda s, d: s.createDataFrame([(_total(O.pca(survey(s, d), components=29)[1]),)], "variance double"), sql(f"select sum(v) variance from (select species, var_samp(sqrt(x / n)) v from {_GRID} join (select site, n from sites) using (site) group by 1)", "variance"))
+_add("ca_total_inertia", lambda s, d: s.createDataFrame([(round(_total(O.ca(survey(s, d), components=29)[1]), 5),)], "inertia double"), sql(f"select round(sum(pow(x - e, 2) / e), 5) inertia from (select x, n * t / sum(x) over () e from {_GRID} join (select site, n from sites) using (site) join (select species, sum(abundance) t from com group by 1) using (species))", "inertia"))
 _add("dca", lambda s, d: O.dca(survey(s, d)))
 _add("rda", _table(lambda s, d: O.constrained(survey(s, d), _env(s, d), ["elevation", "soil_ph", "temperature"], "rda")))
 _add("cca", _table(lambda s, d: O.constrained(survey(s, d), _env(s, d), ["elevation", "soil_ph", "temperature"], "cca")))
@@ -52,7 +61,13 @@ _add("nmds", _table(lambda s, d: O.nmds(D.distances(survey(s, d)))[0]))
 _add("kmeans", lambda s, d: K.kmeans(K.as_vectors(transform(survey(s, d))), 5)[0])
 _add("gaussian_mixture", lambda s, d: K.gaussian_mixture(_vectors(s, d), 3)[0])
 _add("fuzzy_cmeans", lambda s, d: K.fuzzy_cmeans(K.as_vectors(transform(survey(s, d))), 3))
-_add("dbscan", lambda s, d: (lambda c: K.dbscan(D.distances(c), c.select("site").distinct(), 0.25, 4))(survey(s, d)))
+_DBSCAN = sql(f"""
+  with recursive near as materialized (select i, j from (select a.site i, b.site j, sum(abs(a.x - b.x)) / sum(a.x + b.x) d from {_GRID} a join {_GRID} b on a.species = b.species and a.site <> b.site group by 1, 2) where d <= 0.25),
+  core as materialized (select site from (select distinct site from com) left join (select i site, count(*) + 1 k from near group by 1) using (site) where coalesce(k, 1) >= 4),
+  reach as (select site, site root from core union select j, root from reach join near on i = site where j in (select site from core)), own as (select site, min(root) c from reach group by 1),
+  border as (select i site, min(c) b from near join own on own.site = j group by 1)
+  select s.site, coalesce(c, b) as cluster, c is not null core from (select distinct site from com) s left join own using (site) left join border using (site)""", "", "site, cluster, core")
+_add("dbscan", lambda s, d: (lambda c: K.dbscan(D.distances(c), c.select("site").distinct(), 0.25, 4))(survey(s, d)), _DBSCAN)
 _add("hierarchical", _table(lambda s, d: K.hierarchical(D.distances(survey(s, d)), "average", 4)[1]))
 _add("silhouette", lambda s, d: K.silhouette(_vectors(s, d), _labels(s, d)).select("site", F.col("cluster").cast("bigint").alias("cluster"), F.round("silhouette", 5).alias("silhouette")), """
 with v as (select vec_id site, label cluster, embedding::double[] vec from embeddings), m as (select a.site, a.cluster, b.cluster other, avg(list_distance(a.vec, b.vec)) m from v a join v b on a.site <> b.site group by 1, 2, 3)
@@ -90,13 +105,6 @@ def _kriged(s, d):
     return simple_kriging(_points(s, d), grid(s, -80.0, 40.0, -65.0, 50.0, 0.5))
 
 
-def _polynomial(s, d):
-    from phytoscape.operators.smoothing import polynomial_fit
-    from phytoscape.plans.series import _days
-
-    return polynomial_fit(_days(s, d), "x", "y", 2).round(6)
-
-
 def _additive(s, d):
     from phytoscape.operators.smoothing import additive_model
 
@@ -116,7 +124,6 @@ def _pseudo(s, d):
 
 
 _add("kriging", _kriged)
-_add("polynomial_trend", _table(_polynomial))
 _add("additive_model", _table(_additive))
 _add("twinspan", _table(_twinspan))
 _add("pseudospecies", _pseudo, "with obs as (select * exclude (obs_id, observed_on, ingested_at) from species_abundance where site_id is not null qualify row_number() over (partition by obs_id order by ingested_at) = 1), raw as (unpivot obs on columns(* exclude (site_id)) into name species value x), com as (select site_id, species, sum(x) a from raw where x > 0 group by 1, 2) select species || '_' || k pseudo, count(*) sites from com, (values (1, 2), (2, 5), (3, 10), (4, 20)) c(k, cut) where a >= cut group by 1")

@@ -35,7 +35,14 @@ _add("name_types", lambda s, d: _traits(s, d).groupBy(N.name_type(F.col("species
 select case when s is null then 'invalid' when regexp_matches(lower(t), '{_PH}') then 'placeholder' when contains(t, '×') or contains(t, 'x ') or contains(t, 'hybr') and (contains(t, 'hybrid') or contains(t, 'hybr.')) then 'hybrid' when regexp_matches(t, '{_RK}') then 'infraspecific'
   when len(w) = 0 then 'empty' when len(w) = 1 then case when regexp_matches(w[1], '^\p{{Lu}}') then 'genus_only' else 'epithet_only' end when len(w) = 2 then case when regexp_matches(w[1], '^\p{{Lu}}') and regexp_matches(w[2], '^\p{{Ll}}') then 'binomial' else 'malformed_binomial' end
   when {_author('t')} then 'binomial_with_author' else 'trinomial_or_complex' end name_type, count(*) records from w group by 1""")
-_add("clean_names", lambda s, d: _traits(s, d).select("trait_id", N.clean_name(F.col("species")).alias("cleaned")))
+_stripped = r"regexp_replace(regexp_replace(coalesce(species, ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+for _p in _AU:
+    _stripped = f"regexp_replace({_stripped}, '{_p}', '', 'g')"
+_tidy = "case " + " ".join(f"when contains(t, '{m}') then trim(string_split(t, '{m}')[1]) || ' {m} ' || trim(string_split(t, '{m}')[2])" for m in N.MARKERS) + " else t end"
+_marks = ", ".join(f"'{m}'" for m in N.MARKERS)
+_add("clean_names", lambda s, d: _traits(s, d).select("trait_id", N.clean_name(F.col("species")).alias("cleaned")), rf"""
+with c as (select trait_id, {_stripped} t from species_traits), w as (select trait_id, list_filter(string_split_regex({_tidy}, '\s+'), lambda x: x <> '') w from c)
+select trait_id, case when len(w) >= 2 then array_to_string(list_transform(w, lambda x, i: case when i = 1 then upper(x[1]) || lower(x[2:]) when i = 2 or i > 3 and w[i - 1] in ({_marks}) then lower(x) else x end), ' ') else coalesce(w[1], '') end cleaned from w""")
 _add("fuzzy_names", lambda s, d: N.fuzzy_match(_traits(s, d), "species", read_table(s, d, "species_reference"), "species"), """
 with q as (select distinct species name, regexp_replace(species, '[^\x00-\x7F]', '?', 'g') a from species_traits where species <> ''), r as (select distinct species m from species_reference where species <> ''),
 c as (select name, m, 100.0 * (1 - levenshtein(a, m) / greatest(length(a), length(m))) s from q, r where len(list_intersect(list_transform(range(1, greatest(length(a) - 1, 1) + 1), lambda i: substr(a, i, 2)), list_transform(range(1, greatest(length(m) - 1, 1) + 1), lambda i: substr(m, i, 2)))) > 0),
@@ -74,8 +81,13 @@ def _flags():
 _add("coordinate_flags", lambda s, d: _veg(s, d).agg(*[F.count_if(_flags()[k]).alias(k) for k in ("missing", "zero", "out_of_range", "transposed")]), """
 with t as (select case when not isnan(latitude) then latitude end a, case when not isnan(longitude) then longitude end b from vegetation_survey_data)
 select count(*) filter (where a is null or b is null) missing, count(*) filter (where a = 0 and b = 0) zero, count(*) filter (where abs(a) > 90 or abs(b) > 180) out_of_range, count(*) filter (where abs(a) > 90 and abs(a) <= 180 and abs(b) <= 90) transposed from t""")
-_add("coordinate_precision", lambda s, d: _veg(s, d).where(~F.isnan("latitude") & ~F.isnan("longitude")).groupBy(N.precision_m(F.col("latitude"), F.col("longitude")).alias("metres")).agg(F.count("*").alias("records")))
-_add("valid_coordinates", lambda s, d: _veg(s, d).groupBy(_flags()["valid"].alias("valid")).agg(F.count("*").alias("records")))
+# decimals of the shortest form of a number, at most ten
+_DEC = "length(rtrim(split_part(printf('%.10f', abs({c})), '.', 2), '0'))"
+_add("coordinate_precision", lambda s, d: _veg(s, d).where("latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude)").groupBy(N.precision_m(F.col("latitude"), F.col("longitude")).alias("metres")).agg(F.count("*").alias("records")), f"""
+select greatest(111000 / pow(10, least({_DEC.format(c='latitude')}, {_DEC.format(c='longitude')})), 1)::double metres, count(*) records from vegetation_survey_data where not isnan(latitude) and not isnan(longitude) group by 1""")
+_add("valid_coordinates", lambda s, d: _veg(s, d).groupBy(_flags()["valid"].alias("valid")).agg(F.count("*").alias("records")), f"""
+with t as (select case when not isnan(latitude) then latitude end a, case when not isnan(longitude) then longitude end b from vegetation_survey_data)
+select a is not null and b is not null and not (a = 0 and b = 0) and abs(a) <= 90 and abs(b) <= 180 and {_DEC.format(c='a')} >= 2 and {_DEC.format(c='b')} >= 2 as valid, count(*) records from t group by 1""")
 _add("utm_zones", lambda s, d: _veg(s, d).where("latitude between -80 and 84 and longitude between -180 and 180 and not isnan(latitude) and not isnan(longitude)").groupBy(N.utm_zone(F.col("longitude"), F.col("latitude")).alias("epsg")).agg(F.count("*").alias("records")), """
 select (case when latitude >= 0 then 32600 else 32700 end + case when latitude >= 56 and latitude < 64 and longitude >= 3 and longitude < 12 then 32 when latitude >= 72 and latitude < 84 and longitude >= 0 and longitude < 42 then case when longitude < 9 then 31 when longitude < 21 then 33 when longitude < 33 then 35 else 37 end else least(floor((longitude + 180) / 6) + 1, 60) end)::bigint epsg, count(*) records
 from vegetation_survey_data where latitude between -80 and 84 and longitude between -180 and 180 and not isnan(latitude) and not isnan(longitude) group by 1""")

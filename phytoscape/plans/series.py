@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from phytoscape.functions import formulas as X
 from phytoscape.operators import spatial as S
 from phytoscape.operators import temporal as T
+from phytoscape.operators.smoothing import polynomial_fit
 from phytoscape.plans.helpers import rounded
 from phytoscape.session import read_table
 
@@ -43,11 +44,16 @@ _add("mann_kendall", lambda s, d: T.mann_kendall(_days(s, d), "x", "y"), """
   select n, s, v variance, sen_slope, case when s > 0 then (s - 1) / sqrt(v) when s < 0 then (s + 1) / sqrt(v) else 0 end z from (select sum(sign(b.y - a.y)) s, median((b.y - a.y) / (b.x - a.x)) sen_slope from days a join days b on a.x < b.x),
   (select sum(k) n, (sum(k) * (sum(k) - 1) * (2 * sum(k) + 5) - sum(k * (k - 1) * (2 * k + 5))) / 18 v from (select y, count(*) k from days group by 1))""", "s, variance, sen_slope, z", "n::bigint n")
 _add("lag_correlation", lambda s, d: T.lag_correlations(_days(s, d), "day", "y", ["k"]), "select 'k' driver, l::bigint lag, corr(y, v) r from (select y, unnest([0, 1, 2, 3]) l, unnest([k, lag(k, 1) over w, lag(k, 2) over w, lag(k, 3) over w]) v from days window w as (order by day)) where v is not null group by 1, 2", "r", "driver, lag")
-_add("best_lag", lambda s, d: T.best_lag(T.lag_correlations(_days(s, d), "day", "y", ["k"])))
+_add("best_lag", lambda s, d: T.best_lag(T.lag_correlations(_days(s, d), "day", "y", ["k"])), "select 'k' driver, arg_max(lag, abs(r)) lag, arg_max(r, abs(r)) r from (select l::bigint lag, corr(y, v) r from (select y, unnest([0, 1, 2, 3]) l, unnest([k, lag(k, 1) over w, lag(k, 2) over w, lag(k, 3) over w]) v from days window w as (order by day)) where v is not null group by 1)", "r", "driver, lag")
 _add("rolling_mean", lambda s, d: T.rolling_mean(_days(s, d), "day", "y", 7).select(F.col("day").cast("string").alias("day"), "mean"), "select day::varchar as day, case when count(*) over w = 7 then avg(y) over w end as mean from days window w as (order by day rows between 3 preceding and 3 following)", "mean", "day")
 _add("simple_decomposition", lambda s, d: T.decompose(_days(s, d), "day", "y", 7).select(F.col("day").cast("string").alias("day"), "trend", "seasonal", "residual"), """
   select day::varchar as day, m trend, s seasonal, y - m - s residual from (select *, avg(y - m) over (partition by dayofyear(day) % 7) s from (select *, case when count(*) over w = 7 then avg(y) over w end m from days window w as (order by day rows between 3 preceding and 3 following)))""", "trend, seasonal, residual", "day")
-_add("growth_fit", lambda s, d: T.fit_curves(read_table(s, d, "events"), "event_type", "user_id", "value", "exponential").select("grp", "curve", "n", "r2", "rmse"))
+_add("polynomial_trend", lambda s, d: s.createDataFrame(polynomial_fit(_days(s, d), "x", "y", 2)).select("power", F.round("coefficient", 5).alias("coefficient"), F.round("r2", 6).alias("r2")), """
+  with c as (select x - m t, y, m from days, (select avg(x) m from days)), s as (select count(*)::double n, any_value(m) m, sum(t * t) s2, sum(t * t * t) s3, sum(t * t * t * t) s4, sum(y) t0, sum(t * y) t1, sum(t * t * y) t2, sum(y * y) yy from c),
+  a as (select *, (t0 * (s2 * s4 - s3 * s3) + s2 * (t1 * s3 - s2 * t2)) / d a0, (n * (t1 * s4 - s3 * t2) + t0 * s2 * s3 - s2 * s2 * t1) / d a1, (n * (s2 * t2 - s3 * t1) - s2 * s2 * t0) / d a2 from (select *, n * (s2 * s4 - s3 * s3) - s2 * s2 * s2 d from s)),
+  r as (select *, round(1 - (yy - a0 * t0 - a1 * t1 - a2 * t2) / (yy - t0 * t0 / n), 6) r2 from a)
+  select unnest([0, 1, 2])::bigint power, round(unnest([a0 - a1 * m + a2 * m * m, a1 - 2 * a2 * m, a2]), 5) coefficient, r2 from r""", "coefficient, r2", "power")
+_add("growth_fit", lambda s, d: T.fit_curves(read_table(s, d, "events"), "event_type", "user_id", "value", "exponential").select("grp", "curve", "n", F.concat_ws(",", F.transform("params", lambda p: F.round(p, 6).cast("string"))).alias("params"), F.concat_ws(",", F.transform("errors", lambda p: F.round(p, 6).cast("string"))).alias("errors"), "r2", "rmse"))
 _Q = "l_quantity"
 _CURVES = {
     "logistic": (lambda q: X.logistic_growth(q, 10.0, 0.2, 25.0), f"10 / (1 + exp(-0.2 * ({_Q} - 25)))"), "gompertz": (lambda q: X.gompertz_growth(q, 10.0, 0.2, 25.0), f"10 * exp(-exp(-0.2 * ({_Q} - 25)))"),
