@@ -184,12 +184,31 @@ def hierarchical(d: DataFrame, method: str = "average", clusters: int = 3) -> tu
     return pd.DataFrame(merges, columns=["left", "right", "height", "size"]), pd.DataFrame({"site": names, "cluster": cut_tree(merges, len(names), max(1, clusters))})
 
 
-def silhouette(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """(site, cluster, silhouette), Euclidean: sums per site and cluster over all pairs, as the measure is defined. Sites alone in a cluster have 0."""
-    v = vectors.join(labels, "site")
-    a, b = v.select(C("site").alias("i"), C("cluster").alias("ci"), C("vec").alias("x")), v.select(C("site").alias("j"), C("cluster").alias("cj"), C("vec").alias("y"))
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, q: t + q))
-    s = a.join(b, C("i") != C("j")).groupBy("i", "ci", "cj").agg(F.avg(gap).alias("m"))
+def silhouette(vectors: DataFrame, labels: DataFrame, block: int = 1_024) -> DataFrame:
+    """(site, cluster, silhouette), Euclidean: sums per site and cluster over all pairs, as the measure is defined. Sites alone in a cluster have 0. Pairs are summed in blocks and never become rows."""
+    v = vectors.join(labels, "site").select("site", "cluster", "vec")
+    blocks = max(1, -(-v.count() // block))
+    rows = v.withColumn("blk", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("site", "cluster", "vec", "blk", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        same, out = part["b1"].iloc[0] == part["b2"].iloc[0], []
+        first = part if same else part[part["blk"] == part["b1"]]
+        second = part if same else part[part["blk"] != part["b1"]]
+        for a, b in ((first, second),) if same else ((first, second), (second, first)):
+            x, y = (np.array(t["vec"].tolist(), float) for t in (a, b))
+            d = np.empty((len(x), len(y)))
+            for i in range(0, len(x), 64):
+                d[i:i + 64] = np.sqrt(((x[i:i + 64, None] - y[None]) ** 2).sum(-1))
+            names, at = np.unique(b["cluster"].to_numpy(), return_inverse=True)
+            one = np.eye(len(names))[at]
+            total, n = d @ one, one.sum(0)[None] - (one if same else 0)
+            i, k = np.nonzero(np.broadcast_to(n, total.shape) > 0)
+            out.append(pd.DataFrame({"i": a["site"].to_numpy()[i], "ci": a["cluster"].to_numpy()[i], "cj": names[k], "s": total[i, k], "n": np.broadcast_to(n, total.shape)[i, k]}))
+        return pd.concat(out)
+
+    kind, own = v.schema["site"].dataType.simpleString(), v.schema["cluster"].dataType.simpleString()
+    s = rows.groupBy("b1", "b2").applyInPandas(run, f"i {kind}, ci {own}, cj {own}, s double, n double").groupBy("i", "ci", "cj").agg((F.sum("s") / F.sum("n")).alias("m"))
     r = s.groupBy("i", "ci").agg(F.max(F.when(C("ci") == C("cj"), C("m"))).alias("own"), F.min(F.when(C("ci") != C("cj"), C("m"))).alias("other"))
     return r.select(C("i").alias("site"), C("ci").alias("cluster"), F.coalesce(F.try_divide(C("other") - C("own"), F.greatest("own", "other")), F.lit(0.0)).alias("silhouette"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,56 +20,146 @@ def grid(spark, x0: float, y0: float, x1: float, y1: float, size: float) -> Data
     return spark.range(nx * ny).select(i.alias("grid_id"), (x0 + size / 2 + size * (i % max(nx, 1))).alias("x"), (y0 + size / 2 + size * F.floor(i / max(nx, 1))).alias("y"))
 
 
-def _against(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """The stated cells (bounded by ``GRID_CELLS``) against all points: a broadcast of the cells and sums per cell."""
-    p = points.where("x is not null and y is not null and z is not null").select(C("x").alias("px"), C("y").alias("py"), "z")
-    return p.join(F.broadcast(cells)).withColumn("d2", (C("px") - C("x")) ** 2 + (C("py") - C("y")) ** 2)
+_WIDE = 2_000_000  # distances held at once by a kernel
+
+
+def _per_cell(points: DataFrame, cells: DataFrame, kernel, schema: str) -> DataFrame:
+    """Rows of ``kernel(points x, y, z, cells x, y)`` per cell from every part of the points: cells (bounded by ``GRID_CELLS``) go to all tasks, pairs are summed where they are made."""
+    t = cells.select("grid_id", "x", "y").limit(GRID_CELLS + 1).toPandas()
+    if len(t) > GRID_CELLS:
+        raise ValueError(f"more than {GRID_CELLS} cells")
+    shared = points.sparkSession.sparkContext.broadcast((t["grid_id"].to_numpy(), t["x"].to_numpy(float), t["y"].to_numpy(float)))
+    p = points.where("x is not null and y is not null and z is not null").select(C("x").cast("double").alias("x"), C("y").cast("double").alias("y"), C("z").cast("double").alias("z"))
+
+    def go(batches):
+        ids, gx, gy = shared.value
+        for b in batches:
+            x, y, z = (b[c].to_numpy() for c in "xyz")
+            step = max(1, _WIDE // max(1, len(b)))
+            for lo in range(0, len(ids), step):
+                yield pd.DataFrame({"grid_id": ids[lo:lo + step], **kernel(x, y, z, gx[lo:lo + step], gy[lo:lo + step])})
+
+    return p.mapInPandas(go, f"grid_id long, {schema}")
 
 
 def idw(points: DataFrame, cells: DataFrame, power: float = 2.0) -> DataFrame:
     """(grid_id, z): inverse-distance weighting; a point on the centre gives its value (several: the smallest)."""
-    w = F.when(C("d2") > 0, F.pow(C("d2"), F.lit(-power / 2)))
-    return _against(points, cells).groupBy("grid_id").agg(F.coalesce(F.min(F.when(C("d2") == 0, C("z"))), F.try_divide(F.sum(w * C("z")), F.sum(w))).alias("z"))
+    def kernel(x, y, z, gx, gy):
+        d2 = (gx[:, None] - x[None]) ** 2 + (gy[:, None] - y[None]) ** 2
+        on = d2 == 0
+        w = np.where(on, 0.0, np.where(on, 1.0, d2) ** (-power / 2))
+        return {"w": w.sum(1), "s": w @ z, "on": np.where(on, z[None], np.inf).min(1)}
+
+    t = _per_cell(points, cells, kernel, "w double, s double, on double").groupBy("grid_id").agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.min("on").alias("on"))
+    return t.select("grid_id", F.when(C("on") < float("inf"), C("on")).otherwise(F.try_divide("s", "w")).alias("z"))
 
 
 def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
     """(grid_id, z): value of the nearest point (ties: smallest position)."""
-    return _against(points, cells).groupBy("grid_id").agg(F.min_by("z", F.struct("d2", "px", "py", "z")).alias("z"))
+    def kernel(x, y, z, gx, gy):
+        o = np.lexsort((z, y, x))
+        x, y, z = x[o], y[o], z[o]
+        d2 = (gx[:, None] - x[None]) ** 2 + (gy[:, None] - y[None]) ** 2
+        k = d2.argmin(1)
+        return {"d2": d2[np.arange(len(gx)), k], "px": x[k], "py": y[k], "z": z[k]}
+
+    t = _per_cell(points, cells, kernel, "d2 double, px double, py double, z double")
+    return t.groupBy("grid_id").agg(F.min_by("z", F.struct("d2", "px", "py", "z")).alias("z"))
+
+
+BLOCK = 1_024
+
+
+def _pair_blocks(points: DataFrame, kernel, schema: str) -> DataFrame:
+    """Rows of ``kernel(first block, second block, whether both are the same)`` of points (site, x, y, z) in blocks, for every pair of blocks: pairs of points are summed in the tasks and never become rows."""
+    p = points.where("site is not null and x is not null and y is not null and z is not null").select("site", *[C(c).cast("double").alias(c) for c in "xyz"])
+    blocks = max(1, -(-p.count() // BLOCK))
+    rows = p.withColumn("blk", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("site", "x", "y", "z", "blk", F.least("blk", "q").alias("b1"), F.greatest("blk", "q").alias("b2"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        same = part["b1"].iloc[0] == part["b2"].iloc[0]
+        first = part if same else part[part["blk"] == part["b1"]]
+        second = part if same else part[part["blk"] != part["b1"]]
+        return kernel(first, second, same)
+
+    return rows.groupBy("b1", "b2").applyInPandas(run, schema)
+
+
+def _gaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, differences of values) of all points of both blocks."""
+    g = lambda c: a[c].to_numpy()[:, None] - b[c].to_numpy()[None]
+    return np.sqrt(g("x") ** 2 + g("y") ** 2), g("z")
+
+
+def _half(d: np.ndarray, same: bool) -> np.ndarray:
+    return np.triu(np.ones(d.shape, bool), 1) if same else np.ones(d.shape, bool)
+
+
+def _by_site(first, second, same, of) -> pd.DataFrame:
+    """``of(distances, differences, own values, other values)`` summed per site of either block."""
+    out = []
+    for a, b in ((first, second),) if same else ((first, second), (second, first)):
+        d, dz = _gaps(a, b)
+        if same:
+            np.fill_diagonal(d, np.nan)  # a point is no pair with itself
+        out.append(pd.DataFrame({"i": a["site"].to_numpy(), "zi": a["z"].to_numpy(), **of(d, dz, a["z"].to_numpy()[:, None], b["z"].to_numpy()[None])}))
+    return pd.concat(out)
 
 
 def loo_rmse(points: DataFrame, power: float = 2.0) -> DataFrame:
     """One row: leave-one-out error of inverse-distance weighting over (site, x, y, z)."""
-    a = points.select(C("site").alias("i"), C("x").alias("xi"), C("y").alias("yi"), C("z").alias("zi"))
-    b = points.select(C("site").alias("j"), C("x").alias("xj"), C("y").alias("yj"), C("z").alias("zj"))
-    d = a.join(b, C("i") != C("j")).withColumn("d2", (C("xi") - C("xj")) ** 2 + (C("yi") - C("yj")) ** 2).where("d2 > 0").withColumn("w", F.pow("d2", F.lit(-power / 2)))
-    return d.groupBy("i", "zi").agg((F.sum(C("w") * C("zj")) / F.sum("w")).alias("p")).agg(F.sqrt(F.avg((C("p") - C("zi")) ** 2)).alias("rmse"))
-
+    def of(d, dz, zi, zj):
+        w = np.where(d > 0, np.where(d > 0, d, 1.0) ** -power, 0.0)
+        return {"w": w.sum(1), "s": (w * zj).sum(1)}
 
-def point_pairs(points: DataFrame, both_ways: bool = True) -> DataFrame:
-    """Ordered pairs of (site, x, y, z) with their distance; all pairs are what the measures below are defined on."""
-    a = points.select(C("site").alias("i"), C("x").alias("xi"), C("y").alias("yi"), C("z").alias("zi"))
-    b = points.select(C("site").alias("j"), C("x").alias("xj"), C("y").alias("yj"), C("z").alias("zj"))
-    return a.join(b, C("i") != C("j") if both_ways else C("i") < C("j")).withColumn("d", F.sqrt((C("xi") - C("xj")) ** 2 + (C("yi") - C("yj")) ** 2))
+    kind = points.schema["site"].dataType.simpleString()
+    t = _pair_blocks(points, lambda a, b, same: _by_site(a, b, same, of), f"i {kind}, zi double, w double, s double").groupBy("i", "zi").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    return t.where("w > 0").agg(F.sqrt(F.avg((C("s") / C("w") - C("zi")) ** 2)).alias("rmse"))
 
 
 def autocorrelation(points: DataFrame, threshold: float | None = None) -> DataFrame:
     """One row: morans_i (row-standardised weights), expected, z, gearys_c (binary weights). Neighbours lie within the threshold, default the mean distance above 0."""
-    stats = points.agg(F.avg("z").alias("m"), F.var_pop("z").alias("v"), F.count("*").alias("n"))
-    p = point_pairs(points)
-    cut = p.agg(F.avg(F.when(C("d") > 0, C("d"))).alias("t")) if threshold is None else points.sparkSession.range(1).select(F.lit(float(threshold)).alias("t"))
-    p = p.join(F.broadcast(cut)).where((C("d") > 0) & (C("d") <= C("t"))).join(F.broadcast(stats))
-    rows = p.groupBy("i").agg(F.avg((C("zi") - C("m")) * (C("zj") - C("m"))).alias("lagged"), F.sum((C("zi") - C("zj")) ** 2).alias("sq"), F.count("*").alias("w"))
-    t = rows.agg(F.sum("lagged").alias("l"), F.sum("sq").alias("sq"), F.sum("w").alias("w"), F.count("*").alias("k")).join(stats)
-    i, e = F.coalesce(F.try_divide("l", C("n") * C("v")), F.lit(0.0)), -1.0 / (C("n") - 1)
-    return t.select(i.alias("morans_i"), e.alias("expected"), ((i - e) / F.sqrt(1.0 / C("n"))).alias("z"), F.coalesce(F.try_divide(C("sq"), 2 * C("w") * C("v")), F.lit(1.0)).alias("gearys_c"))
+    stats = points.agg(F.avg("z").alias("m"), F.var_pop("z").alias("v"), F.count("*").alias("n")).first()
+    if threshold is None:
+        def mean(a, b, same):
+            d = _gaps(a, b)[0]
+            d = d[_half(d, same) & (d > 0)]
+            return pd.DataFrame({"s": [float(d.sum())], "k": [float(len(d))]})
+
+        threshold = _pair_blocks(points, mean, "s double, k double").agg(F.try_divide(F.sum("s"), F.sum("k"))).first()[0] or 0.0
+    m, cut = float(stats["m"] or 0.0), float(threshold)
+
+    def of(d, dz, zi, zj):
+        near = (d > 0) & (d <= cut)
+        return {"lag": (near * ((zi - m) * (zj - m))).sum(1), "sq": np.where(near, dz * dz, 0).sum(1), "w": near.sum(1).astype(float)}
+
+    kind = points.schema["site"].dataType.simpleString()
+    r = _pair_blocks(points, lambda a, b, same: _by_site(a, b, same, of), f"i {kind}, zi double, lag double, sq double, w double").groupBy("i").agg(F.sum("lag").alias("lag"), F.sum("sq").alias("sq"), F.sum("w").alias("w")).where("w > 0")
+    t = r.agg(F.sum(C("lag") / C("w")).alias("l"), F.sum("sq").alias("sq"), F.sum("w").alias("w"))
+    n, v = F.lit(stats["n"]), F.lit(float(stats["v"] or 0.0))
+    i, e = F.coalesce(F.try_divide("l", n * v), F.lit(0.0)), F.try_divide(F.lit(-1.0), n - 1)
+    return t.select(i.alias("morans_i"), e.alias("expected"), ((i - e) / F.sqrt(1.0 / n)).alias("z"), F.coalesce(F.try_divide(C("sq"), 2 * C("w") * v), F.lit(1.0)).alias("gearys_c"))
 
 
 def variogram(points: DataFrame, lags: int = 20) -> DataFrame:
     """(bin, lag, semivariance, pairs): equal half-open lags up to the greatest distance."""
-    p = point_pairs(points, False)
-    top = p.agg(F.max("d").alias("top"))
-    b = p.join(F.broadcast(top)).withColumn("bin", F.floor(C("d") / (C("top") / lags))).where(C("bin") < lags)
-    return b.groupBy("bin").agg(((F.first("bin") + 0.5) * F.first("top") / lags).alias("lag"), (F.avg((C("zi") - C("zj")) ** 2) / 2).alias("semivariance"), F.count("*").alias("pairs"))
+    def far(a, b, same):
+        d = _gaps(a, b)[0][_half(_gaps(a, b)[0], same)]
+        return pd.DataFrame({"d": [float(d.max()) if len(d) else 0.0]})
+
+    top = _pair_blocks(points, far, "d double").agg(F.max("d")).first()[0] or 0.0
+
+    def bins(a, b, same):
+        d, dz = _gaps(a, b)
+        use = _half(d, same)
+        k = np.floor(d[use] / (top / lags)).astype(int) if top > 0 else np.zeros(int(use.sum()), int)
+        ok = k < lags
+        n = np.bincount(k[ok], minlength=lags)
+        return pd.DataFrame({"bin": np.arange(lags), "s": np.bincount(k[ok], weights=dz[use][ok] ** 2, minlength=lags), "n": n})[n > 0]
+
+    t = _pair_blocks(points, bins, "bin long, s double, n long").groupBy("bin").agg(F.sum("s").alias("s"), F.sum("n").alias("pairs"))
+    return t.select("bin", ((C("bin") + 0.5) * F.lit(float(top)) / lags).alias("lag"), (C("s") / C("pairs") / 2).alias("semivariance"), "pairs")
 
 
 def landscape_level(cells: DataFrame) -> DataFrame:
@@ -134,8 +225,6 @@ RBF_POINTS = 3_000
 
 def rbf(points: DataFrame, cells: DataFrame, function: str = "thin_plate_spline") -> DataFrame:
     """(grid_id, z) of radial functions through all points, with a plane: thin_plate_spline or linear. At most 3,000 different positions (their mean value each); fewer than three points give inverse-distance weighting."""
-    import pandas as pd
-
     kernels = {"thin_plate_spline": lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0.0), "linear": lambda r: -r}
     if function not in kernels:
         raise ValueError(f"Unknown function: {function}")
@@ -198,8 +287,6 @@ def triangulated(xy: np.ndarray) -> np.ndarray:
 
 def linear_interpolation(points: DataFrame, cells: DataFrame) -> DataFrame:
     """(grid_id, z): planes over the Delaunay triangles of at most 3,000 different positions (their mean value each); NULL outside their hull."""
-    import pandas as pd
-
     t = points.where("x is not null and y is not null and z is not null").groupBy("x", "y").agg(F.avg("z").alias("z")).limit(RBF_POINTS + 1).toPandas()
     if len(t) > RBF_POINTS:
         raise ValueError(f"more than {RBF_POINTS} positions")
