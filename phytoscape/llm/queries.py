@@ -86,6 +86,13 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_sizes(docs, "doc_id", "text"), SEQUENCE_TOKENS, rows=docs.count()).withColumnRenamed("key", "doc_id")
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences, the share of their room that is used, and articles cut although they would fit into one."""
+    p = p7_sequences(spark, d)
+    per = p.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("tokens")).agg(F.count_if((F.col("parts") > 1) & (F.col("tokens") <= SEQUENCE_TOKENS)).alias("cut_short_articles"))
+    return p.agg(F.countDistinct("sequence_id").alias("sequences"), F.round(F.sum("tokens") / (F.countDistinct("sequence_id") * SEQUENCE_TOKENS), 6).alias("used")).join(per)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least half of a test item in runs of twelve words or more."""
     return leaked(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text").select(F.col("key").alias("doc_id"), F.col("item").cast("int").alias("item_id"))
@@ -102,7 +109,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(read_table(spark, d, "documents"), "doc_id", "text", Split(512, 128, 32)).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_described, p5_leaves, p6_found, p6_mapped, p6_misses, p7_sequences, p8_found, p8_near, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_described, p5_leaves, p6_found, p6_mapped, p6_misses, p7_sequences, p7_fill, p8_found, p8_near, p9_pieces)}
 _VECTORS = """obs as (select obs_id id, [greatest(coalesce(x, 0), 0)::double for x in list_value(*columns(* exclude (obs_id, site_id, observed_on, ingested_at)))] v from species_abundance where obs_id is not null qualify row_number() over (partition by obs_id order by ingested_at) = 1),
 rec as materialized (select id, v, list_sum(v) n from obs where list_sum(v) > 0)"""
 SQL: dict[str, str] = {

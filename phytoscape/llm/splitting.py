@@ -60,7 +60,7 @@ def landmarks(text: str, every: int) -> np.ndarray:
 
 
 def split_text(text: str, counter: TokenCounter, p: Split) -> list[tuple[int, int, int, int]]:
-    """(start, core start, end, tokens) of the pieces; cores follow each other without gap and make up the text. [] if it is within the limit."""
+    """(start, core start, end, tokens) of the pieces; cores follow each other without gap and make up the text. Tokens are what the tokenizer gives the piece itself. [] if the text is within the limit."""
     ends, toks = counter.spans(text)
     if toks[-1] <= p.limit:
         return []
@@ -97,7 +97,11 @@ def split_text(text: str, counter: TokenCounter, p: Split) -> list[tuple[int, in
                         e = int(k[j])
                         break
             e = e or last
-        out.append((int(ends[back]), int(ends[s]), int(ends[e]), int(toks[e] - toks[back])))
+        # white space at the end joins when the piece stands alone: only that part is counted anew
+        stop = int(ends[back]) + len(text[ends[back]:ends[e]].rstrip())
+        word = int(np.searchsorted(ends, stop))
+        tokens = int(toks[word] - toks[back]) + counter.count(text[stop:ends[e]]) if ends[word] == stop else counter.count(text[ends[back]:ends[e]])
+        out.append((int(ends[back]), int(ends[s]), int(ends[e]), tokens))
         s = e
     return out
 
