@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phytoscape.operators.distances import spread
 from phytoscape.operators.graph import components
 from phytoscape.operators.ordination import square
 from phytoscape.session import materialise
@@ -189,7 +190,7 @@ def silhouette(vectors: DataFrame, labels: DataFrame, block: int = 1_024) -> Dat
     v = vectors.join(labels, "site").select("site", "cluster", "vec")
     blocks = max(1, -(-v.count() // block))
     rows = v.withColumn("blk", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("site", "cluster", "vec", "blk", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"))
+    rows = rows.select("site", "cluster", "vec", "blk", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2")).repartition(spread(v.sparkSession, blocks), "b1", "b2")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         same, out = part["b1"].iloc[0] == part["b2"].iloc[0], []

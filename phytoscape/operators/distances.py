@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phytoscape.session import parallelism
+
 C = F.col
 
 
@@ -24,7 +26,13 @@ def _site_blocks(com: DataFrame) -> DataFrame:
     """(site, m, blk, b1, b2): sites with their abundances in blocks; a block meets itself and, as first or second partner, every other one."""
     blocks = max(1, -(-com.select("site").distinct().count() // BLOCK))
     rows = com.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("species", "abundance"))).alias("m")).withColumn("blk", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int"))
-    return rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("site", "m", "blk", F.least("blk", "p").alias("b1"), F.greatest("blk", "p").alias("b2"))
+    pairs = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("site", "m", "blk", F.least("blk", "p").alias("b1"), F.greatest("blk", "p").alias("b2"))
+    return pairs.repartition(spread(com.sparkSession, blocks), "b1", "b2")
+
+
+def spread(spark, blocks: int) -> int:
+    """Tasks for all pairs of blocks, some 16 pairs each: their kernels cost more than their bytes tell."""
+    return max(parallelism(spark), blocks * (blocks + 1) // 32)
 
 
 def _block_matrix(part: pd.DataFrame, names: list) -> tuple:

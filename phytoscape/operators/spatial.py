@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phytoscape.operators.distances import spread
+
 C = F.col
 GRID_CELLS = 1_000_000
 
@@ -75,7 +77,7 @@ def _pair_blocks(points: DataFrame, kernel, schema: str) -> DataFrame:
     p = points.where("site is not null and x is not null and y is not null and z is not null").select("site", *[C(c).cast("double").alias(c) for c in "xyz"])
     blocks = max(1, -(-p.count() // BLOCK))
     rows = p.withColumn("blk", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("site", "x", "y", "z", "blk", F.least("blk", "q").alias("b1"), F.greatest("blk", "q").alias("b2"))
+    rows = rows.select("site", "x", "y", "z", "blk", F.least("blk", "q").alias("b1"), F.greatest("blk", "q").alias("b2")).repartition(spread(points.sparkSession, blocks), "b1", "b2")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         same = part["b1"].iloc[0] == part["b2"].iloc[0]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phytoscape.session import parallelism
+
 C = F.col
 
 
@@ -68,17 +70,31 @@ def hull_volume(x: np.ndarray) -> float:
     d = int(np.abs((x - x[a]) @ normal).argmax())
     if abs((x[d] - x[a]) @ normal) <= eps:
         return 0.0
-    side = lambda f, p: np.cross(x[f[1]] - x[f[0]], x[f[2]] - x[f[0]]) @ (p - x[f[0]])
     inside = x[[a, b, c, d]].mean(0)
-    outward = lambda f: f if side(f, inside) < 0 else (f[0], f[2], f[1])
-    faces = [outward(f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
+
+    def planes(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(faces turned outwards, their normals, offsets)."""
+        n = _cross(x[f[:, 1]] - x[f[:, 0]], x[f[:, 2]] - x[f[:, 0]])
+        at = (n * x[f[:, 0]]).sum(1)
+        turn = n @ inside > at
+        f[turn] = f[turn][:, [0, 2, 1]]
+        return f, np.where(turn[:, None], -n, n), np.where(turn, -at, at)
+
+    faces, normals, offsets = planes(np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)]))
     for i in range(len(x)):  # faces that see the point give way to those from their rim
-        seen = [f for f in faces if side(f, x[i]) > eps]
-        if seen:
-            edges = {e for f in seen for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))}
-            rim = [(u, v) for u, v in edges if (v, u) not in edges]
-            faces = [f for f in faces if f not in set(seen)] + [outward((u, v, i)) for u, v in rim]
-    return float(sum(abs(np.dot(x[f[0]] - inside, np.cross(x[f[1]] - inside, x[f[2]] - inside))) for f in faces) / 6)
+        seen = normals @ x[i] - offsets > eps
+        if seen.any():
+            own = faces[seen]
+            edges = set(map(tuple, own[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2).tolist()))
+            rim = np.array([(u, v, i) for u, v in edges if (v, u) not in edges])
+            f, n, o = planes(rim)
+            faces, normals, offsets = np.vstack([faces[~seen], f]), np.vstack([normals[~seen], n]), np.r_[offsets[~seen], o]
+    u, v, w = (x[faces[:, k]] - inside for k in range(3))
+    return float(np.abs((u * _cross(v, w)).sum(1)).sum() / 6)
+
+
+def _cross(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.stack([u[:, 1] * v[:, 2] - u[:, 2] * v[:, 1], u[:, 2] * v[:, 0] - u[:, 0] * v[:, 2], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]], 1)
 
 
 def _per_site(com: DataFrame, names: list, kernel, schema: str) -> DataFrame:
@@ -98,7 +114,7 @@ def _per_site(com: DataFrame, names: list, kernel, schema: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["site", *[c.split()[0] for c in schema.split(", ")]])
 
     rows = com.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("species", "abundance"))).alias("m"))
-    return rows.mapInPandas(go, f"site {kind}, {schema}")
+    return rows.repartition(parallelism(com.sparkSession), "site").mapInPandas(go, f"site {kind}, {schema}")  # the kernels cost more than their bytes tell
 
 
 def _few(names: DataFrame, most: int = 2_000) -> list:
@@ -327,7 +343,7 @@ def tree_length(com: DataFrame, phylo: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["site", "pd"])
 
     kind = com.schema["site"].dataType.simpleString()
-    return com.groupBy("site").agg(F.sort_array(F.collect_set("species")).alias("species")).mapInPandas(prim, f"site {kind}, pd double")
+    return com.groupBy("site").agg(F.sort_array(F.collect_set("species")).alias("species")).repartition(parallelism(com.sparkSession), "site").mapInPandas(prim, f"site {kind}, pd double")
 
 
 def species_optima(com: DataFrame, env: DataFrame, value: str) -> DataFrame:
