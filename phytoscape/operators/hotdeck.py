@@ -137,7 +137,8 @@ def _filled(near: DataFrame, deck: HotDeck) -> DataFrame:
     names = F.array(*[F.lit(f.name) for f in deck.fields])
     nominal = F.array(*[F.lit(bool(f.values)) for f in deck.fields])
     rows = near.select("key", F.get(names, F.col("field")).alias("field"), F.get(nominal, F.col("field")).alias("nominal"), "f", F.explode("near").alias("d"))
-    parts = [F.least(F.lit(1.0), F.abs(F.col(f"f.{n}") - F.col(f"d.f.{n}")) / scale) for n, scale in (("_t", 365.0), *deck.numeric)]
+    apart = lambda n: F.abs(F.col(f"f.{n}") - F.col(f"d.f.{n}"))
+    parts = [F.when(apart(n).isNotNull(), F.least(F.lit(1.0), apart(n) / scale)) for n, scale in (("_t", 365.0), *deck.numeric)]  # features missing on either side do not count
     parts += [F.when(F.col(f"f.{n}") == F.col(f"d.f.{n}"), 0.0).when(F.col(f"f.{n}").isNotNull() & F.col(f"d.f.{n}").isNotNull(), 1.0) for n in deck.categorical]
     gaps = F.filter(F.array(*parts), lambda x: x.isNotNull())
     rows = rows.select("key", "field", "nominal", F.coalesce(F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x), F.size(gaps)), F.lit(1.0)).alias("dist"), F.col("d.key").alias("donor"), "d.num", "d.cat")

@@ -39,7 +39,8 @@ def classify(df: DataFrame, key: str, target: str, features: list[str], model: s
 
 
 def suitability(df: DataFrame, key: str, presence: str, features: list[str], model: str = "logistic") -> tuple[object, DataFrame]:
-    """(fitted pipeline, one row with the area under the curve) for a 0/1 target."""
+    """(fitted pipeline, one row with the area under the curve) for a 0/1 target. maxent is the logistic model under another name."""
+    model = {"maxent": "logistic", "glm": "logistic"}.get(model, model)
     fitted, _ = classify(df.withColumn("_p", F.col(presence).cast("int").cast("string")), key, "_p", features, model)
     held = fitted.transform(_split(_numeric(df.withColumn("_p", F.col(presence).cast("int").cast("string")), features), key)[1])
     auc = BinaryClassificationEvaluator(labelCol="label").evaluate(held)
@@ -94,6 +95,20 @@ def importances(fitted, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, map(float, v)), key=lambda p: (-p[1], p[0]))
 
 
+def tuned(df: DataFrame, key: str, target: str, features: list[str], trees: tuple[int, ...] = (50, 100, 200), depths: tuple[int, ...] = (5, 10, 15), folds: int = 5) -> DataFrame:
+    """(trees, depth, accuracy, best) of random forests over a grid, by mean accuracy over folds; the best is the first of the greatest."""
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rows = _numeric(df.where(F.col(target).isNotNull()), features).withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), key), F.lit(folds)).cast("int"))
+    rf = RandomForestClassifier(labelCol="label", featuresCol="features", seed=42)
+    grid = ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths)).build()
+    pipe = Pipeline(stages=[StringIndexer(inputCol=target, outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc"), *_features(features), rf])
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"), numFolds=folds, foldCol="_fold", parallelism=2)
+    scores = cv.fit(rows).avgMetrics
+    top = max(range(len(scores)), key=lambda i: (scores[i], -i))
+    return df.sparkSession.createDataFrame([(int(g[rf.numTrees]), int(g[rf.maxDepth]), float(v), i == top) for i, (g, v) in enumerate(zip(grid, scores))], "trees int, depth int, accuracy double, best boolean")
+
+
 def permutation_importance(fitted, df: DataFrame, key: str, target: str, features: list[str]) -> DataFrame:
     """(feature, drop): accuracy lost when a feature's values are handed on to the row of the next hash."""
     from pyspark.sql import Window

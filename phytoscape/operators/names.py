@@ -233,6 +233,49 @@ def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return r * F.radians(lon), r * F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2))
 
 
+def albers(lon: Column, lat: Column, center_lon: float, center_lat: float) -> tuple[Column, Column]:
+    """Metres on the equal-area cone that touches 10 degrees on either side of the centre, on the sphere of the mean radius."""
+    import math
+
+    r = 6_371_007.2
+    p1, p2, p0 = (math.radians(v) for v in (max(-89.0, center_lat - 10), min(89.0, center_lat + 10), center_lat))
+    n = (math.sin(p1) + math.sin(p2)) / 2
+    if abs(n) < 1e-9:  # both parallels mirror each other: the cone is a cylinder
+        k = math.cos(p1)
+        return r * k * F.radians(lon - center_lon), r * F.sin(F.radians(lat)) / k
+    c = math.cos(p1) ** 2 + 2 * n * math.sin(p1)
+    rho0 = math.sqrt(max(0.0, c - 2 * n * math.sin(p0))) / n
+    rho = F.sqrt(F.greatest(F.lit(0.0), c - 2 * n * F.sin(F.radians(lat)))) / n
+    theta = n * F.radians(lon - center_lon)
+    return r * rho * F.sin(theta), r * (rho0 - rho * F.cos(theta))
+
+
+def standard_dataset(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """A table with columns of standard names, names cleaned, coordinates in decimal degrees, dates parsed, and missing numbers filled with the column's median (marked in ``<column>_filled``)."""
+    from pyspark.sql import types as T
+
+    from phytoscape.sources.tables import standard_columns
+
+    out = df.withColumnsRenamed(mapping or {})
+    out = out.toDF(*standard_columns(out.columns))
+    if "species" in out.columns:
+        out = out.withColumn("species", clean_name(F.col("species")))
+    for c, limit in (("latitude", 90.0), ("longitude", 180.0)):
+        if c in out.columns:
+            text = isinstance(out.schema[c].dataType, T.StringType)
+            v = F.col(c).cast("double")
+            out = out.withColumn(c, to_decimal(F.col(c), limit) if text else F.when(v.between(-limit, limit) & ~F.isnan(v), v))
+    if "date" in out.columns and isinstance(out.schema["date"].dataType, T.StringType):
+        out = out.withColumn("date", parse_date(F.col("date")))
+    numbers = [f.name for f in out.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in ("latitude", "longitude")]
+    if not numbers:
+        return out
+    ok = {c: F.when(~F.isnan(c), F.col(c)) for c in numbers}
+    middle = out.agg(*[F.median(ok[c]).alias(f"_m_{c}") for c in numbers])
+    out = out.join(F.broadcast(middle))
+    return out.select(*[F.coalesce(ok[c], F.col(f"_m_{c}")).alias(c) if c in numbers else F.col(c) for c in out.columns if not c.startswith("_m_")], *[ok[c].isNull().alias(f"{c}_filled") for c in numbers])
+
+
 def outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """Adds ``outlier``: any of the columns outside its quartiles by threshold times their range, or beyond threshold deviations (population)."""
     ok = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}

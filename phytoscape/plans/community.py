@@ -9,6 +9,7 @@ from phytoscape.operators import association as A
 from phytoscape.operators import distances as D
 from phytoscape.operators import diversity as V
 from phytoscape.operators import traits as R
+from phytoscape.operators import transforms as X
 from phytoscape.operators.transforms import transform
 from phytoscape.plans.helpers import groups, rounded, sql, survey, trade
 from phytoscape.session import read_table
@@ -77,6 +78,9 @@ _TRANSFORM = {
     "chi_square": ("chi_square", {}, "select site, species, sqrt(abundance * (select sum(abundance) from com) / (sum(abundance) over (partition by site) * sum(abundance) over (partition by species))) as value from com"),
     "log1p": ("log", {}, "select site, species, ln(abundance + 1) as value from com"),
     "log2": ("log", {"base": "log2"}, "select site, species, log2(abundance + 1) as value from com"),
+    "log10": ("log", {"base": "log10"}, "select site, species, log10(abundance + 1) as value from com"),
+    "arcsine": ("arcsine", {}, "select site, species, asin(sqrt(least(abundance, 1))) as value from com"),
+    "unit_vector": ("normalize", {"variant": "unit_vector"}, "select site, species, abundance / sqrt(sum(abundance * abundance) over (partition by site)) as value from com"),
     "sqrt_transform": ("sqrt", {}, "select site, species, sqrt(abundance) as value from com"),
     "zscore": ("standardize", {}, f"select site, species, (x - avg(x) over w) / case when stddev_samp(x) over w = 0 then 1 else stddev_samp(x) over w end as value from {_GRID} window w as (partition by species)"),
     "robust_z": ("standardize", {"variant": "robust"}, f"select g.site, g.species, (x - m) / case when mad = 0 then 1 else mad end as value from {_GRID} g join (select species, m, median(abs(x - m)) mad from {_GRID} join (select species, median(x) m from {_GRID} group by 1) using (species) group by 1, 2) using (species)"),
@@ -85,6 +89,8 @@ _TRANSFORM = {
 for _name, (_m, _o, _body) in _TRANSFORM.items():
     _add(_name, _survey(lambda c, m=_m, o=_o: transform(c, m, **o)), _body, "value", "site, species")
 
+_add("inverse_transform", lambda s, d: (lambda t: t.select("site", "species", X.inverse(F.col("value"), "log", "log10").alias("value")))(transform(survey(s, d), "log", base="log10")), "select site, species, abundance as value from com", "value", "site, species")
+
 # --- distances -------------------------------------------------------------
 _TG = "(select s.site, t.species, coalesce(c.abundance, 0) x from (select distinct site from trade) s cross join (select distinct species from trade) t left join trade c on c.site = s.site and c.species = t.species)"
 _DENSE = "(select a.site i, b.site j, a.species, a.x x, b.x y from {g} a join {g} b on a.species = b.species and a.site < b.site)"

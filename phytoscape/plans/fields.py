@@ -14,6 +14,7 @@ from phytoscape.operators import spatial as S
 from phytoscape.operators import temporal as T
 from phytoscape.operators import validation as V
 from phytoscape.operators.diversity import rarefaction
+from phytoscape.operators.names import albers, standard_dataset
 from phytoscape.plans.community import _GRID, _METRIC, _DENSE, _SPECIES, _TRAITS, _TSQL, _env, _long, _phylo, _traits
 from phytoscape.plans.helpers import META, observations, rounded, sql, survey
 from phytoscape.plans.series import _VIEWS as _SERIES
@@ -88,6 +89,11 @@ _close = lambda places, r: "(" + " or ".join(f"pow(a - {p[0]}, 2) + pow(b - {p[1
 _add("place_flags", lambda s, d: _veg(s, d).agg(*[F.count_if(f).alias(k) for k, f in V.place_flags(F.col("latitude"), F.col("longitude")).items()]), f"""
   select count(*) filter (where {_close([*V.CENTROIDS.values(), *V.INSTITUTIONS.values()], 0.01)}) centroid, count(*) filter (where {_close(V.CITIES.values(), 0)}) urban, count(*) filter (where {_close(V.INSTITUTIONS.values(), 0.001)}) institution
   from (select latitude a, longitude b from vegetation_survey_data where not isnan(latitude) and not isnan(longitude))""", "", "centroid, urban, institution")
+_add("equal_area", lambda s, d: (lambda xy: _veg(s, d).where("latitude between 40 and 50 and longitude between -80 and -65").agg(F.round(F.avg(xy[0]), 3).alias("x"), F.round(F.avg(xy[1]), 3).alias("y")))(albers(F.col("longitude"), F.col("latitude"), -72.0, 45.0)), """
+  with k as (select n, pow(cos(radians(35)), 2) + 2 * n * sin(radians(35)) c from (select (sin(radians(35)) + sin(radians(55))) / 2 n)), p as (select 6371007.2 * sqrt(c - 2 * n * sin(radians(latitude))) / n rho, 6371007.2 * sqrt(c - 2 * n * sin(radians(45))) / n rho0, n * radians(longitude + 72) th from vegetation_survey_data, k where latitude between 40 and 50 and longitude between -80 and -65)
+  select round(avg(rho * sin(th)), 3) x, round(avg(rho0 - rho * cos(th)), 3) y from p""", "x, y")
+_add("standard_dataset", lambda s, d: standard_dataset(read_table(s, d, "environmental_variables").select("env_id", "soil_ph", "soil_moisture")), """
+  select env_id, coalesce(a, median(a) over ()) soil_ph, coalesce(b, median(b) over ()) soil_moisture, a is null soil_ph_filled, b is null soil_moisture_filled from (select env_id, case when not isnan(soil_ph) then soil_ph end a, case when not isnan(soil_moisture) then soil_moisture end b from environmental_variables)""", "soil_ph, soil_moisture", "env_id, soil_ph_filled, soil_moisture_filled")
 _add("countries", lambda s, d: _veg(s, d).groupBy(V.country(F.col("latitude"), F.col("longitude")).alias("country")).agg(F.count("*").alias("records")), "select case " + " ".join(f"when latitude between {b[0]} and {b[1]} and longitude between {b[2]} and {b[3]} then '{n}'" for n, b in V.BOXES.items()) + " else 'Unknown' end country, count(*) records from vegetation_survey_data group by 1", "", "country, records")
 _add("spatial_report", lambda s, d: V.spatial_report(_veg(s, d).withColumn("country", F.lit("Canada")), stated="country"))
 _add("isolation_outliers", lambda s, d: M.isolation_forest(_veg(s, d).where("latitude between 40 and 50 and longitude between -80 and -65").dropDuplicates(["record_id"]), "record_id", ["latitude", "longitude", "elevation"], contamination=0.05).groupBy("anomaly").agg(F.count("*").alias("records")))
@@ -150,6 +156,7 @@ def _presence(s, d):
 _add("habitat_confusion", lambda s, d: M.confusion(M.predict_labels(M.classify(_habitats(s, d), "env_id", "habitat", _FEATURES)[0], _habitats(s, d), "habitat", _FEATURES), "habitat"))
 _add("cross_validation", lambda s, d: M.cross_validated(_habitats(s, d), "env_id", "habitat", _FEATURES, "logistic"))
 _add("feature_importance", lambda s, d: s.createDataFrame(M.importances(M.classify(_habitats(s, d), "env_id", "habitat", _FEATURES)[0], _FEATURES), "feature string, importance double"))
+_add("tuned_forest", lambda s, d: M.tuned(_habitats(s, d), "env_id", "habitat", _FEATURES, (10, 20), (3, 5), 3))
 _add("suitability", lambda s, d: M.suitability(_presence(s, d), "site", "present", ["elevation", "soil_ph", "temperature"])[1])
 _add("regression_model", lambda s, d: M.regress(_measures(s, d), "site", "soil_ph", ["elevation", "temperature"], "ridge")[1])
 _add("anomalies", lambda s, d: M.isolation_forest(_measures(s, d), "site", ["elevation", "soil_ph", "temperature"]))

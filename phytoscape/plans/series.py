@@ -61,6 +61,7 @@ _CURVES = {
     "sigmoid": (lambda q: X.sigmoid(q, 5.0, 0.3, 20.0, 1.0), f"5 / (1 + exp(-0.3 * ({_Q} - 20))) + 1"), "gauss": (lambda q: X.gaussian(q, 5.0, 20.0, 4.0, 1.0), f"5 * exp(-(({_Q} - 20) * ({_Q} - 20)) / 32) + 1"),
     "double_sigmoid": (lambda q: X.double_sigmoid(q, 5.0, 0.3, 10.0, 4.0, 0.2, 30.0, 1.0), f"5 / (1 + exp(-0.3 * ({_Q} - 10))) - 4 / (1 + exp(-0.2 * ({_Q} - 30))) + 1"),
     "response": (lambda q: X.gaussian_response(q, 5.0, 20.0, 4.0, 1.0), f"1 + 5 * exp(-0.5 * pow(({_Q} - 20) / 4, 2))"), "threshold": (lambda q: X.threshold_response(q, 5.0, 20.0, 0.5, 1.0), f"1 + 5 / (1 + exp(-0.5 * ({_Q} - 20)))"),
+    "weibull": (lambda q: X.weibull(q, 5.0, 1.5, 20.0, 1.0), f"5 * (1.5 / 20) * pow({_Q} / 20, 0.5) * exp(-pow({_Q} / 20, 1.5)) + 1"), "unimodal": (lambda q: X.unimodal_response(q, 5.0, 20.0, 10.0, 1.0), f"greatest(1, 1 + 5 * (1 - pow(({_Q} - 20) / 10, 2)))"),
     "beta": (lambda q: X.beta_curve(q, 5.0, 2.0, 3.0, 0.0, 60.0), f"case when {_Q} > 0 and {_Q} < 60 then 5 * ({_Q} / 60) * pow(1 - {_Q} / 60, 2) else 0 end"),
 }
 _add("curve_values", lambda s, d: read_table(s, d, "lineitem").select("l_quantity").distinct().select("l_quantity", *[c(F.col("l_quantity")).alias(k) for k, (c, _) in _CURVES.items()]), "select l_quantity, " + ", ".join(f"{q} {k}" for k, (_, q) in _CURVES.items()) + " from (select distinct l_quantity::double l_quantity from lineitem)", "l_quantity, " + ", ".join(_CURVES))

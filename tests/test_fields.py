@@ -273,6 +273,24 @@ def test_names(spark):
     assert totals["total_names"] == 13 and totals["valid_names"] + totals["invalid_names"] == 13 and totals["valid_names"] == sum(r["name_is_valid"] for k, r in t.items() if k is not None)
 
 
+def test_equal_areas(spark):
+    step, rows = 0.01, [(x, y) for y in (5.0, 40.0, 49.0) for x in (10.0, 17.0)]
+    corner = lambda dx, dy: N.albers(F.col("x") + dx, F.col("y") + dy, 12.0, 45.0)
+    (x0, y0), (x1, y1), (x2, y2) = corner(0.0, 0.0), corner(step, 0.0), corner(0.0, step)
+    area = F.abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0))
+    for r in spark.createDataFrame(rows, "x double, y double").select("y", area.alias("a")).collect():
+        want = 6_371_007.2**2 * math.radians(step) * (math.sin(math.radians(r["y"] + step)) - math.sin(math.radians(r["y"])))
+        assert r["a"] == pytest.approx(want, rel=1e-3)
+
+
+def test_standard_dataset(spark):
+    df = spark.createDataFrame([("quercus Alba L.", "45°30'0\"N", "1.5", "2020/05/01", 1.0), ("Acer rubrum", "95", None, "?", None), ("x", None, None, None, 5.0)], "taxon string, lat string, lon string, sampling_date string, cover double")
+    r = {x["species"]: x for x in N.standard_dataset(df).collect()}
+    q = r["Quercus alba"]
+    assert q["latitude"] == pytest.approx(45.5) and str(q["date"]) == "2020-05-01" and not q["abundance_filled"]
+    assert r["Acer rubrum"]["latitude"] is None and r["Acer rubrum"]["abundance"] == 3.0 and r["Acer rubrum"]["abundance_filled"] and r["Acer rubrum"]["date"] is None
+
+
 # --- series and grids ------------------------------------------------------------------------------
 def test_decompositions(spark):
     t = np.arange(84)

@@ -108,6 +108,60 @@ def test_hot_deck(spark):
     assert hot_deck(table(spark, rows).limit(0), DECK, only="group").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1_000, 6])
+def test_hot_deck_values_by_hand(spark, chunk):
+    """Values, donors and all against a plain search; with small chunks every cell still gets donors of both sides."""
+    import datetime
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(90):
+        day = datetime.date(2020, 1, 1) + datetime.timedelta(days=rnd.randrange(300))
+        rows.append((i, rnd.choice("ab"), str(day), 1, rnd.choice([None, None, round(rnd.uniform(3, 8), 2)]), rnd.choice([None, "fen", "heath"]), rnd.choice([None, rnd.uniform(0, 900)]), rnd.choice(["u", "v", None]), "x", "y"))
+    deck = HotDeck("id", "site", "day", "arrived", (Field("ph", 2, 11), Field("kind", values=("fen", "heath"))), numeric=(("height", 500.0),), categorical=("use",), band=("height", 250.0), donors=2, chunk_rows=chunk)
+    got = {(r["key"], r["field"]): r for r in hot_deck(table(spark, rows), deck, only="group").collect()}
+    want = 0
+    for name, at in (("ph", 4), ("kind", 5)):
+        for r in rows:
+            if r[at] is not None:
+                continue
+            own = sorted((o for o in rows if o[1] == r[1] and o[at] is not None), key=lambda o: (o[2], o[0]))
+            if not own:
+                continue
+            want += 1
+            before = [o for o in own if (o[2], o[0]) < (r[2], r[0])][-2:]
+            after = [o for o in own if (o[2], o[0]) > (r[2], r[0])][:2]
+
+            def gap(o):
+                days = abs((datetime.date.fromisoformat(o[2]) - datetime.date.fromisoformat(r[2])).days)
+                parts = [min(1.0, days / 365.0)]
+                if o[6] is not None and r[6] is not None:
+                    parts.append(min(1.0, abs(o[6] - r[6]) / 500.0))
+                if o[7] is not None and r[7] is not None:
+                    parts.append(0.0 if o[7] == r[7] else 1.0)
+                return sum(parts) / len(parts)
+
+            near = sorted(before + after, key=lambda o: (gap(o), o[0]))[:3]
+            if chunk == 6:
+                assert got[r[0], name]["donors"]
+                continue
+            assert list(got[r[0], name]["donors"]) == [o[0] for o in near]
+            w = [round(1 / (0.05 + gap(o)), 9) for o in near]
+            if name == "ph":
+                total, upto = sum(w), 0.0
+                for o, x in sorted(zip(near, w), key=lambda p: (p[0][4], p[0][0])):
+                    upto += x
+                    if upto >= total / 2:
+                        break
+                assert got[r[0], name]["num"] == o[4]
+            else:
+                votes = {}
+                for o, x in zip(near, w):
+                    votes[o[5]] = votes.get(o[5], 0) + x
+                assert got[r[0], name]["cat"] == max(votes, key=lambda k: (round(votes[k], 6), k))
+    assert len(got) == want
+
+
 def test_findings(spark):
     rows = [("s", 1, float(40 + i % 10), "V2020-000001") for i in range(50)] + [("s", 2, 49.0 if i % 2 else None, "bad" if i < 5 else "V2020-000001\n" if i == 6 else "V2020-000001") for i in range(50)] + [("s", 4, 60.0, None), (None, 1, 41.0, "V"), ("s", None, 41.0, "V")]
     got = {tuple(r) for r in load_findings(spark.createDataFrame(rows, "series string, no int, lat double, code string"), "series", "no", [Limits("lat", 40, 50, 0.01)], ("code", r"V[0-9]{4}-[0-9]{6}")).collect()}
