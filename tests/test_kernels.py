@@ -272,3 +272,12 @@ def test_community_mantel_is_that_of_the_tables_also_beyond_3000_sites(spark, mo
     new, newer = A.community_mantel(com, values[:1], permutations=99).first(), A.community_mantel(com, values, permutations=99).first()
     assert (new["mantel_r"], new["p"]) == (pytest.approx(old["mantel_r"]), old["p"])
     assert (newer["mantel_r"], newer["p"]) == (pytest.approx(older["mantel_r"]), older["p"])
+
+
+def test_community_group_tests_in_ranges(spark, monkeypatch):
+    from phytoscape.operators import sitepairs as B
+
+    _, com = _sites(spark)
+    groups = spark.createDataFrame([(f"s{i:02d}", i % 3) for i in range(30)], "site string, grp long")
+    monkeypatch.setattr(B, "RANGE_PAIRS", 50)
+    assert tuple(A.community_group_tests(com, groups).first()) == pytest.approx(tuple(A.group_tests(D.distances(com).withColumn("d", F.round("d", 12)), groups).first()))
