@@ -247,6 +247,24 @@ def _bray(m):
     return np.abs(m[:, None] - m[None]).sum(-1) / (m.sum(1)[:, None] + m.sum(1)[None])
 
 
+def test_packed_sites_never_travel_in_blocks(spark):
+    _, com = _sites(spark)
+    plan = D.distances(com, "jaccard")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "Exchange" not in plan.split("Physical Plan")[-1].split("Range")[0]
+
+
+@pytest.mark.parametrize("metric", ["bray_curtis", "jaccard", "hellinger", "euclidean"])
+def test_distances_of_equal_sites_are_zero(spark, metric):
+    _, com = _sites(spark)
+    t = D.distances(com, metric).where("i = 's00' and j = 's29'").first()
+    assert t["d"] == 0.0
+
+
+def test_hellinger_of_proportional_sites_is_zero(spark):
+    com = K.community(spark.createDataFrame([(s, f"t{k}", float(v * f)) for s, f in (("a", 1), ("b", 3), ("c", 7)) for k, v in enumerate((1, 5, 13, 2, 4))], "site string, species string, n double"), "site", "species", "n")
+    assert max(r["d"] for r in D.distances(com, "hellinger").collect()) < 1e-12
+
+
 def test_pair_sums_over_any_blocks(spark):
     from phytoscape.operators import sitepairs as B
 
