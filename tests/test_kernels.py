@@ -299,3 +299,15 @@ def test_community_group_tests_in_ranges(spark, monkeypatch):
     groups = spark.createDataFrame([(f"s{i:02d}", i % 3) for i in range(30)], "site string, grp long")
     monkeypatch.setattr(B, "RANGE_PAIRS", 50)
     assert tuple(A.community_group_tests(com, groups).first()) == pytest.approx(tuple(A.group_tests(D.distances(com).withColumn("d", F.round("d", 12)), groups).first()))
+
+
+def test_nestedness_without_pairs_of_sites(spark):
+    m, com = _sites(spark, 12, 6)
+    m = (m > 0).astype(int)
+    n = m.sum(1)
+    pairs = [(i, j) for i in range(12) for j in range(i + 1, 12)]
+    t = A._totals(com).first()
+    assert t["shared"] == sum(int(m[i] @ m[j]) for i, j in pairs) and t["lesser"] == sum(min(n[i], n[j]) for i, j in pairs)
+    assert t["overlap"] == pytest.approx(sum(100 * (m[i] @ m[j]) / min(n[i], n[j]) for i, j in pairs if n[i] != n[j]))
+    assert A._turnover(com).first()[0] == pytest.approx(np.mean([(n[i] + n[j] - 2 * (m[i] @ m[j])) / (n[i] + n[j]) for i, j in pairs]))
+    assert "FlatMapGroups" not in A.nodf(com)._jdf.queryExecution().toString()
