@@ -311,3 +311,15 @@ def test_nestedness_without_pairs_of_sites(spark):
     assert t["overlap"] == pytest.approx(sum(100 * (m[i] @ m[j]) / min(n[i], n[j]) for i, j in pairs if n[i] != n[j]))
     assert A._turnover(com).first()[0] == pytest.approx(np.mean([(n[i] + n[j] - 2 * (m[i] @ m[j])) / (n[i] + n[j]) for i, j in pairs]))
     assert "FlatMapGroups" not in A.nodf(com)._jdf.queryExecution().toString()
+
+
+def test_twinspan_beyond_the_bound_of_presences(spark, monkeypatch):
+    from phytoscape.operators import twinspan as W
+
+    _, com = _sites(spark, 40, 6)
+    before = W.twinspan(com)
+    monkeypatch.setattr(W, "MOST_CELLS", 10)
+    monkeypatch.setattr(W, "ROWS", 7)
+    after = W.twinspan(com)
+    pd.testing.assert_frame_equal(after[0], before[0])
+    pd.testing.assert_frame_equal(after[1], before[1])
