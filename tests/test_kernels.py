@@ -214,6 +214,25 @@ def test_kriging_beyond_the_direct_solve(spark, monkeypatch, model):
     assert run() == pytest.approx(want, rel=1e-6, abs=1e-6)
 
 
+def test_gaussian_kriging_needs_no_pairs_of_points(spark, monkeypatch):
+    from phytoscape.operators import smoothing
+
+    rng = np.random.default_rng(9)
+    xy = np.r_[rng.uniform(0, 10, (400, 2)), rng.normal(4, 0.2, (100, 2))]  # some close together
+    z = 600 + 90 * np.sin(xy[:, 0]) + 200 * rng.normal(size=500)
+    pts = spark.createDataFrame(pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1], "z": z}))
+    run = lambda: smoothing.simple_kriging(pts, spatial.grid(spark, 0, 0, 10, 10, 1)).toPandas().sort_values("grid_id")["z"].to_numpy()
+    want = run()
+    monkeypatch.setattr(smoothing, "MOST_POINTS", 100)
+
+    def none(*_):
+        raise AssertionError("rows of all pairs")
+
+    monkeypatch.setattr(smoothing, "_by_rows", none)
+    assert run() == pytest.approx(want, rel=1e-6, abs=1e-4)
+    assert smoothing._farthest(xy) == np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)).max()
+
+
 def test_kriging_of_all_sites(spark, data):
     from phytoscape.operators.smoothing import simple_kriging
     from phytoscape.plans import kernels, series
