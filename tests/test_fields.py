@@ -355,6 +355,17 @@ def test_interpolations(spark):
         P.interpolate(pts, cells, "x")
 
 
+@pytest.mark.parametrize("function", ["thin_plate_spline", "linear"])
+def test_radial_functions_beyond_the_direct_solve(spark, monkeypatch, function):
+    rng = np.random.default_rng(13)
+    xy = rng.random((400, 2)) * [4, 3]
+    pts = spark.createDataFrame(pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1], "z": 50 + 9 * np.sin(xy[:, 0]) + rng.normal(size=400)}))
+    run = lambda: P.rbf(pts, P.grid(spark, 0, 0, 4, 3, 0.5), function).toPandas().sort_values("grid_id")["z"].to_numpy()
+    want = run()
+    monkeypatch.setattr(P, "RBF_POINTS", 100)
+    assert run() == pytest.approx(want, rel=1e-7, abs=1e-6)
+
+
 def test_linear_interpolation_beyond_3000_positions(spark):
     rng = np.random.default_rng(11)
     xy = rng.random((3_200, 2)) * 4
