@@ -369,3 +369,31 @@ def test_nestedness_reads_the_community_once(spark, monkeypatch):
         assert A.nestedness(com).first().asDict() == pytest.approx(want)
     monkeypatch.setattr(A, "ROW_SPECIES", 3)
     assert A.nestedness(com).first().asDict() == pytest.approx(want)
+
+
+def _no_pair_tables(monkeypatch):
+    """Tables of pairs are an error."""
+    def refuse(*a, **k):
+        raise AssertionError("pairs as rows")
+    for module, name in ((D, "distance_table"), (D, "pair_sums"), (A, "ranked"), (O, "square")):
+        monkeypatch.setattr(module, name, refuse)
+
+
+def test_community_spearman_makes_no_rows_of_pairs(spark, monkeypatch):
+    from phytoscape.operators import sitepairs as B
+
+    m, com = _sites(spark)
+    v = np.random.default_rng(2).integers(0, 12, 30) / 3
+    values = spark.createDataFrame([(f"s{i:02d}", float(v[i])) for i in range(30)], "site string, value double")
+    i, j = np.triu_indices(30, 1)
+    rank = lambda x: pd.Series(x).rank().to_numpy()
+    want = np.corrcoef(rank(np.round(_bray(m)[i, j], 12)), rank(np.round(np.abs(v[i] - v[j]), 9)))[0, 1]
+    with monkeypatch.context() as here:
+        here.setattr(B, "BLOCK", 8)
+        _no_pair_tables(here)
+        assert A.community_spearman(com, values).first()[0] == pytest.approx(want, abs=1e-12)
+        here.setattr(B, "RANGE_PAIRS", 60)  # ranges, and merges of equal distances within them
+        here.setattr(B, "STEP", 36)
+        assert A.community_spearman(com, values).first()[0] == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(B, "MOST_LEVELS", 3)  # tables beyond it
+    assert A.community_spearman(com, values).first()[0] == pytest.approx(want, abs=1e-12)
