@@ -422,3 +422,20 @@ def test_permutation_tests_of_a_community_make_no_rows_of_pairs(spark, monkeypat
         w = g[i] == g[j]
         mw, mb = (sum(r for r, k in zip(rank, w) if k == side) / int((w == side).sum()) for side in (True, False))
         assert (mb - mw) / (len(rank) + 1 - mw - mb) == Fraction(len(rank), len(rank) - 2 * int(w.sum())) == pytest.approx(new["anosim_r"])
+
+
+def test_draws_of_mantel_by_singles_are_settled_by_doubles(spark, monkeypatch):
+    from phytoscape.operators import sitepairs as B
+
+    _, com = _sites(spark)
+    v = np.random.default_rng(2).normal(size=30)
+    values = [spark.createDataFrame([(f"s{i:02d}", float(v[i])) for i in range(30)], "site string, value double")]
+    p, x = A._valued(com, values)
+    one, two = (B.permuted_products(spark, p, x, 0.5, [*range(20)], 42, kind=k) for k in (np.float32, np.float64))
+    assert one == pytest.approx(two, rel=1e-4, abs=1e-3) and (one != two).any()
+    seen = []
+    monkeypatch.setattr(B, "permuted_products", lambda *a, f=B.permuted_products: seen.append((len(a[4]), a[7])) or f(*a))
+    want = A.community_mantel(com, values, permutations=99).first()
+    assert seen[0] == (99, np.float32)
+    monkeypatch.setattr(A, "SINGLE", 9.0)  # all are drawn again
+    assert tuple(A.community_mantel(com, values, permutations=99).first()) == tuple(want) and seen[-1] == (99, np.float64)
