@@ -439,3 +439,18 @@ def test_draws_of_mantel_by_singles_are_settled_by_doubles(spark, monkeypatch):
     assert seen[0] == (99, np.float32)
     monkeypatch.setattr(A, "SINGLE", 9.0)  # all are drawn again
     assert tuple(A.community_mantel(com, values, permutations=99).first()) == tuple(want) and seen[-1] == (99, np.float64)
+
+
+@pytest.mark.parametrize("eps, least", [(0.1, 3), (0.18, 4), (0.22, 9), (0.9, 4), (0.0, 2)])
+def test_community_dbscan_makes_no_rows_of_pairs(spark, monkeypatch, eps, least):
+    from phytoscape.operators import sitepairs as B
+
+    rng = np.random.default_rng(5)
+    m = np.concatenate([rng.poisson(c, (14, 5)) for c in ([9, 1, 1, 4, 0], [1, 9, 3, 0, 2], [40, 5, 5, 20, 1], [4, 4, 4, 4, 4])]) + 1
+    m[3] = m[40]
+    names = [f"s{k:02d}" for k in rng.permutation(len(m))]
+    com = spark.createDataFrame([(names[i], f"t{j}", float(m[i, j])) for i in range(len(m)) for j in range(5)], "site string, species string, abundance double")
+    want = {r["site"]: (r["cluster"], r["core"]) for r in C.dbscan(D.distances(com), com.select("site").distinct(), eps, least).collect()}
+    monkeypatch.setattr(B, "BLOCK", 4)
+    _no_pair_tables(monkeypatch)
+    assert {r["site"]: (r["cluster"], r["core"]) for r in C.community_dbscan(com, eps, least).collect()} == want
