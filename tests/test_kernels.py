@@ -454,3 +454,18 @@ def test_community_dbscan_makes_no_rows_of_pairs(spark, monkeypatch, eps, least)
     monkeypatch.setattr(B, "BLOCK", 4)
     _no_pair_tables(monkeypatch)
     assert {r["site"]: (r["cluster"], r["core"]) for r in C.community_dbscan(com, eps, least).collect()} == want
+
+
+def test_draws_of_partial_mantel_near_the_seen_one_are_settled_by_doubles(spark, monkeypatch):
+    from phytoscape.operators import sitepairs as B
+
+    _, com = _sites(spark)
+    v = np.random.default_rng(3).normal(size=30)
+    values = [spark.createDataFrame([(f"s{i:02d}", float(x[i])) for i in range(30)], "site string, value double") for x in (v, v + np.random.default_rng(4).normal(size=30) / 50)]
+    seen = []
+    monkeypatch.setattr(B, "permuted_products", lambda *a, f=B.permuted_products: seen.append((len(a[4]), a[7])) or f(*a))
+    got = A.community_mantel(com, values, permutations=199).first()
+    # the values are nearly alike, so that their own correlation widens what singles leave open
+    assert seen[0] == (199, np.float32) and seen[1][1] is np.float64 and 0 < seen[1][0] <= 199
+    monkeypatch.setattr(A, "SINGLE", 9.0)
+    assert tuple(A.community_mantel(com, values, permutations=199).first()) == tuple(got) and seen[-1] == (199, np.float64)
