@@ -469,3 +469,21 @@ def test_draws_of_partial_mantel_near_the_seen_one_are_settled_by_doubles(spark,
     assert seen[0] == (199, np.float32) and seen[1][1] is np.float64 and 0 < seen[1][0] <= 199
     monkeypatch.setattr(A, "SINGLE", 9.0)
     assert tuple(A.community_mantel(com, values, permutations=199).first()) == tuple(got) and seen[-1] == (199, np.float64)
+
+
+def test_tree_of_a_community_beyond_3000_sites_is_that_of_its_distances(spark, monkeypatch):
+    from phytoscape.operators import sitepairs as B
+    from phytoscape.operators import sitetrees
+
+    rng = np.random.default_rng(8)
+    x = rng.gamma(0.7, 20, (90, 6)) + 0.1
+    com = K.community(spark.createDataFrame([(f"s{i:02d}", f"t{j}", float(x[i, j])) for i in range(90) for j in range(6)], "site string, species string, n double"), "site", "species", "n")
+    d = D.distances(com)
+    merges, labels = C.hierarchical(d, "average", 4)
+    monkeypatch.setattr(O, "MOST_SITES", 10)
+    monkeypatch.setattr(sitetrees, "MOST_SITES", 10)
+    got, own = C.community_hierarchical(com, "average", 4)
+    assert np.allclose(got, merges) and own.equals(labels)
+    p = B.packed(com)
+    for m in sitetrees.METHODS:  # rows are dropped and made again
+        assert np.allclose(sitetrees.chain(p, m, held_bytes=1), sitetrees.chain(p, m))
