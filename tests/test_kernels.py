@@ -487,3 +487,18 @@ def test_tree_of_a_community_beyond_3000_sites_is_that_of_its_distances(spark, m
     p = B.packed(com)
     for m in sitetrees.METHODS:  # rows are dropped and made again
         assert np.allclose(sitetrees.chain(p, m, held_bytes=1), sitetrees.chain(p, m))
+
+
+def test_cophenetic_of_a_community_beyond_3000_sites_is_that_of_its_distances(spark, monkeypatch):
+    from phytoscape.operators import sitepairs as B
+    from phytoscape.operators import sitetrees
+
+    rng = np.random.default_rng(9)
+    x = rng.gamma(0.7, 20, (70, 6)) + 0.1
+    com = K.community(spark.createDataFrame([(f"s{i:02d}", f"t{j}", float(x[i, j])) for i in range(70) for j in range(6)], "site string, species string, n double"), "site", "species", "n")
+    d = D.distances(com)
+    want = {m: C.cophenetic_correlation(d, m) for m in ("average", "single", "complete", "ward")}
+    monkeypatch.setattr(O, "MOST_SITES", 10)
+    monkeypatch.setattr(sitetrees, "MOST_SITES", 10)
+    monkeypatch.setattr(B, "BLOCK", 16)  # several blocks, whose leaves meet across them
+    assert C.community_cophenetic(com) == pytest.approx(want)
