@@ -502,3 +502,8 @@ def test_cophenetic_of_a_community_beyond_3000_sites_is_that_of_its_distances(sp
     monkeypatch.setattr(sitetrees, "MOST_SITES", 10)
     monkeypatch.setattr(B, "BLOCK", 16)  # several blocks, whose leaves meet across them
     assert C.community_cophenetic(com) == pytest.approx(want)
+
+
+def test_shared_abundances_above_half_of_16_bits_do_not_wrap(spark):
+    com = K.community(spark.createDataFrame([("a", "t", 40_000.0), ("b", "t", 40_000.0), ("b", "u", 8_000.0)], "site string, species string, n double"), "site", "species", "n")
+    assert D.distances(com).first()["d"] == pytest.approx(1 - 80_000 / 88_000)
